@@ -9,12 +9,16 @@ from stemmata.llm.packing import op4_best_fit_packing
 from stemmata.llm.quality_rules import op8_quality_rules
 from stemmata.llm.sharding import op7_sharding, op7_sql
 from stemmata.llm.simhash import op10_simhash
+from stemmata.llm.substring_suffix import op3_suffix_dedup
+from stemmata.llm.toxicity import op5_toxicity
 from stemmata.llm.url_filter import op2_sql, op2_url_filter
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
