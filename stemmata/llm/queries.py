@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from stemmata.llm.compact_windows import op9_compact_windows
 from stemmata.llm.decontaminate import op1_decontaminate, op1_sql
 from stemmata.llm.line_dedup import op6_line_dedup, op6_sql
 from stemmata.llm.packing import op4_best_fit_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_compact_windows": op9_compact_windows,
     "op10_simhash": op10_simhash,
     "pipeline": corpus_pipeline.run,
 }
