@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import as_bytes, cut, in_arrow, stored, table
+from stemmata.llm.common import as_bytes, in_arrow, table
+from stemmata.runtime import cut
 from stemmata.llm.rolling import SpanHash, sliding_min
 
 MIN_BYTES = 400
@@ -78,11 +79,11 @@ def smaller_before(values: np.ndarray) -> np.ndarray:
     return near
 
 
-def previous_factors(data: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def previous_factors(data: np.ndarray, ends: np.ndarray, limit: int, only_limit: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(LPF, LNF): for each place the longest string there, `limit` bytes at most, that also starts at an earlier place, and at a later one.
 
     In suffix order the best earlier place is the previous or the next one of smaller position; the best later place the previous or
-    the next one of larger position.
+    the next one of larger position. only_limit: factors shorter than limit are given as 0, which saves measuring them.
     """
     n = len(data)
     order, ranks, depths = suffix_ranks(data, ends, limit)
@@ -94,7 +95,7 @@ def previous_factors(data: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np
         for other in (before, np.where(after < n, after, -1)):
             held = other >= 0
             a, b = order[held], order[other[held]]
-            best[a] = np.maximum(best[a], common_prefix(a, b, ends, ranks, depths))
+            best[a] = np.maximum(best[a], limit * (ranks[-1][a] == ranks[-1][b]) * (a + limit <= ends[a]) if only_limit else common_prefix(a, b, ends, ranks, depths))
         out.append(best)
     return out[0], out[1]
 
@@ -213,16 +214,38 @@ def _sliced(size: int, width: int):
     return sliced
 
 
+def shared_parts(rows: list[tuple], size: int) -> list[tuple]:
+    """The parts of rows (f, whole, rk, id, a, text) whose strings of `size` bytes may repeat: strings with a hash of their own can't, and
+    no suffix of theirs need be sorted.
+    """
+    lengths = np.array([len(r[5]) for r in rows], np.int64)
+    bounds = np.cumsum(lengths)
+    hashes = SpanHash(np.frombuffer(b"".join(r[5] for r in rows), np.uint8)).all(size)
+    starts = np.flatnonzero(np.arange(len(hashes)) + size <= np.repeat(bounds, lengths)[: len(hashes)])
+    order = starts[np.argsort(hashes[starts])]
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    some = np.sort(order[np.r_[False, same] | np.r_[same, False]]) if len(order) else order
+    text = np.searchsorted(bounds, some, side="right")
+    cuts = np.flatnonzero(np.r_[True, (some[1:] != some[:-1] + 1) | (text[1:] != text[:-1])][: len(some)])
+    out = []
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(some)], strict=False):
+        f, whole, rk, key, a, held = rows[text[i]]
+        at = int(some[i] - (bounds[text[i]] - lengths[text[i]]))
+        out.append((f, whole, rk, key, a + at, held[at : at + j - i - 1 + size]))
+    return out
+
+
 def _repeated(size: int, first_stays: bool):
     """Strings that repeat among the texts of sorted groups: (rk, id, a, b) runs of starts; groups are never parted."""
     schema = pa.schema([("rk", pa.int64()), ("id", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
     def solved(rows: list[tuple]) -> pa.RecordBatch:
+        rows = shared_parts(rows, size)
         rows.sort(key=lambda r: (r[3], r[4], r[2]))  # (f, whole, rk, id, a, text): earlier documents and places first
         lengths = np.array([len(r[5]) for r in rows], np.int64)
         bounds = np.cumsum(lengths)
         data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        lpf, lnf = previous_factors(data, np.repeat(bounds, lengths), size)
+        lpf, lnf = previous_factors(data, np.repeat(bounds, lengths), size, only_limit=True) if rows else (np.zeros(0, np.int64),) * 2
         again = lpf >= size if first_stays else (lpf >= size) | (lnf >= size)
         hit = np.flatnonzero(again)
         text = np.searchsorted(bounds, hit, side="right")
@@ -254,7 +277,7 @@ def repeated_strings(docs: DataFrame, size: int = MIN_BYTES, first_stays: bool =
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64("id", "text").alias("rk"), F.coalesce("id", F.lit(-1 << 63)).alias("id"), "text")
     long = texts.where(F.octet_length("text") >= size)
-    places = stored(in_arrow(long, _places(size), "rk bigint, id bigint, a int, b int, f bigint, g bigint"), "places")
+    places = cut(in_arrow(long, _places(size), "rk bigint, id bigint, a int, b int, f bigint, g bigint"), "places")
     order = F.struct("id", "a", "rk", "b")
     alike = cut(places.groupBy("f", "g").agg(F.count("*").alias("n"), F.min(order).alias("least")))
     seeded = cut(alike.groupBy("f").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1"))
@@ -265,7 +288,7 @@ def repeated_strings(docs: DataFrame, size: int = MIN_BYTES, first_stays: bool =
     runs = [copies.select("rk", "id", "a", "b")]
     wanted = alike.where("kinds > 1").select("f", (F.col("n") > 1).alias("whole"), "least.*").groupBy("rk", "id").agg(F.collect_list(F.struct("f", "whole", "a", "b")).alias("wanted"))
     columns = "f bigint, whole boolean, rk bigint, id bigint, a int, text binary"
-    rows = stored(in_arrow(long.join(wanted, ["rk", "id"]).select("rk", "id", "text", "wanted"), _cut_out(size), columns), "rows")
+    rows = cut(in_arrow(long.join(wanted, ["rk", "id"]).select("rk", "id", "text", "wanted"), _cut_out(size), columns), "rows")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for width in (*SLICES, 0):
         large = cut(rows.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > group)) if width else None
@@ -273,14 +296,14 @@ def repeated_strings(docs: DataFrame, size: int = MIN_BYTES, first_stays: bool =
         runs.append(few.repartition(n, "f").sortWithinPartitions("f").mapInArrow(_repeated(size, first_stays), "rk bigint, id bigint, a int, b int"))
         if not width or large.isEmpty():
             break
-        sliced = stored(in_arrow(rows.join(large.select("f"), "f"), _sliced(size, width), "f bigint, g bigint, whole boolean, rk bigint, id bigint, a int, text binary"), "sliced")
+        sliced = cut(in_arrow(rows.join(large.select("f"), "f"), _sliced(size, width), "f bigint, g bigint, whole boolean, rk bigint, id bigint, a int, text binary"), "sliced")
         counted = cut(sliced.groupBy("f", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "a", "rk")).alias("least")))
         again = sliced.join(counted.where("n > 1").select("f", "g", "least"), ["f", "g"])
         again = again.where(F.struct("id", "a", "rk") != F.col("least")) if first_stays else again.where("NOT whole")
         runs.append(again.select("rk", "id", "a", (F.col("a") + F.octet_length("text") - size).cast("int").alias("b")))
         seeded = cut(counted.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1").select("f"))
         least = counted.join(seeded, "f").select("f", "g", "n", F.col("least.id").alias("id"), F.col("least.a").alias("a"), F.col("least.rk").alias("rk"))
-        rows = stored(sliced.join(cut(least), ["f", "g", "id", "a", "rk"]).select("f", (F.col("whole") | (F.col("n") > 1)).alias("whole"), "rk", "id", "a", "text").dropDuplicates(["f", "rk", "id", "a"]), "rows")
+        rows = cut(sliced.join(cut(least), ["f", "g", "id", "a", "rk"]).select("f", (F.col("whole") | (F.col("n") > 1)).alias("whole"), "rk", "id", "a", "text").dropDuplicates(["f", "rk", "id", "a"]), "rows")
     out = runs[0]
     for r in runs[1:]:
         out = out.unionByName(r)
