@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemmata.runtime import cut, delete
+
 #: ASCII letters; contracts lower-case these and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The bytes 0x20 and 0x09-0x0D.
@@ -22,42 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
-    named, jsc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc()
-    if not named:
-        if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='stemmata-')}")
-        return jsc.getCheckpointDir().get()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder, computed now."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def work_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/stemmata-{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: columnar and compressed, for wide intermediate results."""
-    path = work_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def dropped(df: DataFrame) -> None:
-    """Deletes what stored() wrote for df."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        if "/stemmata-" in f:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    """Deletes what cut() wrote for df."""
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if "/stemmata-" in path:
+            delete(df.sparkSession, path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -92,10 +61,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("src", "dst").unionByName(edges.selectExpr("dst AS src", "src AS dst")))
     labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")))
     while True:
-        from_, to = labels.toDF("src", "own"), labels.toDF("dst", "other")
-        lower = cut(both.join(from_, "src").join(to, "dst").where("other < own").select("src", "own", "other"))
-        if lower.isEmpty():
+        met = both.join(labels.toDF("src", "own"), "src").join(labels.toDF("dst", "other"), "dst").where("other < own")
+        heard = met.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.col("other").alias("component")), F.struct(F.col("own").alias("node"), F.col("other").alias("component")))), F.lit(None).cast("long").alias("old"))
+        hooked = cut(heard.unionByName(labels.withColumn("old", F.col("component"))).groupBy("node").agg(F.min("component").alias("component"), F.min("old").alias("old")))
+        if hooked.where("component < old").isEmpty():
             return labels
-        heard = lower.selectExpr("src AS node", "other AS component").unionByName(lower.selectExpr("own AS node", "other AS component"))
-        hooked = cut(heard.unionByName(labels).groupBy("node").agg(F.min("component").alias("component")))
-        labels = cut(hooked.join(hooked.toDF("component", "root"), "component").select("node", F.col("root").alias("component")))
+        labels = cut(hooked.join(hooked.select(F.col("node").alias("component"), F.col("component").alias("root")), "component").select("node", F.col("root").alias("component")))

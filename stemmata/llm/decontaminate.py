@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import LOWER, UPPER, as_bytes, cut, in_arrow, table
+from stemmata.llm.common import LOWER, UPPER, as_bytes, in_arrow, table
+from stemmata.runtime import cut
 
 WINDOW = 13
 #: Bytes of benchmark text that one pass sends to the executors, at most; a larger benchmark takes several passes.
@@ -118,7 +119,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     A window is `window` words of an item in a row, or a shorter item whole. A null or empty text has no words and is never
     contaminated; items without words, and a benchmark without rows, hit nothing; items that repeat an id count as one; a null item id
     is written as an empty string. Repeated rows are judged each; an empty table gives an empty result; columns may have any name.
-    The benchmark goes out in blocks of at most block_bytes, one pass each; passes after the first read checkpointed rows.
+    The benchmark goes out in blocks of at most block_bytes, one pass each; passes after the first read written rows.
     """
     out = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"), as_bytes(docs[text_col]).alias("bytes"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes, window)

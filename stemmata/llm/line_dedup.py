@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import BLANKS, LOWER, UPPER, dropped, stored, table
+from stemmata.llm.common import BLANKS, LOWER, UPPER, dropped, table
+from stemmata.runtime import cut
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Batches that a whole table is taken in, and runs of a level that are merged into one of the next.
@@ -31,7 +32,7 @@ class LineRuns:
     @staticmethod
     def _run(rows: DataFrame) -> DataFrame:
         merged = rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
-        return stored(merged.sortWithinPartitions("h1", "h2"), "run")
+        return cut(merged.sortWithinPartitions("h1", "h2"), "run")
 
     def all(self) -> DataFrame | None:
         runs = [r for level in self.levels for r in level]
@@ -91,11 +92,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id all keep the line; a null id is smaller than every other. An empty table gives an empty result, and columns may have any
     name. Batches go by a hash of the id; keys are compared by a 128-bit hash.
     """
-    lines = stored(index_lines(docs, id_col, text_col, min_chars), "lines")
+    lines = cut(index_lines(docs, id_col, text_col, min_chars), "lines")
     runs = LineRuns()
     for b in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
-    frequent = stored(runs.compacted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id"), "frequent")
+    frequent = cut(runs.compacted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id"), "frequent")
     # Both sides are plain exchanges: adaptive execution splits a line that very many documents hold.
     drops = lines.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).select("doc_id", "pos")
     drops = drops.groupBy(F.col("doc_id").alias("__drop_id")).agg(F.collect_set("pos").alias("__drop"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import cut, table
+from stemmata.llm.common import table
+from stemmata.runtime import cut
 
 #: Bytes of a shard, at most.
 SHARD_BYTES = 32 * 1024 * 1024

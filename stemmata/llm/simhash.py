@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import LOWER_ASCII, as_bytes, connected_components, cut, in_arrow, table
+from stemmata.llm.common import LOWER_ASCII, as_bytes, connected_components, in_arrow, table
+from stemmata.runtime import cut
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Bytes of a fingerprint. With at most MAX_BITS differing bits at least MIN_SHARED of them are equal, place by place.
@@ -45,20 +46,19 @@ def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
-def linked(groups: np.ndarray, prints: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Links between prints of a group that differ in at most max_bits bits: a spanning forest of each group, never all pairs.
+def roots(groups: np.ndarray, prints: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
+    """For each print the first of its group that chains of prints differing in at most max_bits bits lead to.
 
     groups are sorted numbers. The tally of equal bytes comes first, then the bits. Prints at one distance in the order are compared
-    together, and pairs that are connected already are left out.
+    together, and pairs that are connected already are left out; no list of pairs is made.
     """
-    links: list[tuple[int, int]] = []
     root = np.arange(len(prints))
     at, lag = np.arange(len(prints)), 1
     while True:
         at = at[at + lag < len(prints)]
         at = at[groups[at] == groups[at + lag]]
         if not len(at):
-            return links
+            return root
         near = at[root[at] != root[at + lag]]
         differ = prints[near] ^ prints[near + lag]
         shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1) >= BYTES - max_bits
@@ -70,9 +70,7 @@ def linked(groups: np.ndarray, prints: np.ndarray, max_bits: int = MAX_BITS) ->
                 a = root[a]
             while root[b] != b:
                 b = root[b]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((i, i + lag))
+            root[max(a, b)] = min(a, b)
         while len(near) and (root != (root := root[root])).any():
             pass
         lag += 1
@@ -83,10 +81,10 @@ def _forests(batches):
     held: tuple[np.ndarray, np.ndarray] | None = None
 
     def found(keys: np.ndarray, prints: np.ndarray):
-        links = linked(np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)]), prints)
-        if links:
-            a, b = np.array(links).T
-            yield pa.RecordBatch.from_arrays([pa.array(prints[a].view(np.int64)), pa.array(prints[b].view(np.int64))], ["src", "dst"])
+        root = roots(np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)]), prints)
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        if len(tied):
+            yield pa.RecordBatch.from_arrays([pa.array(prints[root[tied]].view(np.int64)), pa.array(prints[tied].view(np.int64))], ["src", "dst"])
 
     for batch in batches:
         keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
@@ -102,7 +100,9 @@ def _forests(batches):
 
 
 def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(src, dst) links that connect the distinct prints (fp) differing in at most MAX_BITS bits as all such pairs would."""
+    """(src, dst) links that connect the distinct prints (fp) as all pairs differing in at most MAX_BITS bits would: each posting
+    ties its prints to the first of those that they reach in it.
+    """
     byte = lambda p: F.shiftrightunsigned("fp", 8 * (BYTES - 1 - p)).bitwiseAND(F.lit(255))
     key = lambda k, t: F.lit(k << 24) + byte(t[0]) * 65536 + byte(t[1]) * 256 + byte(t[2])
     postings = prints.select("fp", F.explode(F.array(*[key(k, t) for k, t in enumerate(TRIPLES)])).alias("posting"))
@@ -116,7 +116,7 @@ def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
         pairs = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         dealt = pairs.select("posting", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "posting", "a", "b").sortWithinPartitions("posting", "a", "b")
+    dealt = dealt.repartition(n, "posting", "a", "b").sortWithinPartitions("posting", "a", "b", "fp")
     return dealt.mapInArrow(_forests, "src bigint, dst bigint")
 
 

@@ -112,7 +112,6 @@ def test_large_postings_keep_every_link(spark):
     prints = sorted({seed ^ int(np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 7)).astype(np.uint64))) for _ in range(400)})
     df = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in prints], "fp long")
     links = simhash.near_links(df, block=16)
-    assert links.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) > 3).count() == 0
     got = {r["node"] % 2**64: r["component"] for r in connected_components(links).collect()}
     want = components(prints, prints)
     classes = {}
