@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import BLANKS, cut, let, table
+from stemmata.llm.common import BLANKS, let, table
+from stemmata.runtime import cut
 
 #: Labelled rows that a list is learned from, at most: those of the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -172,10 +173,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.where(labels[id_col].isNotNull() & labels[label_col].isin(0, 1)).groupBy(labels[id_col].alias("__id")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).where("lo = hi")
     known = known.select("__id", F.col("lo").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    # Judged documents that the base rules reject teach nothing: no list sees them.
     seen = docs.join(F.broadcast(known), docs[id_col].eqNullSafe(F.col("__id"))).select(docs[id_col].alias("__id"), docs[text_col].alias("text"), "label")
-    stats = with_statistics(seen).where(~base_failed())
-    rows = cut(stats.select(*[x.alias(c) for c, x in features().items()], F.col("row.label").alias("label"), F.pmod(F.xxhash64(F.lit("part"), F.col("row.__id")), F.lit(3)).alias("part")))
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col("row.__id")), F.lit(3)).alias("part")
+    stats = with_statistics(seen).select(*[x.alias(c) for c, x in features().items()], F.col("row.label").alias("label"), part, base_failed().alias("failed"))
+    # Documents that the base rules reject teach nothing: no list sees them. The filter waits for the statistics of the sample, else it
+    # would be pushed below the join and need those of all documents.
+    rows = cut(stats).where(~F.col("failed"))
     shares = [i / CUTS for i in range(1, CUTS)]
     cuts = {}
     found = rows.groupBy("label").agg(*[F.percentile_approx(c, shares, 1000).alias(c) for c in FEATURES]).collect()
