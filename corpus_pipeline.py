@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import table, work_path
+from stemmata.llm.common import table
+from stemmata.runtime import work_path
 from stemmata.llm.decontaminate import clean_documents
 from stemmata.llm.line_dedup import dedup_lines
 from stemmata.llm.packing import pack_documents
