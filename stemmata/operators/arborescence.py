@@ -27,42 +27,47 @@ def solve(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, root: int) ->
 
     Contraction in rounds over whole arrays: the lightest edge into each vertex, then all cycles at once.
     """
-    levels = []
+    levels, ends = [], dst.astype(np.int64)
+    at = np.arange(n)  # the vertex of this level that holds each vertex of the graph
     cost, index = w.astype(np.int64).copy(), np.arange(len(w))
-    src, dst = src.astype(np.int64), dst.astype(np.int64)
+    src, dst = src.astype(np.int64), ends.copy()
     while True:
-        keep = (src != dst) & (dst != root)
-        src, dst, cost, index = src[keep], dst[keep], cost[keep], index[keep]
+        keep = np.flatnonzero((src != dst) & (dst != root))
+        # Of edges between the same two only the lightest can matter.
+        order = keep[np.lexsort((index[keep], cost[keep], src[keep], dst[keep]))]
+        pair = dst[order] * n + src[order]
+        order = order[np.r_[True, pair[1:] != pair[:-1]][: len(order)]]
+        src, dst, cost, index = src[order], dst[order], cost[order], index[order]
         order = np.lexsort((index, cost, dst))
         heads = order[np.r_[True, dst[order][1:] != dst[order][:-1]][: len(order)]]
         best = np.full(n, -1)
         best[dst[heads]] = heads
         parent = np.arange(n)
         parent[dst[heads]] = src[heads]
-        on_cycle = _cycles(parent, root)
-        if not len(on_cycle):
-            chosen = {int(dst[h]): int(index[h]) for h in heads.tolist()}
+        cycles = _cycles(parent, root)
+        if not len(cycles):
+            chosen = dict(zip(dst[heads].tolist(), index[heads].tolist(), strict=True))
             break
         label = np.full(n, -1)
-        for k, cycle in enumerate(on_cycle):
+        for k, cycle in enumerate(cycles):
             label[cycle] = k
         rest = np.flatnonzero(label < 0)
-        label[rest] = len(on_cycle) + np.arange(len(rest))
-        # What each edge enters, among the vertices of this level, is needed to open the cycles again.
-        levels.append((on_cycle, {int(v): int(index[best[v]]) for c in on_cycle for v in c}, label, dict(zip(index.tolist(), dst.tolist(), strict=True))))
-        inside = np.zeros(n, bool)
-        inside[np.concatenate(on_cycle)] = True
-        hit = inside[dst]
+        label[rest] = len(cycles) + np.arange(len(rest))
+        inside = np.concatenate(cycles)
+        levels.append((cycles, dict(zip(inside.tolist(), index[best[inside]].tolist(), strict=True)), at))
+        held = np.zeros(n, bool)
+        held[inside] = True
+        hit = held[dst]
+        cost = cost.copy()
         cost[hit] -= cost[best[dst[hit]]]
-        src, dst, root, n = label[src], label[dst], int(label[root]), len(on_cycle) + len(rest)
-    for cycles, inner, label, enters in reversed(levels):
+        src, dst, at, root, n = label[src], label[dst], label[at], int(label[root]), len(cycles) + len(rest)
+    for cycles, inner, at in reversed(levels):
         below = {}
         for v, e in chosen.items():
-            below[enters[e]] = e
+            entered = int(at[ends[e]])
+            below[entered] = e
             if v < len(cycles):
-                for m in cycles[v]:
-                    if int(m) != enters[e]:
-                        below[int(m)] = inner[int(m)]
+                below |= {m: inner[m] for m in cycles[v].tolist() if m != entered}
         chosen = below
     return np.array(sorted(chosen.values()), np.int64)
 
