@@ -25,68 +25,70 @@ KERNEL_EDGES = 2_000_000
 def solve(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, root: int) -> np.ndarray:
     """Indexes of the edges of a minimum arborescence from root over vertices 0..n-1, each of which root reaches; ties by index.
 
-    Contraction in rounds over whole arrays: the lightest edge into each vertex, then all cycles at once.
+    A path grows backwards along lightest incoming edges until it meets what is finished, and contracts whenever it meets itself. A
+    contracted vertex keeps the lightest edge from each other one, so that all contractions together cost at most n * n array steps.
     """
-    levels, ends = [], dst.astype(np.int64)
-    at = np.arange(n)  # the vertex of this level that holds each vertex of the graph
-    cost, index = w.astype(np.int64).copy(), np.arange(len(w))
-    src, dst = src.astype(np.int64), ends.copy()
-    while True:
-        keep = np.flatnonzero((src != dst) & (dst != root))
-        # Of edges between the same two only the lightest can matter.
-        order = keep[np.lexsort((index[keep], cost[keep], src[keep], dst[keep]))]
-        pair = dst[order] * n + src[order]
-        order = order[np.r_[True, pair[1:] != pair[:-1]][: len(order)]]
-        src, dst, cost, index = src[order], dst[order], cost[order], index[order]
-        order = np.lexsort((index, cost, dst))
-        heads = order[np.r_[True, dst[order][1:] != dst[order][:-1]][: len(order)]]
-        best = np.full(n, -1)
-        best[dst[heads]] = heads
-        parent = np.arange(n)
-        parent[dst[heads]] = src[heads]
-        cycles = _cycles(parent, root)
-        if not len(cycles):
-            chosen = dict(zip(dst[heads].tolist(), index[heads].tolist(), strict=True))
-            break
-        label = np.full(n, -1)
-        for k, cycle in enumerate(cycles):
-            label[cycle] = k
-        rest = np.flatnonzero(label < 0)
-        label[rest] = len(cycles) + np.arange(len(rest))
-        inside = np.concatenate(cycles)
-        levels.append((cycles, dict(zip(inside.tolist(), index[best[inside]].tolist(), strict=True)), at))
-        held = np.zeros(n, bool)
-        held[inside] = True
-        hit = held[dst]
-        cost = cost.copy()
-        cost[hit] -= cost[best[dst[hit]]]
-        src, dst, at, root, n = label[src], label[dst], label[at], int(label[root]), len(cycles) + len(rest)
-    for cycles, inner, at in reversed(levels):
-        below = {}
-        for v, e in chosen.items():
-            entered = int(at[ends[e]])
-            below[entered] = e
-            if v < len(cycles):
-                below |= {m: inner[m] for m in cycles[v].tolist() if m != entered}
-        chosen = below
-    return np.array(sorted(chosen.values()), np.int64)
-
-
-def _cycles(parent: np.ndarray, root: int) -> list[np.ndarray]:
-    """Cycles of a map that has more than one vertex in each; root stands for itself."""
-    state, out = np.zeros(len(parent), np.int8), []
-    state[root] = 2
-    up = parent.tolist()
-    for v in range(len(up)):
-        path = []
-        while state[v] == 0:
-            state[v] = 1
-            path.append(v)
-            v = up[v]
-        if state[v] == 1 and len(path) and up[v] != v:
-            out.append(np.array(path[path.index(v) :]))
-        state[path] = 2
-    return out
+    src, dst, cost = (np.asarray(x, np.int64) for x in (src, dst, w))
+    order = np.lexsort((np.arange(len(src)), dst))
+    order = order[(src[order] != dst[order]) & (dst[order] != root)]
+    bounds = np.searchsorted(dst[order], np.arange(n + 1))
+    into: list[tuple[np.ndarray, np.ndarray] | None] = [(order[bounds[v] : bounds[v + 1]], cost[order[bounds[v] : bounds[v + 1]]]) for v in range(n)]
+    label, held = np.arange(n), [np.array([v]) for v in range(n)]
+    parent, chosen, charge = [-1] * n, [-1] * n, [0] * n
+    done, place = [False] * n, [-1] * n
+    done[root] = True
+    for start in range(n):
+        path = [] if done[label[start]] else [int(label[start])]
+        if path:
+            place[path[0]] = 0
+        while path:
+            v = path[-1]
+            edges, costs = into[v]
+            outside = label[src[edges]] != v
+            if not outside.all():
+                edges, costs = into[v] = edges[outside], costs[outside]
+            k = int(np.lexsort((edges, costs))[0]) if len(edges) < 8 else _first(edges, costs)
+            chosen[v], charge[v] = int(edges[k]), int(costs[k])
+            u = int(label[src[edges[k]]])
+            if done[u]:
+                for x in path:
+                    done[x] = True
+                break
+            if place[u] < 0:
+                place[u] = len(path)
+                path.append(u)
+                continue
+            cycle, path = path[place[u] :], path[: place[u]]
+            c = len(parent)
+            edges = np.concatenate([into[x][0] for x in cycle])
+            costs = np.concatenate([into[x][1] - charge[x] for x in cycle])
+            members = np.concatenate([held[x] for x in cycle])
+            label[members] = c
+            for x in cycle:
+                parent[x], into[x], held[x] = c, None, None
+            of = label[src[edges]]
+            by = np.lexsort((edges, costs, of))
+            by = by[np.r_[True, of[by][1:] != of[by][:-1]][: len(by)]]
+            into.append((edges[by], costs[by]))
+            held.append(members)
+            parent.append(-1)
+            chosen.append(-1)
+            charge.append(0)
+            done.append(False)
+            place.append(len(path))
+            path.append(c)
+    for c in range(len(parent) - 1, n - 1, -1):  # the edge into a contracted vertex goes to the member that it ends in
+        x = int(dst[chosen[c]])
+        while parent[x] != c:
+            x = parent[x]
+        chosen[x] = chosen[c]
+    return np.array(sorted(chosen[v] for v in range(n) if v != root), np.int64)
+
+
+def _first(edges: np.ndarray, costs: np.ndarray) -> int:
+    """The place of the lightest edge, of equal ones that of the smallest index."""
+    least = np.flatnonzero(costs == costs.min())
+    return int(least[np.argmin(edges[least])])
 
 
 def arborescence_of(edges: list[tuple[int, int, int]], nodes: list[int] | None = None) -> list[tuple[int, int, int]]:
