@@ -22,7 +22,7 @@ def outgoing(edges: DataFrame, node: int, up_to: int | None = None) -> DataFrame
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Of parallel edges the first by `ord`, or the lightest if there is no such column."""
-    first = F.col("ord") if "ord" in edges.columns else F.col("w")
+    first = F.struct("ord", "w") if "ord" in edges.columns else F.col("w")
     return edges.groupBy("src", "dst").agg(F.min_by("w", first).alias("w"))
 
 

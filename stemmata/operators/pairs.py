@@ -118,9 +118,9 @@ def mirrored(matrix: DataFrame) -> DataFrame:
 
 
 def to_matrix(edges: DataFrame, order: str = "ord") -> DataFrame:
-    """(i, j, d) of edges (src, dst, w, order) without regard to direction: the last by `order` counts; loops are left out."""
+    """(i, j, d) of edges (src, dst, w, order) without regard to direction: the last by `order` counts (of ties the heaviest); loops are left out."""
     rows = edges.where("src <> dst").select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"), "w", order)
-    return rows.groupBy("i", "j").agg(F.max_by("w", order).cast("double").alias("d"))
+    return rows.groupBy("i", "j").agg(F.max_by("w", F.struct(order, "w")).cast("double").alias("d"))
 
 
 def positions(profiles: DataFrame, offset: int = 0) -> DataFrame:

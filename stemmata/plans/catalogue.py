@@ -171,7 +171,7 @@ def _(spark, sf):
     return pairs.mirrored(pairs.upper_pairs(nations(spark, sf)))
 
 
-@query("graph_to_matrix", "SELECT least(src, dst) AS i, greatest(src, dst) AS j, CAST(arg_max(w, ord) AS DOUBLE) AS d FROM edges WHERE src <> dst GROUP BY ALL", "edges")
+@query("graph_to_matrix", "SELECT least(src, dst) AS i, greatest(src, dst) AS j, CAST(max({'ord': ord, 'w': w}).w AS DOUBLE) AS d FROM edges WHERE src <> dst GROUP BY ALL", "edges")
 def _(spark, sf):
     return pairs.to_matrix(edges(spark, sf))
 
@@ -233,7 +233,7 @@ def _(spark, sf):
     return graph.outgoing(edges(spark, sf), 3, up_to=50).select("src", "dst", "w")
 
 
-@query("adjacency", "SELECT src, dst, arg_min(w, ord) AS w FROM edges GROUP BY src, dst", "edges")
+@query("adjacency", "SELECT src, dst, min({'ord': ord, 'w': w}).w AS w FROM edges GROUP BY src, dst", "edges")
 def _(spark, sf):
     return graph.adjacency(edges(spark, sf))
 
@@ -288,11 +288,11 @@ def _(spark, sf):
     return graph.remove_outgoing(edges(spark, sf), _read(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"))).select("src", "dst", "w")
 
 
-@query("remove_one_parallel_edge", "SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY ord) AS n FROM edges) WHERE n > 1 OR dst >= 100", "edges")
+@query("remove_one_parallel_edge", "SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY ord, w) AS n FROM edges) WHERE n > 1 OR dst >= 100", "edges")
 def _(spark, sf):
     all_ = edges(spark, sf)
     wanted = all_.where("dst < 100").select("src", "dst").distinct()
-    return graph.remove_edges(all_, wanted, ["ord"]).select("src", "dst", "w")
+    return graph.remove_edges(all_, wanted, ["ord", "w"]).select("src", "dst", "w")
 
 
 _LABELS = "+labels AS (SELECT DISTINCT v, v % 10 AS c, v % 4 AS off FROM (SELECT src AS v FROM edges UNION SELECT dst FROM edges)), charged AS (SELECT e.src, e.dst, e.w, a.c AS csrc, b.c AS cdst, e.w + b.off AS adj FROM edges e JOIN labels a ON a.v = e.src JOIN labels b ON b.v = e.dst) "

@@ -8,29 +8,35 @@ from pyspark.sql import functions as F
 from stemmata.functions.alleles import normalise_alleles
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, value): lines in the order of each file. A file is split into lines whole, so that no global sort is needed."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("ord", "value"))
+def _lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(file, ord, value): lines with their number in the file, from 0. Large files are read in blocks: a line's number is its place in its
+    block and the lines of the blocks before, of which there is one count a block.
+    """
+    read = spark.read.text(path, lineSep=separator).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), "value")
+    counts = read.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = counts.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))
+    placed = read.withColumn("place", F.row_number().over(Window.partitionBy("file", "block").orderBy("mid")) - 1)
+    return placed.join(before, ["file", "block"]).select("file", (F.col("place") + F.col("before")).alias("ord"), "value")
 
 
 def _cells(lines: DataFrame, tab_anywhere: bool) -> DataFrame:
     """Adds cells. Tabs part cells if the first line has one and, unless tab_anywhere, no comma; commas do otherwise."""
-    tabbed = F.col("first").contains("\t") & (F.lit(True) if tab_anywhere else ~F.col("first").contains(","))
-    first = lines.withColumn("first", F.first("value").over(Window.partitionBy("file").orderBy("ord")))
-    return first.withColumn("cells", F.when(tabbed, F.split("value", "\t")).otherwise(F.split("value", ","))).drop("first")
+    heads = lines.where("ord = 0").select("file", (F.col("value").contains("\t") & (F.lit(tab_anywhere) | ~F.col("value").contains(","))).alias("tabbed"))
+    return lines.join(heads, "file").withColumn("cells", F.when(F.col("tabbed"), F.split("value", "\t")).otherwise(F.split("value", ","))).drop("tabbed")
 
 
 def read_typing(spark: SparkSession, path: str, id_offset: int = 0, tab_anywhere: bool = False) -> DataFrame:
-    """(id, st, alleles) of a delimited typing table with a header: ids count the good rows from id_offset, in file and line order.
+    """(id, st, alleles) of a delimited typing table with a header: ids count the good rows from id_offset, in the order of files and lines.
 
     Rows of fewer than two cells or with a blank ST are left out; STs are trimmed text, alleles are normalised; ragged rows stay.
     """
     rows = _cells(_lines(spark, path), tab_anywhere).where((F.col("ord") > 0) & (F.size("cells") >= 2) & (F.length(F.trim(F.col("cells")[0])) > 0))
-    per_file = rows.groupBy("file").count()
-    before = per_file.select("file", (F.sum("count").over(Window.orderBy("file")) - F.col("count")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("ord")) - 1 + F.col("before") + id_offset
-    return rows.join(F.broadcast(before), "file").select(place.cast("int").alias("id"), F.trim(F.col("cells")[0]).alias("st"), normalise_alleles(F.slice("cells", F.lit(2), F.size("cells") - 1)).alias("alleles"))
+    # Rows are numbered in runs of lines, of which there are few, and by the rows of the runs before.
+    rows = rows.withColumn("run", F.floor(F.col("ord") / 65_536))
+    counts = rows.groupBy("file", "run").agg(F.count("*").alias("n"))
+    before = counts.select("file", "run", (F.sum("n").over(Window.orderBy("file", "run")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "run").orderBy("ord")) - 1 + F.col("before") + id_offset
+    return rows.join(before, ["file", "run"]).select(place.cast("int").alias("id"), F.trim(F.col("cells")[0]).alias("st"), normalise_alleles(F.slice("cells", F.lit(2), F.size("cells") - 1)).alias("alleles"))
 
 
 def read_typing_lenient(spark: SparkSession, path: str) -> DataFrame:
@@ -49,10 +55,14 @@ def st(profiles: DataFrame) -> Column:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, header, seq) of FASTA records in order; wrapped lines are joined."""
-    records = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.slice(F.split(F.regexp_replace("value", "\r\n?", "\n"), "(?m)^>"), 2, 1 << 30)).alias("ord", "record"))
-    place = F.row_number().over(Window.orderBy("file", "ord")) - 1
-    return records.select(place.cast("int").alias("id"), F.trim(F.substring_index("record", "\n", 1)).alias("header"), F.regexp_replace(F.regexp_extract("record", "(?s)^[^\n]*\n?(.*)$", 1), "\n", "").alias("seq"))
+    """(id, header, seq) of FASTA records in the order of files and places; wrapped lines are joined. Records, not files, are read apart."""
+    records = _lines(spark, path, "\n>").select("file", "ord", F.split(F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", ""), "\n").alias("lines"))
+    runs = records.withColumn("run", F.floor(F.col("ord") / 65_536))
+    counts = runs.groupBy("file", "run").agg(F.count("*").alias("n"))
+    before = counts.select("file", "run", (F.sum("n").over(Window.orderBy("file", "run")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "run").orderBy("ord")) - 1 + F.col("before")
+    rest = F.slice("lines", F.lit(2), F.size("lines") - 1)
+    return runs.join(before, ["file", "run"]).select(place.cast("int").alias("id"), F.trim(F.col("lines")[0]).alias("header"), F.array_join(rest, "").alias("seq"))
 
 
 def read_entropy_json(spark: SparkSession, path: str) -> DataFrame:
