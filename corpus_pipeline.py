@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemmata.llm.common import table
-from stemmata.runtime import work_path
+from stemmata.runtime import ship, work_path
 from stemmata.llm.decontaminate import clean_documents
 from stemmata.llm.line_dedup import dedup_lines
 from stemmata.llm.packing import pack_documents
@@ -20,27 +20,32 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned rules keep. The rules are learned from the labelled ones among docs."""
+    ship(spark)
     return keep_good(docs, learn(docs, table(spark, sf_dir, "labels"))).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that others hold too; n_chars follows the text."""
+    ship(spark)
     out = dedup_lines(docs)
     return out.select("row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    ship(spark)
     return one_of_each(docs).select(*COLUMNS)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated."""
+    ship(spark)
     return clean_documents(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of documents."""
+    ship(spark)
     return pack_documents(docs)
 
 
