@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemmata.llm.common import table
@@ -31,9 +31,9 @@ def _leaves(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
         fine = cut(rest.groupBy(_prefix(high).alias("fine")).agg(F.sum("n_bytes").alias("n_bytes")))
         depths = fine.select("fine", "n_bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
         depths = depths.withColumn("prefix", F.call_function("shiftright", F.col("fine"), F.lit(high) - F.col("depth")))
-        fits = depths.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("total")).where(F.col("total") <= limit).drop("total")
         # Buckets only shrink with depth: the first depth at which one fits is its leaf.
-        leaf = cut(depths.join(fits, ["depth", "prefix"]).groupBy("fine").agg(F.min("depth").cast("int").alias("depth")))
+        total = F.sum("n_bytes").over(Window.partitionBy("depth", "prefix"))
+        leaf = cut(depths.withColumn("total", total).where(F.col("total") <= limit).groupBy("fine").agg(F.min("depth").cast("int").alias("depth")))
         if not low:
             leaf = F.broadcast(leaf)  # 2 ** ROUND rows of 12 bytes at most
         found = rest.withColumn("fine", _prefix(high)).join(leaf, "fine", "left").drop("fine")
