@@ -14,6 +14,8 @@ from stemmata.runtime import cut, delete
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The bytes 0x20 and 0x09-0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Links that a task of connected_components() takes, about.
+TASK_LINKS = 250_000
 #: bytes.translate table that lower-cases A-Z only.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -59,11 +61,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("src <> dst")
     both = cut(edges.select("src", "dst").unionByName(edges.selectExpr("dst AS src", "src AS dst")))
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")))
+    # Links are often few: tasks and files by their number, not by that of the input's partitions.
+    tasks = 1 + both.count() // TASK_LINKS
+    fewer = lambda df: cut(df.coalesce(tasks))
+    labels = fewer(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")))
     while True:
         met = both.join(labels.toDF("src", "own"), "src").join(labels.toDF("dst", "other"), "dst").where("other < own")
         heard = met.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.col("other").alias("component")), F.struct(F.col("own").alias("node"), F.col("other").alias("component")))), F.lit(None).cast("long").alias("old"))
-        hooked = cut(heard.unionByName(labels.withColumn("old", F.col("component"))).groupBy("node").agg(F.min("component").alias("component"), F.min("old").alias("old")))
+        hooked = fewer(heard.unionByName(labels.withColumn("old", F.col("component"))).groupBy("node").agg(F.min("component").alias("component"), F.min("old").alias("old")))
         if hooked.where("component < old").isEmpty():
             return labels
-        labels = cut(hooked.join(hooked.select(F.col("node").alias("component"), F.col("component").alias("root")), "component").select("node", F.col("root").alias("component")))
+        labels = fewer(hooked.join(hooked.select(F.col("node").alias("component"), F.col("component").alias("root")), "component").select("node", F.col("root").alias("component")))
