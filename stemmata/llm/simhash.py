@@ -121,7 +121,7 @@ def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id, n_links) for every row of docs: component_id is the smallest id that links of at most MAX_BITS bits reach.
+    """(doc_id, fp, component_id) for every row of docs: component_id is the smallest id that links of at most MAX_BITS bits reach.
 
     A null or empty text has fingerprint zero and is linked like any other. Repeated rows and copies share a fingerprint and so a
     component; null ids are never a component's id unless it has no other. An empty table gives an empty result; only id_col and

@@ -346,7 +346,7 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id. An empty table gives an empty result; only id_col and text_col are read.
     """
     texts, runs = repeated_strings(docs.select(docs[id_col].cast("long").alias("id"), as_bytes(docs[text_col]).alias("text")), size, first_stays, group)
-    runs = runs.groupBy("rk", "id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    runs = runs.groupBy("rk", "id").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     out = in_arrow(texts.join(runs, ["rk", "id"], "left").select("id", "text", "runs"), _kept(size)(with_text), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out.withColumn("id", F.when(F.col("id") != -1 << 63, F.col("id"))).withColumnRenamed("id", "doc_id")
 
