@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemmata.functions.distances import HAMMING, DistanceFunction
+from stemmata.runtime import cut
 
 #: Profiles of a block: two blocks and the distances between them make up a task's memory.
 BLOCK = 512
@@ -123,6 +124,11 @@ def to_matrix(edges: DataFrame, order: str = "ord") -> DataFrame:
     return rows.groupBy("i", "j").agg(F.max_by("w", F.struct(order, "w")).cast("double").alias("d"))
 
 
-def positions(profiles: DataFrame, offset: int = 0) -> DataFrame:
-    """Profiles with ids numbered from offset in the order of their st; one sort over ids."""
-    return profiles.withColumn("id", (F.row_number().over(Window.orderBy("st")) - 1 + offset).cast("int"))
+def numbered(rows: DataFrame, by: list[str], offset: int = 0, name: str = "id") -> DataFrame:
+    """rows with numbers from offset in the order of `by`: ranges are sorted apart, and one count a range tells where its numbers begin."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    placed = cut(ranges.withColumn("__range", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = placed.groupBy("__range").agg(F.count("*").alias("n"))
+    before = counts.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))
+    return placed.join(before, "__range").withColumn(name, F.col("__place") + F.col("__before") + offset).drop("__range", "__place", "__before")

@@ -134,6 +134,11 @@ def _(spark, sf):
     return profiles(spark, sf).select("id", al.valid_point(F.col("id") - 5, F.col("alleles")).alias("valid"))
 
 
+@query("positional_ids", "SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 + 100 AS id FROM customer")
+def _(spark, sf):
+    return pairs.numbered(_read(spark, sf, "customer"), ["c_nationkey", "c_custkey"], 100).select("c_custkey", "id")
+
+
 # Distances and statistics
 
 
@@ -467,6 +472,11 @@ def _(spark, sf):
     return trees.reduction_quantities(forest(spark, sf)).select("fid", "r")
 
 
+@query("candidate_ancestors", _ANC + "SELECT f.fid, a.dist, f.y FROM above a JOIN forest f ON f.fid = a.anc WHERE a.fid = 23 AND f.y > 1", "forest")
+def _(spark, sf):
+    return trees.candidate_ancestors(forest(spark, sf).withColumn("w", F.col("y")), 23, 1).select("fid", "dist", "y")
+
+
 @query("decompose_roots", _ANC + ", gone AS (SELECT DISTINCT anc FROM above WHERE fid IN (20, 23) AND dist > 0) SELECT fid, CASE WHEN parent_fid NOT IN (SELECT anc FROM gone) THEN parent_fid END AS parent_fid FROM forest WHERE fid NOT IN (SELECT anc FROM gone)", "forest")
 def _(spark, sf):
     return trees.decompose(forest(spark, sf), spark.createDataFrame([(20,), (23,)], "fid bigint")).select("fid", "parent_fid")
