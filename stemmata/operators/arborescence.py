@@ -18,8 +18,8 @@ from stemmata.runtime import cut
 
 #: The virtual root's label.
 ROOT = -1
-#: A contracted graph of so many edges at most (of 24 bytes) is finished by one task, whose memory that bounds.
-KERNEL_EDGES = 2_000_000
+#: A contracted graph of so many edges at most (of 48 bytes) is finished by one task, whose memory that bounds.
+KERNEL_EDGES = 8_000_000
 
 
 def solve(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, root: int) -> np.ndarray:
@@ -113,28 +113,31 @@ class Contraction:
     rounds: list[tuple[DataFrame, DataFrame, DataFrame]] = field(default_factory=list)
 
 
-def minimum_arborescence(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def minimum_arborescence(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, keep_edges: bool = True) -> DataFrame:
     """(src, dst, w): the minimum arborescence over all roots, or a forest of fewest trees if none spans the graph; ties by (w, src, dst).
 
     edges: (src, dst, w); nodes: (id), for vertices that no edge touches. Edges are neither collected nor rewritten: a round
-    shuffles the lightest edge of each component. Once few edges lie between components, one task ends the work.
+    shuffles the lightest edge of each component. Once few edges lie between components, one task ends the work. keep_edges: edges are
+    written once for all passes; without it each pass computes them again, and they are never stored.
     """
-    return infer(edges, nodes, kernel_edges)[0]
+    return infer(edges, nodes, kernel_edges, keep_edges)[0]
 
 
-def infer(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES) -> tuple[DataFrame, Contraction]:
+def infer(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, keep_edges: bool = True) -> tuple[DataFrame, Contraction]:
     long = lambda c: F.col(c).cast("bigint").alias(c)
     real = edges.where("src <> dst").select(long("src"), long("dst"), long("w"))
+    real = cut(real) if keep_edges else real
     vertices = real.select(F.col("src").alias("v")).unionByName(real.select(F.col("dst").alias("v")))
     if nodes is not None:
         vertices = vertices.unionByName(nodes.select(F.col("id").cast("bigint").alias("v")))
     labels = cut(vertices.distinct().select("v", F.col("v").alias("c"), F.lit(0).cast("bigint").alias("off")))
-    big = 1 + 2 * (real.agg(F.sum(F.abs("w"))).first()[0] or 0)
+    weight, n_edges = real.agg(F.sum(F.abs("w")), F.count("*")).first()
+    big = 1 + 2 * (weight or 0)
     state = Contraction()
     solved = None
     while True:
         charged = _between(real, labels, big)
-        if real.limit(kernel_edges + 1).count() <= kernel_edges:
+        if n_edges <= kernel_edges or state.rounds and charged.where(F.col("csrc") != ROOT).limit(kernel_edges + 1).count() <= kernel_edges:
             solved = _finish(charged)
             break
         best = cut(charged.groupBy("cdst").agg(F.min(F.struct("adj", "w", "src", "dst", "csrc")).alias("x")).select(F.col("cdst").alias("c"), "x.*"))

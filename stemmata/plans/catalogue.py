@@ -414,7 +414,7 @@ def _(spark, sf):
 
 @query("mwa_on_demand")
 def _(spark, sf):
-    found = arborescence.minimum_arborescence(pairs.all_pairs(profiles(spark, sf)))
+    found = arborescence.minimum_arborescence(pairs.all_pairs(profiles(spark, sf)), keep_edges=False)
     return trees.validate(found, None, profiles(spark, sf))
 
 

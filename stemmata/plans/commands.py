@@ -65,7 +65,7 @@ def infer(store: Store, options: Options) -> DataFrame:
         profiles = store.load_nodes()
         return approximate_tree(profiles, _samples(profiles, options), options.radius, options.k, options.distance)
     if options.on_demand:
-        return minimum_arborescence(all_pairs(store.load_nodes(), options.distance), nodes.select("id"))
+        return minimum_arborescence(all_pairs(store.load_nodes(), options.distance), nodes.select("id"), keep_edges=False)
     return minimum_arborescence(edges, nodes.select("id"))
 
 
