@@ -60,7 +60,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     plain exchanges, which adaptive execution splits at hubs; minima are combined before the shuffle.
     """
     edges = edges.where("src <> dst")
-    both = cut(edges.select("src", "dst").unionByName(edges.selectExpr("dst AS src", "src AS dst")))
+    ends = [F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("src", "dst"), ("dst", "src"))]
+    both = cut(edges.select(F.inline(F.array(*ends))))  # not a union: that would compute the links twice
     # Links are often few: tasks and files by their number, not by that of the input's partitions.
     tasks = 1 + both.count() // TASK_LINKS
     fewer = lambda df: cut(df.coalesce(tasks))
