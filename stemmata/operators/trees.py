@@ -60,7 +60,7 @@ def validate(tree: DataFrame, edges: DataFrame | None, nodes: DataFrame) -> Data
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(v, c): weakly connected components, named by their smallest vertex. A round lowers the label of an edge's end and of that end's
     own label to the other end's, then jumps pointers."""
-    both = cut(edges.where("src <> dst").selectExpr("cast(src AS bigint) AS a", "cast(dst AS bigint) AS b").unionByName(edges.where("src <> dst").selectExpr("cast(dst AS bigint) AS a", "cast(src AS bigint) AS b")))
+    both = cut(edges.where("src <> dst").selectExpr("inline(array(named_struct('a', cast(src AS bigint), 'b', cast(dst AS bigint)), named_struct('a', cast(dst AS bigint), 'b', cast(src AS bigint))))"))
     vertices = edges.selectExpr("cast(src AS bigint) AS v").unionByName(edges.selectExpr("cast(dst AS bigint) AS v"))
     if nodes is not None:
         vertices = vertices.unionByName(nodes.selectExpr("cast(id AS bigint) AS v"))
