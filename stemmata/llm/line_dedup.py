@@ -99,6 +99,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frequent = cut(runs.compacted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id"), "frequent")
     # Both sides are plain exchanges: adaptive execution splits a line that very many documents hold.
     drops = lines.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).select("doc_id", "pos")
+    return _without(docs, drops, id_col, text_col)
+
+
+def dedup_batch(runs: LineRuns, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """The same columns for a new batch of a growing corpus: lines whose key an earlier batch holds go, by a merge-anti-join of the batch's
+    keys with every run; then the batch adds its own run to runs. Within the batch nothing goes.
+    """
+    lines = cut(index_lines(docs, id_col, text_col, min_chars), "lines")
+    fresh = cut(runs.unseen(lines.where("first").select("h1", "h2").distinct()), "fresh")
+    drops = lines.join(fresh, ["h1", "h2"], "left_anti").select("doc_id", "pos")
+    out = cut(_without(docs, drops, id_col, text_col), "batch")
+    runs.add(lines)
+    return out
+
+
+def _without(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs as `row`, with n_lines, n_dropped and kept_text, without the lines at drops (doc_id, pos)."""
     drops = drops.groupBy(F.col("doc_id").alias("__drop_id")).agg(F.collect_set("pos").alias("__drop"))
     text = F.coalesce(F.col("row")[text_col], F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))

@@ -118,6 +118,15 @@ def test_runs_are_levelled(spark):
     assert {(r["h1"], r["n_docs"], r["last_id"]) for r in runs.compacted().collect()} == {(0, 1, 0), (2, 3, 2), (4, 4, 4), (6, 2, 4)}
 
 
+def test_batches_lose_what_earlier_ones_hold(spark):
+    a, b, c = "the first of the common lines", "the second of the common lines", "a line of the last batch only"
+    runs, kept = line_dedup.LineRuns(), []
+    for batch in ([(1, f"{a}\n{a}\nshort")], [(2, f"{a}\n{b}\nshort"), (3, b)], [(4, f"{b.upper()} \n{c}\n{a}"), (5, None)]):
+        found = line_dedup.dedup_batch(runs, spark.createDataFrame([(*d, "r", "b", "i") for d in batch], DOCS))
+        kept.append({r["doc_id"]: r["kept_text"] for r in found.select("row.doc_id", "kept_text").collect()})
+    assert kept == [{1: f"{a}\n{a}\nshort"}, {2: f"{b}\nshort", 3: b}, {4: c, 5: ""}]
+
+
 # Shards
 
 
