@@ -22,6 +22,8 @@ MIN_SHARED = BYTES - MAX_BITS
 TRIPLES = tuple(t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in ((half[0], half[1], half[2]), (half[0], half[1], half[3]), (half[0], half[2], half[3]), (half[1], half[2], half[3])))
 #: Fingerprints of a posting that one group takes; larger postings are split into blocks, and pairs of blocks are compared apart.
 BLOCK = 1024
+#: Postings that a task takes, about.
+TASK_POSTINGS = 250_000
 _CHUNK = 65_536
 
 
@@ -115,7 +117,7 @@ def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
         own = F.pmod(F.xxhash64("fp"), F.col("parts"))
         pairs = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         dealt = pairs.select("posting", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = 1 + len(TRIPLES) * prints.count() // TASK_POSTINGS  # tasks and files by the postings
     dealt = dealt.repartition(n, "posting", "a", "b").sortWithinPartitions("posting", "a", "b", "fp")
     return dealt.mapInArrow(_forests, "src bigint, dst bigint")
 
