@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -193,12 +195,100 @@ def best_run(hit: np.ndarray, share: float = SIMILARITY) -> tuple[int, int]:
     return int(np.flatnonzero(np.r_[0.0, gain][: end + 1] == low[end])[-1]), end
 
 
-def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY, width: int = WIDTH) -> list[tuple[int, int, int, int, float]]:
+def chain(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x and y that hold the same, rising in both: the longest chain of what occurs once in either, and what goes on evenly from it."""
+    one, i = np.unique(x, return_index=True)
+    i = i[np.bincount(np.searchsorted(one, x), minlength=len(one)) == 1]
+    two, j, n = np.unique(y, return_index=True, return_counts=True)
+    two, j = two[n == 1], j[n == 1]
+    i = np.sort(i)
+    at = np.minimum(np.searchsorted(two, x[i]), max(0, len(two) - 1))
+    i = i[two[at] == x[i]] if len(two) else i[:0]
+    j = j[np.searchsorted(two, x[i])] if len(i) else i
+    if len(j) > 1 and (np.diff(j) < 0).any():
+        tails, ends, before = [], [], []
+        for k, v in enumerate(j.tolist()):
+            at = bisect_left(tails, v)
+            before.append(ends[at - 1] if at else -1)
+            tails[at : at + 1], ends[at : at + 1] = [v], [k]
+        k, kept = ends[-1], []
+        while k >= 0:
+            kept.append(k)
+            k = before[k]
+        i, j = i[kept[::-1]], j[kept[::-1]]
+    out: list[tuple[int, int]] = []
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = out[-1] if out else (-1, -1)
+        while out and a + 1 < p and b + 1 < q and x[a + 1] == y[b + 1]:
+            a, b = a + 1, b + 1
+            out.append((a, b))
+        left = 1
+        while p - left > a and q - left > b and x[p - left] == y[q - left]:
+            left += 1
+        out += [(p - k, q - k) for k in range(left - 1, -1, -1)]
+    a, b = out[-1] if out else (len(x), len(y))
+    while a + 1 < len(x) and b + 1 < len(y) and x[a + 1] == y[b + 1]:
+        a, b = a + 1, b + 1
+        out.append((a, b))
+    i, j = np.array(out, np.int64).reshape(-1, 2).T
+    return i, j
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    one, two = np.unique(x), np.unique(y)
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both / (len(one) + len(two) - both)
+
+
+def _padded(first: int, last: int, width: int, n: int) -> tuple[int, int]:
+    """first..last made `width` long, to the right while there is room."""
+    last = min(n - 1, max(last, first + width - 1))
+    return min(first, last - width + 1), last
+
+
+def aligned(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY, width: int = WIDTH, padded: bool = False) -> list[tuple[int, int, int, int, float]]:
+    """Passages as of similar() that follow the chain of x and y. Every stretch of the chain is tested: with h links, and n and m places of x and y, at
+    `width` each or more, it is alike if h / (n + m - h) is `least` or more. From the left the longest is taken, then the search goes on behind it.
+    """
+    out: list[tuple[int, int, int, int, float]] = []
+    if min(len(x), len(y)) < width:
+        return out
+    i, j = chain(x, y)
+    start, n = 0, len(i)
+    while start < n:
+        found = None
+        for low in range(start, n, 64):
+            s = np.arange(low, min(n, low + 64))[:, None]
+            e = np.arange(low, n)[None, :]
+            hits, one, two = e - s + 1, i[e] - i[s] + 1, j[e] - j[s] + 1
+            ok = hits * (1 + least) >= least * (np.maximum(one, width) + np.maximum(two, width)) - 1e-9
+            ok &= (hits > 0) if padded else (one >= width) & (two >= width)
+            rows = np.flatnonzero(ok.any(axis=1))
+            if len(rows):
+                found = low + int(rows[0]), low + n - low - 1 - int(np.argmax(ok[rows[0], ::-1]))
+                break
+        if found is None:
+            break
+        s, e = found
+        (a, b), (c, d) = _padded(int(i[s]), int(i[e]), width, len(x)), _padded(int(j[s]), int(j[e]), width, len(y))
+        jaccard = _jaccard(x[a : b + 1], y[c : d + 1])
+        if jaccard >= least and (not out or a > out[-1][1]):
+            out.append((a, b, c, d, jaccard))
+            start = max(e + 1, int(np.searchsorted(i, b, side="right")))
+        else:  # shingles that repeat count once; or the padding meets the passage before
+            start = s + 1
+    return out
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY, width: int = WIDTH, padded: bool = False) -> list[tuple[int, int, int, int, float]]:
     """Passages of x and y (shingle hashes) that are alike: (first and last in x, first and last in y, Jaccard), in the order of x.
 
-    The best stretch of x is taken if it is alike; if it isn't, it is parted where it misses longest. What is left on both sides is searched too.
+    First come those that keep their order, with every stretch tested. In what is left of x the best stretch is taken if it is alike, in whatever
+    order; if it isn't, it is parted where it misses longest. padded: a passage may also begin and end with shingles that differ.
     """
-    out, todo, hits = [], [(0, len(x) - 1)], np.isin(x, y)
+    out, hits = aligned(x, y, least, width, padded), np.isin(x, y)
+    ends = [-1, *(v for p in out for v in p[:2]), len(x)]
+    todo = [(low + 1, high - 1) for low, high in zip(ends[::2], ends[1::2], strict=True)]
     while todo:
         low, high = todo.pop()
         if high - low + 1 < width:
@@ -210,9 +300,7 @@ def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY, width: int
         todo += [(low, a - 1), (b + 1, high)]
         part = x[a : b + 1]
         c, d = best_run(np.isin(y, part))
-        one, two = np.unique(part), np.unique(y[c : d + 1])
-        both = len(np.intersect1d(one, two, assume_unique=True))
-        jaccard = both / (len(one) + len(two) - both)
+        jaccard = _jaccard(part, y[c : d + 1])
         if d - c + 1 >= width and jaccard >= least:
             out.append((a, b, c, d, jaccard))
             continue
@@ -234,7 +322,7 @@ def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
     x, y = batch.column("x"), batch.column("y")
     names = ("rk", "a", "rep", "c")
     for k, (rk, a, rep, c) in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
-        for i, j, m, n, s in similar(x[k].values.to_numpy(), y[k].values.to_numpy()):
+        for i, j, m, n, s in similar(x[k].values.to_numpy(), y[k].values.to_numpy(), padded=True):
             for column, value in zip(rows, (rk, a + i, a + j + SHINGLE, rep, c + m, s), strict=True):
                 column.append(value)
             for column, value in zip(rows, (rep, c + m, c + n + SHINGLE, rk, a + i, s), strict=True):

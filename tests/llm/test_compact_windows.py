@@ -29,6 +29,30 @@ def test_similar_finds_the_passage():
     assert cw.similar(far, y)[-1][:2] == (150, 199)
 
 
+def best_jaccard(x, y, width=cw.WIDTH):
+    """The highest Jaccard of windows of x and y of `width` shingles or a few more."""
+    sets = lambda v: [set(v[i : i + n]) for n in (width, width + 5, len(v)) for i in range(len(v) - n + 1)]
+    return max((len(a & b) / len(a | b) for a in sets(x.tolist()) for b in sets(y.tolist()) if a & b), default=0)
+
+
+def test_one_word_changed_at_every_place():
+    rng = np.random.default_rng(4)
+    grams = lambda w: cw.shingles(" ".join(w).encode())
+    for n in (50, 55, 60, 65, 70, 75):
+        passage = words(rng, n)
+        left, right, other = words(rng, 9), words(rng, 11), words(rng, 8)
+        x = grams(left + passage + right)
+        for k in range(n):
+            for new in ([passage[k] + "x"], [], [passage[k], "more"]):  # changed, dropped, one added
+                y = grams(other + passage[:k] + new + passage[k + 1 :] + other[::-1])
+                found = cw.similar(x, y, padded=True)
+                assert found or best_jaccard(x, y) < cw.SIMILARITY, (n, k, new)
+                assert found or len(new) != 1
+                for a, b, c, d, s in found:
+                    one, two = set(x[a : b + 1].tolist()), set(y[c : d + 1].tolist())
+                    assert min(b - a, d - c) + 1 >= cw.WIDTH and s == len(one & two) / len(one | two) >= cw.SIMILARITY
+
+
 def words(rng, n):
     return ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(n)]
 
