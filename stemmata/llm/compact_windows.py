@@ -1,4 +1,4 @@
-"""Near-duplicate passages by compact windows: Cartesian trees over min-hashes, joined across hashes, then verified."""
+"""Near-duplicate passages by compact windows: Cartesian trees over hashes of runs of words, joined, then verified."""
 
 from __future__ import annotations
 
@@ -17,30 +17,30 @@ from stemmata.llm.substring_suffix import smaller_before
 #: Words of a shingle and of a passage, at least; the similarity of passages, as Jaccard of their shingles, at least.
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
 WIDTH = PASSAGE - SHINGLE + 1
-#: Hash functions in pairs. Both minima of a pair must agree: a passage of similarity s has 2 chances of s * s at each of its places.
-PAIRS = ((0, 1), (2, 3))
+#: Words in a row, at least, that two passages at SIMILARITY hold both, if none of their shingles repeats: with WIDTH shingles a side, 41 or more are
+#: common. Each gap between common ones costs 8 or more that are not, of a quarter of the common ones at most. So 41 to 63 fall into two runs at most,
+#: 64 to 95 into three and so on: one run has 21 shingles.
+RUN = 25
+#: Words of a seed. The smallest hash of those in each RUN words is the same wherever the run stands, so that one hash function finds each such pair.
+GRAM = 11
+#: Shingles on both sides of a seed that are compared.
+REACH = 80
 #: Shingles by which the places of a pair may shift within a passage.
 DRIFT = 16
 #: Parts that the requests for one text are dealt to.
 SALTS = 32
 
 
-def _sheet(text: bytes) -> tuple[np.ndarray, SpanHash | None, np.ndarray, np.ndarray]:
-    """(hashes of the SHINGLE-word windows of a text, hashes of its bytes, first and last byte of each window); A-Z lower-cased, words parted by blanks."""
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the windows of `size` words of a text; A-Z lower-cased, words parted by blanks."""
     plain = b" ".join(text.translate(LOWER_ASCII).split())
     data = np.frombuffer(plain, np.uint8)
     gaps = np.flatnonzero(data == 32)
     starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(data)]
-    n = len(starts) - SHINGLE + 1
+    n = len(starts) - size + 1
     if n <= 0 or not plain:
-        return np.zeros(0, np.uint64), None, starts[:0], ends[:0]
-    spans = SpanHash(data)
-    starts, ends = starts[:n], ends[SHINGLE - 1 :]
-    return spans.spans(starts, ends), spans, starts, ends
-
-
-def shingles(text: bytes) -> np.ndarray:
-    return _sheet(text)[0]
+        return np.zeros(0, np.uint64)
+    return SpanHash(data).spans(starts[:n], ends[size - 1 :])
 
 
 def compact_windows(ranks: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,105 +61,60 @@ def compact_windows(ranks: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray,
     return a, c, b
 
 
-def _cells(hashes: np.ndarray, first: int, second: int) -> tuple[np.ndarray, ...]:
-    """(key, centre, first start, last start, other centre) where sequences of WIDTH shingles share the minima of two hash functions: an interval join."""
-    sides = []
-    for fn in (first, second):
-        ranks = mixed(hashes ^ mixed(np.full(1, fn + 1, np.uint64)))
-        a, c, b = compact_windows(ranks)
-        sides.append((np.maximum(a, c - WIDTH + 1), c, ranks[c]))  # centres in order: their first starts rise
-    starts = np.unique(np.r_[sides[0][0], sides[1][0]])
-    one, two = (np.searchsorted(s[0], starts, side="right") - 1 for s in sides)
-    last = np.r_[starts[1:], len(hashes) - WIDTH + 1] - 1
-    return mixed(sides[0][2][one] * np.uint64(3) + mixed(sides[1][2][two]) + np.uint64(first)), sides[0][1][one], starts, last, sides[1][1][two]
-
-
-_ROWS = pa.schema([("key", pa.int64()), ("mid", pa.int64()), ("rk", pa.int64()), ("place", pa.int64()), ("rep", pa.int64()), ("at", pa.int64())])
-_ROW_SQL = "key bigint, mid bigint, rk bigint, place bigint, rep bigint, at bigint"
+_ROWS = pa.schema([("key", pa.int64()), ("rk", pa.int64()), ("place", pa.int64())])
+_ROW_SQL = "key bigint, rk bigint, place bigint"
+_LINKS = pa.schema([(c, pa.int64()) for c in ("rk", "place", "rep", "at")])
 _LINK_SQL = "rk bigint, place bigint, rep bigint, at bigint"
-_LINKS = pa.schema(list(_ROWS)[2:])
 
 
-def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Cells of a batch, with the hash of the text between both centres, which a verbatim passage shares. Of equal cells the first goes on;
-    the others are linked here, to it and to the one before: what the shuffle gets of a passage that very many documents hold is bounded by the batches.
-    """
-    parts: list[list[np.ndarray]] = [[], [], [], []]
-    for rk, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        hashes, spans, starts, ends = _sheet(text.as_py())
-        if len(hashes) >= WIDTH:
-            for pair in PAIRS:
-                key, centre, first, last, other = _cells(hashes, *pair)
-                parts[0].append(key)
-                parts[1].append(spans.spans(starts[np.minimum(centre, other)], ends[np.maximum(centre, other)]))
-                parts[2].append(np.full(len(key), rk, np.int64))
-                parts[3].append(centre << 16 | (centre - first) << 8 | (centre - last))
-    key, mid, rk, place = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
-    both = mixed(key.astype(np.uint64) ^ mixed(mid.astype(np.uint64)))
-    order = np.argsort(both, kind="stable")
-    both, key, mid, rk, place = both[order], key[order].view(np.int64), mid[order].view(np.int64), rk[order], place[order]
-    fresh = np.r_[True, both[1:] != both[:-1]][: len(both)]
-    first = np.flatnonzero(fresh)
-    rep = np.repeat(first, np.diff(np.r_[first, len(both)]))
-    links = _joined(rk, place, [(np.arange(len(both)), rep), (np.flatnonzero(~fresh), np.flatnonzero(~fresh) - 1)])
-    # Links need no company: any key deals them out.
-    dealt = mixed(links[1].view(np.uint64) ^ links[0].view(np.uint64)).view(np.int64)
-    n, m = len(first), len(dealt)
-    out = [np.r_[key[first], dealt], np.r_[mid[first], dealt], np.r_[rk[first], links[0]], np.r_[place[first], links[1]]]
-    linked = [pa.array(np.r_[np.zeros(n, np.int64), x], mask=np.arange(n + m) < n) for x in links[2:]]
-    return pa.RecordBatch.from_arrays([*map(pa.array, out), *linked], schema=_ROWS)
-
-
-def _joined(rk: np.ndarray, place: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """(rk, place, rep, at) of pairs of rows of different texts, each once."""
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    a, b = a[rk[a] != rk[b]], b[rk[a] != rk[b]]
-    _, once = np.unique(a.astype(np.int64) * max(1, len(rk)) + b, return_index=True)
-    a, b = a[once], b[once]
-    return [rk[a], place[a], rk[b], place[b]]
+def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the centres of the compact windows of RUN words or more."""
+    hashes = shingles(text, GRAM)
+    centres = compact_windows(mixed(hashes), RUN - GRAM + 1)[1]
+    return hashes[centres], centres
+
+
+def _seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
+    key, rk, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        hashes, centres = seeds(text.as_py())
+        key.append(hashes)
+        rk.append(np.full(len(centres), r, np.int64))
+        place.append(centres)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(rk)), pa.array(np.concatenate(place))], schema=_ROWS)
 
 
 def _links(batches):
-    """Links of the sorted rows of a partition: to the first of its kind (key and text between centres), and to the row before; the first of a
-    kind also to the first of its key. Of what went before only two rows are remembered.
-    """
-    held = None  # the last row, and the first of its kind and of its key
+    """Links of the sorted rows of a partition: to the first of its key, and to the row before. Of what went before only two rows are remembered."""
+    held = None
     for batch in batches:
-        done = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(done)) for c in batch.columns[2:]], schema=_LINKS)
-        key, mid, rk, place = (batch.column(i).to_numpy()[~done] for i in range(4))
-        if not len(key):
-            continue
+        key, rk, place = (batch.column(i).to_numpy() for i in range(3))
+        old = 0 if held is None else 2
         if held is not None:
-            key, mid, rk, place = (np.r_[h, x] for h, x in zip(held, (key, mid, rk, place), strict=True))
-        new_key = np.r_[True, key[1:] != key[:-1]]
-        new_kind = new_key | np.r_[True, mid[1:] != mid[:-1]]
-        if held is not None:  # the remembered rows are of one key; the second begins the kind of the third
-            new_kind[:3] = [True, True, False]
-            new_key[:3] = [True, False, False]
-        first_key, first_kind = (np.maximum.accumulate(np.where(x, np.arange(len(key)), 0)) for x in (new_key, new_kind))
-        rows = np.arange(3 if held is not None else 0, len(key))
-        before = rows[~new_key[rows]]
-        heads = rows[new_kind[rows]]
-        links = _joined(rk, place, [(rows, first_kind[rows]), (before, before - 1), (heads, first_key[heads])])
-        keep = [int(first_key[-1]), int(first_kind[-1]), len(key) - 1]
-        held = [x[keep] for x in (key, mid, rk, place)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in links], schema=_LINKS)
+            key, rk, place = (np.r_[h, x] for h, x in zip(held, (key, rk, place), strict=True))
+        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        rows = np.arange(old, len(key))
+        rows = rows[~new[rows]]
+        a, b = np.r_[rows, rows], np.r_[first[rows], rows - 1]
+        a, b = a[rk[a] != rk[b]], b[rk[a] != rk[b]]
+        if len(key):
+            held = [x[[int(first[-1]), len(key) - 1]] for x in (key, rk, place)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rk[a], place[a], rk[b], place[b])], schema=_LINKS)
 
 
 _PASSAGES = pa.schema([(c, pa.int64()) for c in ("rk", "a", "b", "rep", "c", "d")])
 
 
 def _passages(batches):
-    """Links of two texts that follow one another with little drift, merged: shingles a..b of rk go with c..d of rep."""
+    """Links of two texts that follow one another with little drift, merged: shingles a..b of rk go with c..d of rep, REACH around their seeds."""
     held: list[int] | None = None
     for batch in batches:
         out: list[list[int]] = []
         for rk, place, rep, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            p, q = place >> 16, at >> 16
-            a, b = p - (place >> 8 & 255), p - (place & 255) + WIDTH - 1
-            c, d = q - (at >> 8 & 255), q - (at & 255) + WIDTH - 1
-            if held and held[0] == rk and held[3] == rep and a <= held[2] + WIDTH and abs((p - q) - held[6]) <= DRIFT:
+            p, q = place, at
+            a, b, c, d = max(0, p - REACH), p + REACH, max(0, q - REACH), q + REACH
+            if held and held[0] == rk and held[3] == rep and a <= held[2] and abs((p - q) - held[6]) <= DRIFT:
                 held[1:3], held[4:] = [min(held[1], a), max(held[2], b)], [min(held[4], c), max(held[5], d), p - q]
             else:
                 if held:
@@ -353,8 +308,8 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = cut(keys.join(first, ["h1", "h2"]).where("rk <> first").select("rk", "first"), "copies")
     single = texts.join(copies.select("rk"), "rk", "left_anti")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    windows = in_arrow(single.where(F.octet_length("text") >= 2 * PASSAGE - 1).select("rk", "text"), _windows, _ROW_SQL)
-    links = windows.repartition(n, "key").sortWithinPartitions("key", "mid", "rk", "place").mapInArrow(_links, _LINK_SQL)
+    found = in_arrow(single.where(F.octet_length("text") >= 2 * PASSAGE - 1).select("rk", "text"), _seeds, _ROW_SQL)
+    links = found.repartition(n, "key").sortWithinPartitions("key", "rk", "place").mapInArrow(_links, _LINK_SQL)
     merged = links.repartition(n, "rk", "rep").sortWithinPartitions("rk", "rep", "place").mapInArrow(_passages, "rk bigint, a bigint, b bigint, rep bigint, c bigint, d bigint")
     merged = cut(merged.withColumn("pair", F.xxhash64("rk", "a", "rep", "c")), "merged")
     asked = merged.select("rk", F.struct("pair", "a", "b").alias("x"), F.lit(0).alias("side")).unionByName(merged.select(F.col("rep").alias("rk"), F.struct("pair", F.col("c").alias("a"), F.col("d").alias("b")).alias("x"), F.lit(1).alias("side")))

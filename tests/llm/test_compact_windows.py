@@ -117,3 +117,25 @@ def test_odd_tables(spark):
     got = {r["doc_id"]: r["match_id"] for r in cw.documents_with_passages(docs).collect()}
     assert set(got) == {1, 2, 3, None, 5, 6, 7} and got[5] == 6 and got[6] == 5
     assert cw.documents_with_passages(docs.limit(0)).count() == 0
+
+
+def test_every_passage_at_the_threshold_shares_a_seed(spark):
+    rng = np.random.default_rng(7)
+    docs, pairs, told = {}, {}, []
+    for k in range(300):  # pairs by themselves, with as many changed words as 0.8 allows, and those over it left out
+        n = int(rng.integers(50, 110))
+        passage = words(rng, n)
+        other = list(passage)
+        for i in rng.choice(n, 1 + int(rng.integers(0, n // 45)), replace=False):
+            other[i] = other[i] + "x"
+        x, y = (words(rng, 40) + p + words(rng, 40) for p in (passage, other))
+        grams = [set(zip(*(p[i:] for i in range(5)))) for p in (passage, other)]  # noqa: B905
+        jaccard = len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+        if jaccard >= cw.SIMILARITY:
+            told.append(jaccard)
+            pairs[2 * k] = 2 * k + 1
+            docs[2 * k], docs[2 * k + 1] = " ".join(x), " ".join(y)
+            assert np.intersect1d(*(cw.seeds(docs[i].encode())[0] for i in (2 * k, 2 * k + 1))).size
+    assert len(told) > 150 and sum(s < 0.9 for s in told) > 100
+    rows = {r["doc_id"]: r["match_id"] for r in cw.documents_with_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert rows == pairs | {v: k for k, v in pairs.items()}
