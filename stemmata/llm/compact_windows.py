@@ -25,6 +25,10 @@ RUN = 25
 GRAM = 11
 #: Shingles on both sides of a seed that are compared.
 REACH = 80
+#: Places of a seed that are compared all with all by their texts; where a seed has more, their surroundings are compared in pairs of blocks of BLOCK.
+GROUP, BLOCK = 32, 1024
+#: Words added or dropped at one place that the comparison of surroundings sees.
+SLIP = 3
 #: Shingles by which the places of a pair may shift within a passage.
 DRIFT = 16
 #: Parts that the requests for one text are dealt to.
@@ -84,23 +88,109 @@ def _seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(rk)), pa.array(np.concatenate(place))], schema=_ROWS)
 
 
-def _links(batches):
-    """Links of the sorted rows of a partition: to the first of its key, and to the row before. Of what went before only two rows are remembered."""
+def _pairs(batches):
+    """Links of all rows of a key with each other, from sorted rows; the last key of a batch waits for the next batch."""
+    held = [np.zeros(0, np.int64)] * 3
+
+    def linked(key: np.ndarray, rk: np.ndarray, place: np.ndarray):
+        at, lag = np.arange(len(key)), 1
+        while len(at := at[at + lag < len(key)]) and len(at := at[key[at] == key[at + lag]]):
+            one = at[rk[at] != rk[at + lag]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rk[one], place[one], rk[one + lag], place[one + lag])], schema=_LINKS)
+            lag += 1
+
+    for batch in batches:
+        rows = [np.r_[h, batch.column(i).to_numpy()] for i, h in enumerate(held)]
+        last = int(np.argmax(rows[0] == rows[0][-1])) if len(rows[0]) else 0
+        yield from linked(*(x[:last] for x in rows))
+        held = [x[last:] for x in rows]
+    yield from linked(*held)
+
+
+def _contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """For each asked place of a text the hashes of the shingles up to REACH around it; where the text ends, numbers of its own."""
+    out: list[list] = [[], [], [], [], []]
+    for rk, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        hashes = (shingles(text) >> np.uint64(32)).astype(np.uint32)
+        own = (mixed(np.arange(2 * REACH, dtype=np.uint64) ^ np.array([rk]).view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        whole = np.concatenate([own[:REACH], hashes, own[REACH:], own[:SHINGLE]])
+        for x in asked:
+            around = whole[x["place"] : x["place"] + 2 * REACH + 1]
+            for column, value in zip(out, (x["key"], x["n"], rk, x["place"], around.tobytes()), strict=True):
+                column.append(value)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["key", "n", "rk", "place", "around"])
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of x and y (shingle hashes around a common seed) hold a passage that is alike: where they follow one another evenly by sums over all
+    stretches; where up to SLIP words come in or drop out, those with enough common shingles one by one.
+    """
+    hit = x == y
+    need = int(np.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+    out = np.zeros(len(x), bool)
+    some = np.flatnonzero(hit.sum(axis=1) >= need)
+    gain = np.cumsum(np.where(hit[some], 9, -8), axis=1, dtype=np.int32)  # h / (2 n - h) >= 0.8 where 9 h >= 8 n
+    gain = np.concatenate([np.zeros((len(some), 1), np.int32), gain], axis=1)
+    least = np.minimum.accumulate(gain[:, : gain.shape[1] - WIDTH], axis=1)
+    out[some] = (gain[:, WIDTH:] >= least).any(axis=1)
+    rest = np.flatnonzero(~out)
+    hit = hit[rest]
+    for k in range(1, SLIP + 1):
+        hit[:, k:] |= x[rest, k:] == y[rest, :-k]
+        hit[:, :-k] |= x[rest, :-k] == y[rest, k:]
+    for i in rest[hit.sum(axis=1) >= need].tolist():
+        out[i] = bool(aligned(x[i], y[i], padded=True))
+    return out
+
+
+def _blocks(batches):
+    """Links that tie the rows of each pair of blocks together as all pairs of them that are alike would; each link is such a pair itself."""
     held = None
+
+    def found(keys: np.ndarray, rk: np.ndarray, place: np.ndarray, around: np.ndarray):
+        root, at, lag = np.arange(len(rk)), np.arange(len(rk)), 1
+        groups = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)])
+        links: list[int] = []
+        others: list[int] = []
+        while len(at := at[at + lag < len(rk)]) and len(at := at[groups[at] == groups[at + lag]]):
+            near = at[(root[at] != root[at + lag]) & (rk[at] != rk[at + lag])]
+            near = near[alike(around[near], around[near + lag])] if len(near) else near
+            for i in near.tolist():
+                a, b = i, i + lag
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    links.append(i)
+                    others.append(i + lag)
+            while len(near) and (root != (root := root[root])).any():
+                pass
+            lag += 1
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rk[links], place[links], rk[others], place[others])], schema=_LINKS) if links else None
+
     for batch in batches:
-        key, rk, place = (batch.column(i).to_numpy() for i in range(3))
-        old = 0 if held is None else 2
-        if held is not None:
-            key, rk, place = (np.r_[h, x] for h, x in zip(held, (key, rk, place), strict=True))
-        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        rows = np.arange(old, len(key))
-        rows = rows[~new[rows]]
-        a, b = np.r_[rows, rows], np.r_[first[rows], rows - 1]
-        a, b = a[rk[a] != rk[b]], b[rk[a] != rk[b]]
-        if len(key):
-            held = [x[[int(first[-1]), len(key) - 1]] for x in (key, rk, place)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rk[a], place[a], rk[b], place[b])], schema=_LINKS)
+        if not batch.num_rows:
+            continue
+        around = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+        rows = [np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1), batch.column(3).to_numpy(), batch.column(4).to_numpy(), around]
+        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        last = int(np.argmax((rows[0] == rows[0][-1]).all(axis=1)))
+        yield from filter(None, found(*(x[:last] for x in rows))) if last else ()
+        held = [x[last:] for x in rows]
+    if held is not None:
+        yield from filter(None, found(*held))
+
+
+def _common(rows: DataFrame, hot: DataFrame, texts: DataFrame, n: int, block: int) -> DataFrame:
+    """Links of the places of seeds that very many have; hot: (key, n)."""
+    asked = rows.join(hot, "key").groupBy("rk").agg(F.collect_list(F.struct("key", "n", "place")).alias("asked"))
+    around = in_arrow(texts.join(asked, "rk").select("rk", "text", "asked"), _contexts, "key bigint, n bigint, rk bigint, place bigint, around binary")
+    parts = F.ceil(F.col("n") / block)
+    dealt = around.withColumn("own", F.pmod(F.xxhash64("rk", "place"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "rk", "place", "around")
+    return dealt.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b", "rk", "place").mapInArrow(_blocks, _LINK_SQL)
 
 
 _PASSAGES = pa.schema([(c, pa.int64()) for c in ("rk", "a", "b", "rep", "c", "d")])
@@ -295,11 +385,11 @@ def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1).drop("word", "bits")
 
 
-def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(names, passages): passages are (rk, start, end, match, match_start, similarity), names (rk, doc_id).
 
-    start and end count words. Each passage of PASSAGE words or more that a text shares, at SIMILARITY or more, with the first text of its
-    kind or of its group, or with the text before it in the group, is listed for both texts. Copies of a text are listed as passages of the whole text, with a null end.
+    start and end count words. Passages of PASSAGE words or more that two texts share, at SIMILARITY or more, are listed for both texts: of all
+    pairs of texts that share a seed of at most `group` places; of the others as many as tie them together. Copies of a text are listed as passages of the whole text, with a null end.
     """
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), as_bytes(docs[text_col]).alias("text")).select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
@@ -309,7 +399,11 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     single = texts.join(copies.select("rk"), "rk", "left_anti")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = in_arrow(single.where(F.octet_length("text") >= 2 * PASSAGE - 1).select("rk", "text"), _seeds, _ROW_SQL)
-    links = found.repartition(n, "key").sortWithinPartitions("key", "rk", "place").mapInArrow(_links, _LINK_SQL)
+    found = cut(found, "seeds")
+    hot = cut(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group), "hot")
+    links = found.join(hot, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key", "rk", "place").mapInArrow(_pairs, _LINK_SQL)
+    if not hot.isEmpty():
+        links = links.unionByName(_common(found, hot, single.select("rk", "text"), n, block))
     merged = links.repartition(n, "rk", "rep").sortWithinPartitions("rk", "rep", "place").mapInArrow(_passages, "rk bigint, a bigint, b bigint, rep bigint, c bigint, d bigint")
     merged = cut(merged.withColumn("pair", F.xxhash64("rk", "a", "rep", "c")), "merged")
     asked = merged.select("rk", F.struct("pair", "a", "b").alias("x"), F.lit(0).alias("side")).unionByName(merged.select(F.col("rep").alias("rk"), F.struct("pair", F.col("c").alias("a"), F.col("d").alias("b")).alias("x"), F.lit(1).alias("side")))

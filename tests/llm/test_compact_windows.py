@@ -139,3 +139,33 @@ def test_every_passage_at_the_threshold_shares_a_seed(spark):
     assert len(told) > 150 and sum(s < 0.9 for s in told) > 100
     rows = {r["doc_id"]: r["match_id"] for r in cw.documents_with_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
     assert rows == pairs | {v: k for k, v in pairs.items()}
+
+
+def test_pairs_among_many_that_share_a_phrase(spark):
+    rng = np.random.default_rng(8)
+    docs, phrase = {}, words(rng, 44)
+    for k in range(120):  # the phrase alone is too short
+        docs[k] = words(rng, 60) + phrase + words(rng, 60)
+    want = {}
+    for k in range(200, 260, 2):  # pairs share 6 more words, on one side or on both; in some a word is changed or added
+        left, right = words(rng, k % 3 * 2), words(rng, 6 - k % 3 * 2)
+        passage = left + phrase + right
+        other = list(passage)
+        if k % 4:
+            other[30:31] = [passage[30] + "x"] if k % 8 == 2 else [passage[30], "more"]
+        for i, p in ((k, passage), (k + 1, other)):
+            docs[i] = words(rng, 50) + p + words(rng, 50)
+        want[k], want[k + 1] = k + 1, k
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    for block in (16, 1024):
+        names, passages = cw.near_passages(df, block=block)
+        ids = {r["rk"]: r["doc_id"] for r in names.collect()}
+        assert {(ids[r["rk"]], ids[r["match"]]) for r in passages.collect()} == set(want.items())
+
+
+def test_surroundings_are_alike_as_brute_force_says():
+    rng = np.random.default_rng(9)
+    for n in (40, 41, 44, 45, 46, 60):
+        x, y = rng.integers(0, 2**32, (2, 1, 2 * cw.REACH + 1)).astype(np.uint32)
+        y[0, 50 : 50 + n] = x[0, 50 : 50 + n]
+        assert cw.alike(x, y)[0] == (n >= 41) == (best_jaccard(x[0], y[0]) >= cw.SIMILARITY)
