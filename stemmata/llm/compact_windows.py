@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import LOWER_ASCII, as_bytes, in_arrow, table
+from stemmata.llm.common import LOWER_ASCII, as_bytes, connected_components, in_arrow, table
 from stemmata.runtime import cut
 from stemmata.llm.rolling import SpanHash, mixed, sliding_min
 from stemmata.llm.substring_suffix import smaller_before
@@ -421,18 +421,22 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def documents_with_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_passages, longest, first_start, match_id, similarity) for each document that shares a passage with another, nearly or exactly.
+    """(doc_id, n_passages, longest, first_start, match_id, similarity, class_id, n_links) for each document that shares a passage with another, nearly or exactly.
 
     n_passages counts distinct places, longest and first_start are in words (longest is null for a document only copied whole),
-    match_id is the smallest id that it shares one with. A null or short text shares nothing unless it is copied whole, and counts as
-    an empty one then; rows that repeat id and text are one document. An empty table gives an empty result; only id_col and
-    text_col are read.
+    match_id is the smallest id among the n_links documents that it is linked to; class_id is the smallest id that links of whatever
+    number reach. A null or short text shares nothing unless it is copied whole, and counts as an empty one then; rows that repeat id
+    and text are one document. An empty table gives an empty result; only id_col and text_col are read.
     """
     names, passages = near_passages(docs, id_col, text_col)
-    passages = cut(passages, "passages")
+    passages, names = cut(passages, "passages"), cut(names, "names")
     named = passages.join(names.select(F.col("rk").alias("match"), F.col("doc_id").alias("match_id")), "match")
-    found = named.groupBy("rk").agg(F.countDistinct("start", F.coalesce("end", F.lit(-1))).alias("n_passages"), F.max(F.col("end") - F.col("start")).alias("longest"), F.min("match_id").alias("match_id"), F.min("start").alias("first_start"), F.max("similarity").alias("similarity"))
-    return found.join(names, "rk").select("doc_id", "n_passages", "longest", "first_start", "match_id", "similarity")
+    found = named.groupBy("rk").agg(F.countDistinct("start", F.coalesce("end", F.lit(-1))).alias("n_passages"), F.max(F.col("end") - F.col("start")).alias("longest"), F.min("match_id").alias("match_id"), F.min("start").alias("first_start"), F.max("similarity").alias("similarity"), F.countDistinct("match").alias("n_links"))
+    members = connected_components(passages.where("rk < match").select(F.col("rk").alias("src"), F.col("match").alias("dst")).distinct())
+    members = cut(members.select(F.col("node").alias("rk"), "component").join(names, "rk"), "members")
+    least = members.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    classed = members.join(least, "component").select("rk", "doc_id", "class_id")
+    return found.join(classed, "rk").select("doc_id", "n_passages", "longest", "first_start", "match_id", "similarity", "class_id", "n_links")
 
 
 def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

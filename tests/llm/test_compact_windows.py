@@ -169,3 +169,13 @@ def test_surroundings_are_alike_as_brute_force_says():
         x, y = rng.integers(0, 2**32, (2, 1, 2 * cw.REACH + 1)).astype(np.uint32)
         y[0, 50 : 50 + n] = x[0, 50 : 50 + n]
         assert cw.alike(x, y)[0] == (n >= 41) == (best_jaccard(x[0], y[0]) >= cw.SIMILARITY)
+
+
+def test_classes_keep_every_link(spark):
+    rng = np.random.default_rng(10)
+    p, q, r, s = (words(rng, 55) for _ in range(4))
+    docs = {3: p + q, 4: q + r, 1: words(rng, 20) + p, 2: r + words(rng, 20), 7: s, 8: s, 9: s + words(rng, 9), 10: words(rng, 80)}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["match_id"], r["class_id"]) for r in cw.documents_with_passages(df).collect()}
+    assert got.pop(9)[1] == 7 and got == {3: (1, 1), 4: (2, 1), 1: (3, 1), 2: (4, 1), 7: (8, 7), 8: (7, 7)}
+    assert {r["doc_id"]: r["n_links"] for r in cw.documents_with_passages(df.where("doc_id < 7")).collect()} == {1: 1, 2: 1, 3: 2, 4: 2}
