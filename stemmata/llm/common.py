@@ -31,6 +31,11 @@ def dropped(df: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """(row, nr): the rows of df as structs with a number of their own, cut once so that the numbers stay."""
+    return cut(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("nr")), "rows")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import BLANKS, LOWER, UPPER, dropped, table
+from stemmata.llm.common import BLANKS, LOWER, UPPER, dropped, numbered, table
 from stemmata.runtime import cut
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -74,14 +74,14 @@ class LineRuns:
         return self.all()
 
 
-def index_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, pos, h1, h2, first) for every line with a key of min_chars or more."""
-    text = F.coalesce(docs[text_col], F.lit(""))
+def index_lines(rows: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(nr, doc_id, pos, h1, h2, first) for every line with a key of min_chars or more; rows: those of numbered()."""
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
     keys = F.transform(F.split(text, "\n"), lambda line, i: F.struct(line_key(line).alias("key"), i.alias("pos")))
     hashed = F.transform(F.filter(keys, lambda x: F.length(x["key"]) >= min_chars), lambda x: F.struct(F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit(1), x["key"]).alias("h2"), x["pos"].alias("pos")))
-    rows = docs.select(docs[id_col].alias("doc_id"), F.sort_array(hashed).alias("hashed"))
+    rows = rows.select("nr", F.col("row")[id_col].alias("doc_id"), F.sort_array(hashed).alias("hashed"))
     marked = F.transform(F.col("hashed"), lambda x, k: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["pos"].alias("pos"), F.coalesce((F.get(F.col("hashed"), k - 1)["h1"] != x["h1"]) | (F.get(F.col("hashed"), k - 1)["h2"] != x["h2"]), F.lit(True)).alias("first")))
-    return rows.where(F.size("hashed") > 0).select("doc_id", F.inline(marked))
+    return rows.where(F.size("hashed") > 0).select("nr", "doc_id", F.inline(marked))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -92,34 +92,35 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id all keep the line; a null id is smaller than every other. An empty table gives an empty result, and columns may have any
     name. Batches go by a hash of the id; keys are compared by a 128-bit hash.
     """
-    lines = cut(index_lines(docs, id_col, text_col, min_chars), "lines")
+    rows = numbered(docs)
+    lines = cut(index_lines(rows, id_col, text_col, min_chars), "lines")
     runs = LineRuns()
     for b in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
     frequent = cut(runs.compacted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id"), "frequent")
     # Both sides are plain exchanges: adaptive execution splits a line that very many documents hold.
-    drops = lines.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).select("doc_id", "pos")
-    return _without(docs, drops, id_col, text_col)
+    drops = lines.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).select("nr", "pos")
+    return _without(rows, drops, text_col)
 
 
 def dedup_batch(runs: LineRuns, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The same columns for a new batch of a growing corpus: lines whose key an earlier batch holds go, by a merge-anti-join of the batch's
     keys with every run; then the batch adds its own run to runs. Within the batch nothing goes.
     """
-    lines = cut(index_lines(docs, id_col, text_col, min_chars), "lines")
+    rows = numbered(docs)
+    lines = cut(index_lines(rows, id_col, text_col, min_chars), "lines")
     fresh = cut(runs.unseen(lines.where("first").select("h1", "h2").distinct()), "fresh")
-    drops = lines.join(fresh, ["h1", "h2"], "left_anti").select("doc_id", "pos")
-    out = cut(_without(docs, drops, id_col, text_col), "batch")
+    drops = lines.join(fresh, ["h1", "h2"], "left_anti").select("nr", "pos")
+    out = cut(_without(rows, drops, text_col), "batch")
     runs.add(lines)
     return out
 
 
-def _without(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs as `row`, with n_lines, n_dropped and kept_text, without the lines at drops (doc_id, pos)."""
-    drops = drops.groupBy(F.col("doc_id").alias("__drop_id")).agg(F.collect_set("pos").alias("__drop"))
+def _without(rows: DataFrame, drops: DataFrame, text_col: str) -> DataFrame:
+    """rows (row, nr) as `row`, with n_lines, n_dropped and kept_text, without the lines at drops (nr, pos)."""
+    drops = drops.groupBy("nr").agg(F.collect_set("pos").alias("__drop"))
     text = F.coalesce(F.col("row")[text_col], F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    out = rows.join(drops, F.col("row")[id_col].eqNullSafe(F.col("__drop_id")), "left").select("row", F.split(text, "\n").alias("lines"), "__drop", text.alias("whole"))
+    out = rows.join(drops, "nr", "left").select("row", F.split(text, "\n").alias("lines"), "__drop", text.alias("whole"))
     kept = let_kept(F.col("lines"), F.col("__drop"))
     return out.select("row", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("__drop").isNull(), F.col("whole")).otherwise(kept).alias("kept_text"))
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import LOWER_ASCII, as_bytes, connected_components, in_arrow, table
+from stemmata.llm.common import LOWER_ASCII, as_bytes, connected_components, in_arrow, numbered, table
 from stemmata.runtime import cut
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
@@ -130,19 +130,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text_col are read. Copies fold into one fingerprint before anything is linked.
     """
     prints = cut(in_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), as_bytes(docs[text_col])), _fingerprints, "doc_id bigint, fp bigint"))
+    return prints.join(_components(prints), "fp").select("doc_id", "fp", "component_id")
+
+
+def _components(prints: DataFrame) -> DataFrame:
+    """(fp, component_id) for the fingerprints of prints (doc_id, fp)."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     members = connected_components(near_links(distinct.select("fp")))
     grouped = distinct.join(members, distinct["fp"] == members["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     least = cut(grouped.groupBy("component").agg(F.min("least_id").alias("component_id")))
-    named = cut(grouped.join(least, "component").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return cut(grouped.join(least, "component").select("fp", "component", "component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's; of rows that repeat an id all stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
+    """One row of docs of each component: of those with its smallest id (null ids come last) any one, by a number of the row."""
+    rows = numbered(docs)
+    texts = rows.select(F.col("row")[id_col].cast("long").alias("doc_id"), as_bytes(F.col("row")[text_col]).alias("text"), "nr")
+    prints = cut(in_arrow(texts, lambda b: pa.RecordBatch.from_arrays([*_fingerprints(b).columns, b.column(2)], ["doc_id", "fp", "nr"]), "doc_id bigint, fp bigint, nr bigint"))
+    named = prints.join(_components(prints), "fp")
+    stay = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nr"))["nr"].alias("nr")).select("nr")
+    return rows.join(stay, "nr", "left_semi").select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@ import re
 
 import corpus_pipeline as cp
 from stemmata.llm import decontaminate, packing
+from stemmata.llm.line_dedup import dedup_lines
 from stemmata.llm.quality_rules import judge, learn
+from stemmata.llm.simhash import one_of_each
 
 from .test_filters import brute_hits, brute_lines
 from .test_quality_simhash_packing import brute_fingerprint, check_bins, components
@@ -44,3 +46,16 @@ def test_stages_match_brute_force(spark, small, tmp_path):
     sizes = [(i, len(re.findall(r"[^\x20\x09-\x0D]+", t)), None, None) for i, t in want.items()]
     check_bins(sizes, [list(zip(b["doc_ids"], b["starts"], b["sizes"])) for b in kept[4]], packing.CAPACITY)
     assert sorted(b["bin_id"] for b in cp.run(spark, small).collect()) == sorted(b["bin_id"] for b in kept[4])
+
+
+def test_stages_decide_by_row(spark):
+    """Null and repeated ids: a row goes for its own text only, and one row of each group stays."""
+    text = lambda k: " ".join(f"{w}{k}" for w in "one two three four five six seven eight nine ten".split())
+    rows = [(1, text("a")), (None, text("a")), (None, text("b")), (2, text("c")), (3, text("c")), (3, text("d")), (3, text("d")), (4, text("e")), (4, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in one_of_each(docs).collect()), key=repr)
+    assert got == sorted([rows[0], rows[2], rows[3], rows[5], rows[7]], key=repr)
+    a, b = "a line that is in many texts", "a line that is in one text only"
+    rows = [(None, f"{a}\nx"), (None, f"{b}\nx"), (1, f"{b}\n{a}"), (1, f"x\n{b} still\n{b}, too"), (2, a)]
+    got = {(r["row"]["doc_id"], r["row"]["text"]): (r["n_dropped"], r["kept_text"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {rows[0]: (1, "x"), rows[1]: (0, rows[1][1]), rows[2]: (1, b), rows[3]: (0, rows[3][1]), rows[4]: (0, a)}
