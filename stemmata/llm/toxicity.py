@@ -164,7 +164,7 @@ def fit(rows: Iterable[tuple[bytes, int]], rounds: int = 60, rate: float = 0.5,
         toxic.append(int(label))
     marks = token_labels(texts, toxic)
     if not marks:
-        share = (sum(toxic) + 0.5) / (len(toxic) + 1)
+        share = (sum(toxic) + 0.5) / (len(toxic) + 2)  # without rows nothing speaks for toxic
         return Tagger({}, -10.0, np.ones((2, 2)), np.array([math.log(share / (1 - share)), 0.0, 0.0]))
     vocabulary: dict[bytes, int] = {}
     sizes = np.array([len(d) for d in texts], np.int64)
@@ -205,7 +205,7 @@ def fit(rows: Iterable[tuple[bytes, int]], rounds: int = 60, rate: float = 0.5,
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Iterable[tuple[bytes, int]]:
-    """Texts and labels for fit(), within SAMPLE_DOCS of each label and SAMPLE_BYTES; ids with two labels or none are left out."""
+    """Texts and labels for fit(), within SAMPLE_DOCS of each label and SAMPLE_BYTES, longer texts being passed over; ids with two labels or none are left out."""
     known = labels.where(labels[id_col].isNotNull() & labels[label_col].isin(0, 1)).groupBy(labels[id_col].alias("__id")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).where("lo = hi")
     ids = None
     for label in (0, 1):
@@ -214,9 +214,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     rows = docs.join(F.broadcast(ids), docs[id_col] == F.col("__id")).select(F.xxhash64("__id").alias("h"), as_bytes(docs[text_col]).alias("text"), "__label")
     left = SAMPLE_BYTES
     for r in rows.orderBy("h", "text").limit(2 * SAMPLE_DOCS).toLocalIterator():
+        if len(r["text"]) > left:
+            continue
         left -= len(r["text"])
-        if left < 0:
-            return
         yield bytes(r["text"]), r["__label"]
 
 

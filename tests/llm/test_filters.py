@@ -206,3 +206,12 @@ def test_toxic_documents_are_found(spark):
     assert {r["predicted"] for r in found if r["doc_id"] in (1000, 1001, 1002)} == {0}
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
     assert toxicity.fit([]).tag([[b"a"], []], toxicity.fit([]).scores())[0].shape == (2,)
+
+
+def test_toxicity_sample_passes_over_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40)
+    rows = [(k, "y" * 41 if k % 2 else f"text {k}") for k in range(8)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k > 3)) for k in range(8)], "doc_id long, toxic int")
+    assert sorted(toxicity.sample(docs, labels, "doc_id", "text", "toxic")) == [(b"text 0", 0), (b"text 2", 0), (b"text 4", 1), (b"text 6", 1)]
+    model = toxicity.fit(toxicity.sample(docs, labels.limit(0), "doc_id", "text", "toxic"))
+    assert {(r["predicted"], r["score"] < 0.5) for r in toxicity.score_toxicity(docs, model).collect()} == {(0, True)}
