@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stemmata.llm.common import LOWER_ASCII, as_bytes, connected_components, in_arrow, table
 from stemmata.runtime import cut
-from stemmata.llm.rolling import SpanHash, mixed, sliding_min
+from stemmata.llm.rolling import RowHash, SpanHash, mixed, sliding_min
 from stemmata.llm.substring_suffix import smaller_before
 
 #: Words of a shingle and of a passage, at least; the similarity of passages, as Jaccard of their shingles, at least.
@@ -23,16 +23,20 @@ WIDTH = PASSAGE - SHINGLE + 1
 RUN = 25
 #: Words of a seed. The smallest hash of those in each RUN words is the same wherever the run stands, so that one hash function finds each such pair.
 GRAM = 11
-#: Shingles on both sides of a seed that are compared.
-REACH = 80
+#: Shingles on both sides of a seed that are compared: a stretch of 92 or more that is alike holds a shorter one that is, in one of its halves.
+REACH = 88
+#: Shingles in a row that make a passage: padded to WIDTH on either side, they are SIMILARITY of it.
+EXACT = int(np.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY) - 1e-9))
 #: Places of a seed that are compared all with all by their texts; where a seed has more, their surroundings are compared in pairs of blocks of BLOCK.
 GROUP, BLOCK = 32, 1024
-#: Words added or dropped at one place that the comparison of surroundings sees.
-SLIP = 3
+#: Tokens that more rows than this hold are counted by a product of matrices of SLAB columns, others pair by pair.
+RARE, SLAB = 16, 4096
 #: Shingles by which the places of a pair may shift within a passage.
 DRIFT = 16
 #: Parts that the requests for one text are dealt to.
 SALTS = 32
+#: Bytes whose words are hashed together, about; seeds, of 40 bytes each, that are broadcast at most.
+TILE, MOST_SEEDS = 1_000_000, 100_000
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -71,21 +75,66 @@ _LINKS = pa.schema([(c, pa.int64()) for c in ("rk", "place", "rep", "at")])
 _LINK_SQL = "rk bigint, place bigint, rep bigint, at bigint"
 
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, text number) of the words of all texts, as of shingles()."""
+    plain = [b" ".join(text.translate(LOWER_ASCII).split()) for text in texts]
+    data = np.frombuffer(b" ".join(t for t in plain if t), np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    text = np.repeat(np.arange(len(plain)), [t.count(b" ") + 1 if t else 0 for t in plain])
+    return data, np.r_[0, gaps + 1][: len(text)], np.r_[gaps, len(data)][: len(text)], text
+
+
+def fresh(hashes: np.ndarray, text: np.ndarray, within: int = WIDTH) -> np.ndarray:
+    """Places of the shingles that none of the `within` before them in their text equals: words that repeat count once."""
+    order = np.argsort(hashes, kind="stable")
+    a, b = order[:-1], order[1:]
+    again = (hashes[a] == hashes[b]) & (b - a <= within) & (text[a] == text[b])
+    keep = np.ones(len(hashes), bool)
+    keep[b[again]] = False
+    return np.flatnonzero(keep)
+
+
+def seeds_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, text numbers, places) of the centres of the compact windows of RUN words or more, over the fresh shingles of each text."""
+    data, starts, ends, text = _words(texts)
+    size, width = GRAM - SHINGLE + 1, RUN - GRAM + 1
+    n = max(0, len(text) - SHINGLE + 1)
+    at = np.flatnonzero(text[:n] == text[len(text) - n :])
+    hashes = SpanHash(data).spans(starts[at], ends[at + SHINGLE - 1])
+    kept = fresh(hashes, text[at])
+    at, hashes = at[kept], hashes[kept]
+    grams = RowHash(hashes).all(size)
+    if len(grams) < width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    centres = compact_windows(grams, width)[1]
+    packed = grams & np.uint64(0xFFFFFFFF00000000) | np.arange(len(grams), dtype=np.uint64)
+    lowest = (sliding_min(packed, width) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    whole = np.arange(len(lowest))
+    whole = text[at[whole]] == text[at[whole + size + width - 2]]  # windows cross no text
+    centres = centres[np.isin(centres, lowest[whole])]
+    own = text[at[centres]]
+    return grams[centres], own, at[centres] - np.searchsorted(text, own)
+
+
 def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the centres of the compact windows of RUN words or more."""
-    hashes = shingles(text, GRAM)
-    centres = compact_windows(mixed(hashes), RUN - GRAM + 1)[1]
-    return hashes[centres], centres
+    """(hashes, places) of the seeds of one text."""
+    hashes, _, places = seeds_of([text])
+    return hashes, places
 
 
 def _seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
-    key, rk, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for r, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        hashes, centres = seeds(text.as_py())
-        key.append(hashes)
-        rk.append(np.full(len(centres), r, np.int64))
-        place.append(centres)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(rk)), pa.array(np.concatenate(place))], schema=_ROWS)
+    rk, texts = batch.column(0).to_numpy(), batch.column(1)
+    out, held, owner, total = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], [], [], 0
+    for k in range(batch.num_rows):
+        held.append(texts[k].as_py())
+        owner.append(k)
+        total += len(held[-1])
+        if total >= TILE or k == batch.num_rows - 1:
+            hashes, number, places = seeds_of(held)
+            out.append((hashes, rk[np.array(owner)[number]], places))
+            held, owner, total = [], [], 0
+    key, own, place = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(place)], schema=_ROWS)
 
 
 def _pairs(batches):
@@ -108,88 +157,137 @@ def _pairs(batches):
 
 
 def _contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """For each asked place of a text the hashes of the shingles up to REACH around it; where the text ends, numbers of its own."""
+    """For each asked place of a text the hashes of the shingles up to REACH around it; where the text ends, numbers of its own.
+
+    core is a hash of EXACT shingles around the place, null if they aren't all there or aren't all different: places with one core are alike.
+    """
     out: list[list] = [[], [], [], [], []]
     for rk, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-        hashes = (shingles(text) >> np.uint64(32)).astype(np.uint32)
+        full = shingles(text)
+        hashes = (full >> np.uint64(32)).astype(np.uint32)
         own = (mixed(np.arange(2 * REACH, dtype=np.uint64) ^ np.array([rk]).view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
         whole = np.concatenate([own[:REACH], hashes, own[REACH:], own[:SHINGLE]])
+        rows = RowHash(full)
         for x in asked:
             around = whole[x["place"] : x["place"] + 2 * REACH + 1]
-            for column, value in zip(out, (x["key"], x["n"], rk, x["place"], around.tobytes()), strict=True):
+            first = x["place"] - EXACT // 2
+            core = None
+            if len(full) >= WIDTH and first >= 0 and first + EXACT <= len(full) and len(np.unique(full[first : first + EXACT])) == EXACT:
+                core = int(rows.spans(np.array([first]), np.array([first + EXACT])).view(np.int64)[0])
+            for column, value in zip(out, (x["key"], rk, x["place"], core, around.tobytes()), strict=True):
                 column.append(value)
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["key", "n", "rk", "place", "around"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["key", "rk", "place", "core", "around"])
+
+
+def overlaps(x: np.ndarray) -> np.ndarray:
+    """How many different values each two rows of x share."""
+    n = len(x)
+    values, token = np.unique(x, return_inverse=True)
+    pair = np.unique(token.reshape(x.shape).astype(np.int64) * n + np.arange(n)[:, None])
+    token, row = pair // n, pair % n
+    times = np.bincount(token, minlength=len(values))
+    out = np.zeros((n, n), np.float32)
+    some = np.flatnonzero(times > RARE)
+    for low in range(0, len(some), SLAB):
+        part = some[low : low + SLAB]
+        at = np.full(len(values), -1)
+        at[part] = np.arange(len(part))
+        held = at[token] >= 0
+        matrix = np.zeros((n, len(part)), np.float32)
+        matrix[row[held], at[token[held]]] = 1
+        out += matrix @ matrix.T
+    rare = (times[token] > 1) & (times[token] <= RARE)
+    token, row = token[rare], row[rare]
+    for lag in range(1, RARE):
+        same = np.flatnonzero(token[lag:] == token[: len(token) - lag])
+        if not len(same):
+            break
+        found = np.bincount(row[same] * n + row[same + lag], minlength=n * n).reshape(n, n)
+        out += found + found.T
+    return out
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which rows of x and y (shingle hashes around a common seed) hold a passage that is alike: where they follow one another evenly by sums over all
-    stretches; where up to SLIP words come in or drop out, those with enough common shingles one by one.
-    """
-    hit = x == y
-    need = int(np.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY) - 1e-9))
-    out = np.zeros(len(x), bool)
-    some = np.flatnonzero(hit.sum(axis=1) >= need)
-    gain = np.cumsum(np.where(hit[some], 9, -8), axis=1, dtype=np.int32)  # h / (2 n - h) >= 0.8 where 9 h >= 8 n
-    gain = np.concatenate([np.zeros((len(some), 1), np.int32), gain], axis=1)
+    """Which rows of x and y (shingle hashes around a common seed) hold passages that are alike, wherever words were changed, dropped or added."""
+    gain = np.cumsum(np.where(x == y, 1, -8), axis=1, dtype=np.int32)  # h / (2 n - h) >= 0.8 where 9 h >= 8 n
+    gain = np.concatenate([np.zeros((len(x), 1), np.int32), gain], axis=1)
     least = np.minimum.accumulate(gain[:, : gain.shape[1] - WIDTH], axis=1)
-    out[some] = (gain[:, WIDTH:] >= least).any(axis=1)
-    rest = np.flatnonzero(~out)
-    hit = hit[rest]
-    for k in range(1, SLIP + 1):
-        hit[:, k:] |= x[rest, k:] == y[rest, :-k]
-        hit[:, :-k] |= x[rest, :-k] == y[rest, k:]
-    for i in rest[hit.sum(axis=1) >= need].tolist():
+    out = (gain[:, WIDTH:] >= least).any(axis=1)
+    for i in np.flatnonzero(~out).tolist():
         out[i] = bool(aligned(x[i], y[i], padded=True))
     return out
 
 
 def _blocks(batches):
-    """Links that tie the rows of each pair of blocks together as all pairs of them that are alike would; each link is such a pair itself."""
+    """Links that tie the rows of each pair of blocks together as all pairs of them that are alike would; each link is such a pair itself.
+
+    Rows of one component are tied already. Rows must share EXACT shingles to be alike: pairs that don't are passed over by their overlaps.
+    """
     held = None
 
-    def found(keys: np.ndarray, rk: np.ndarray, place: np.ndarray, around: np.ndarray):
-        root, at, lag = np.arange(len(rk)), np.arange(len(rk)), 1
-        groups = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)])
-        links: list[int] = []
-        others: list[int] = []
-        while len(at := at[at + lag < len(rk)]) and len(at := at[groups[at] == groups[at + lag]]):
-            near = at[(root[at] != root[at + lag]) & (rk[at] != rk[at + lag])]
-            near = near[alike(around[near], around[near + lag])] if len(near) else near
-            for i in near.tolist():
-                a, b = i, i + lag
-                while root[a] != a:
-                    a = root[a]
-                while root[b] != b:
-                    b = root[b]
-                if a != b:
+    def found(keys: np.ndarray, rk: np.ndarray, place: np.ndarray, component: np.ndarray, around: np.ndarray):
+        cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            root = {c: c for c in component[low:high].tolist()}
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            own = component[low:high]
+            near = np.argwhere(np.triu(overlaps(around[low:high]) >= EXACT, 1) & (own[:, None] != own))
+            links: list[list[int]] = []
+            for i, j in (near + low).tolist():
+                a, b = top(int(component[i])), top(int(component[j]))
+                if a != b and rk[i] != rk[j] and alike(around[i : i + 1], around[j : j + 1])[0]:
                     root[max(a, b)] = min(a, b)
-                    links.append(i)
-                    others.append(i + lag)
-            while len(near) and (root != (root := root[root])).any():
-                pass
-            lag += 1
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rk[links], place[links], rk[others], place[others])], schema=_LINKS) if links else None
+                    links.append([rk[i], place[i], rk[j], place[j]])
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=_LINKS)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        around = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-        rows = [np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1), batch.column(3).to_numpy(), batch.column(4).to_numpy(), around]
+        around = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+        rows = [np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1), *(batch.column(i).to_numpy() for i in (3, 4, 5)), around]
         rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
         last = int(np.argmax((rows[0] == rows[0][-1]).all(axis=1)))
-        yield from filter(None, found(*(x[:last] for x in rows))) if last else ()
+        if last:
+            yield from found(*(x[:last] for x in rows))
         held = [x[last:] for x in rows]
     if held is not None:
-        yield from filter(None, found(*held))
-
-
-def _common(rows: DataFrame, hot: DataFrame, texts: DataFrame, n: int, block: int) -> DataFrame:
-    """Links of the places of seeds that very many have; hot: (key, n)."""
-    asked = rows.join(hot, "key").groupBy("rk").agg(F.collect_list(F.struct("key", "n", "place")).alias("asked"))
-    around = in_arrow(texts.join(asked, "rk").select("rk", "text", "asked"), _contexts, "key bigint, n bigint, rk bigint, place bigint, around binary")
-    parts = F.ceil(F.col("n") / block)
-    dealt = around.withColumn("own", F.pmod(F.xxhash64("rk", "place"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "rk", "place", "around")
+        yield from found(*held)
+
+
+def _surroundings(rows: DataFrame, hot: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, rk, place, core, around) for the places of the seeds in hot (key)."""
+    asked = rows.join(hot, "key").groupBy("rk").agg(F.collect_list(F.struct("key", "place")).alias("asked"))
+    return cut(in_arrow(texts.join(asked, "rk").select("rk", "text", "asked"), _contexts, "key bigint, rk bigint, place bigint, core bigint, around binary"), "around")
+
+
+def _same_core(around: DataFrame) -> DataFrame:
+    """Links of places with one core to the first of them."""
+    first = around.where("core is not null").groupBy("core").agg(F.min(F.struct("rk", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    linked = around.join(first, "core").where("rk <> first.rk")
+    return linked.select("rk", "place", F.col("first.rk").alias("rep"), F.col("first.place").alias("at"))
+
+
+def _among_common(around: DataFrame, tied: DataFrame, n: int, block: int) -> DataFrame:
+    """Links of places that no links tie yet; tied: (rk, component). A seed's largest component isn't compared with itself, but all others with it and each other."""
+    rows = around.join(tied, "rk", "left").withColumn("component", F.coalesce("component", "rk"))
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    large = F.max(F.struct("n", F.col("component").alias("c"))).alias("large")
+    seeds = sizes.groupBy("key").agg(large, F.sum("n").alias("n"), F.count("*").alias("components")).where("components > 1")
+    parts = lambda x: F.ceil(x / block)
+    seeds = cut(seeds.select("key", F.col("large.c").alias("main"), parts(F.col("large.n")).alias("mains"), parts(F.col("n") - F.col("large.n")).alias("others")))
+    rows = rows.join(F.broadcast(seeds) if seeds.count() <= MOST_SEEDS else seeds, "key").withColumn("is_main", F.col("component") == F.col("main"))
+    own = F.pmod(F.xxhash64("rk", "place"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).alias("own")
+    dealt = rows.select("key", "is_main", "mains", "others", own, "rk", "place", "component", "around")
+    number = lambda upto: F.sequence(F.lit(0).cast("long"), upto - 1)
+    with_others = F.transform(number(F.col("others")), lambda x: F.when(F.col("is_main"), F.struct(x.alias("a"), (-1 - F.col("own")).alias("b"))).otherwise(F.struct(F.least("own", x).alias("a"), F.greatest("own", x).alias("b"))))
+    with_main = F.when(~F.col("is_main"), F.transform(number(F.col("mains")), lambda x: F.struct(F.col("own").alias("a"), (-1 - x).alias("b")))).otherwise(F.expr("array()"))
+    dealt = dealt.withColumn("pair", F.explode(F.concat(with_others, with_main))).select("key", "pair.a", "pair.b", "rk", "place", "component", "around")
     return dealt.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b", "rk", "place").mapInArrow(_blocks, _LINK_SQL)
 
 
@@ -261,22 +359,28 @@ def chain(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             kept.append(k)
             k = before[k]
         i, j = i[kept[::-1]], j[kept[::-1]]
-    out: list[tuple[int, int]] = []
-    for p, q in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = out[-1] if out else (-1, -1)
-        while out and a + 1 < p and b + 1 < q and x[a + 1] == y[b + 1]:
-            a, b = a + 1, b + 1
-            out.append((a, b))
-        left = 1
-        while p - left > a and q - left > b and x[p - left] == y[q - left]:
-            left += 1
-        out += [(p - k, q - k) for k in range(left - 1, -1, -1)]
-    a, b = out[-1] if out else (len(x), len(y))
-    while a + 1 < len(x) and b + 1 < len(y) and x[a + 1] == y[b + 1]:
-        a, b = a + 1, b + 1
-        out.append((a, b))
-    i, j = np.array(out, np.int64).reshape(-1, 2).T
-    return i, j
+    cuts = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(j) != 1), True]) if len(i) else np.zeros(1, np.int64)
+    runs: list[list[int]] = []  # first place in x, in y, and length
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        p, q, n = int(i[s]), int(j[s]), e - s
+        a, b = (runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]) if runs else (0, 0)
+        room = min(p - a, q - b)
+        if runs and room:
+            differs = np.flatnonzero(x[a : a + room] != y[b : b + room])
+            goes_on = int(differs[0]) if len(differs) else room
+            runs[-1][2] += goes_on
+            room -= goes_on
+        differs = np.flatnonzero(x[p - room : p] != y[q - room : q])
+        back = room - 1 - int(differs[-1]) if len(differs) else room
+        runs.append([p - back, q - back, n + back])
+    if runs:
+        a, b = runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]
+        room = min(len(x) - a, len(y) - b)
+        differs = np.flatnonzero(x[a : a + room] != y[b : b + room])
+        runs[-1][2] += int(differs[0]) if len(differs) else room
+    steps = [np.arange(n) for _, _, n in runs]
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([p + t for (p, _, _), t in zip(runs, steps, strict=True)] or [empty]), np.concatenate([q + t for (_, q, _), t in zip(runs, steps, strict=True)] or [empty])
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -300,21 +404,24 @@ def aligned(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY, width: int
         return out
     i, j = chain(x, y)
     start, n = 0, len(i)
-    while start < n:
-        found = None
-        for low in range(start, n, 64):
-            s = np.arange(low, min(n, low + 64))[:, None]
-            e = np.arange(low, n)[None, :]
-            hits, one, two = e - s + 1, i[e] - i[s] + 1, j[e] - j[s] + 1
-            ok = hits * (1 + least) >= least * (np.maximum(one, width) + np.maximum(two, width)) - 1e-9
-            ok &= (hits > 0) if padded else (one >= width) & (two >= width)
-            rows = np.flatnonzero(ok.any(axis=1))
-            if len(rows):
-                found = low + int(rows[0]), low + n - low - 1 - int(np.argmax(ok[rows[0], ::-1]))
-                break
-        if found is None:
-            break
-        s, e = found
+    fewest = int(np.ceil(2 * width * least / (1 + least) - 1e-9))
+    if n < fewest:
+        return out
+    # From s to e a stretch has (1 + least) * hits - least * (places of x and of y) = score[e] - score[s] + 1 - least, which has to be 0 or more.
+    score = (1 + least) * np.arange(n) - least * (i + j)
+    ahead = np.maximum.accumulate(score[::-1])[::-1][fewest - 1 :]
+    begins = np.flatnonzero(ahead - score[: n - fewest + 1] + 1 - least >= -1e-9)
+    while (k := int(np.searchsorted(begins, start))) < len(begins):
+        s = int(begins[k])
+        one, two = i[s + fewest - 1 :] - i[s] + 1, j[s + fewest - 1 :] - j[s] + 1
+        ok = np.arange(fewest, n - s + 1) * (1 + least) >= least * (np.maximum(one, width) + np.maximum(two, width)) - 1e-9
+        if not padded:
+            ok &= (one >= width) & (two >= width)
+        last = np.flatnonzero(ok)
+        if not len(last):
+            start = s + 1
+            continue
+        e = s + fewest - 1 + int(last[-1])
         (a, b), (c, d) = _padded(int(i[s]), int(i[e]), width, len(x)), _padded(int(j[s]), int(j[e]), width, len(y))
         jaccard = _jaccard(x[a : b + 1], y[c : d + 1])
         if jaccard >= least and (not out or a > out[-1][1]):
@@ -385,11 +492,26 @@ def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1).drop("word", "bits")
 
 
+def _checked(links: DataFrame, single: DataFrame, n: int) -> DataFrame:
+    """The passages of links (rk, place, rep, at), verified on the texts and listed for both of them; cut."""
+    merged = links.repartition(n, "rk", "rep").sortWithinPartitions("rk", "rep", "place", "at").mapInArrow(_passages, "rk bigint, a bigint, b bigint, rep bigint, c bigint, d bigint")
+    merged = cut(merged.withColumn("pair", F.xxhash64("rk", "a", "rep", "c")), "merged")
+    asked = merged.select("rk", F.struct("pair", "a", "b").alias("x"), F.lit(0).alias("side")).unionByName(merged.select(F.col("rep").alias("rk"), F.struct("pair", F.col("c").alias("a"), F.col("d").alias("b")).alias("x"), F.lit(1).alias("side")))
+    lists = asked.groupBy("rk", "side", F.pmod("x.pair", F.lit(SALTS)).alias("salt")).agg(F.collect_list("x").alias("asked"))
+    # A copied text stands for its group, so texts may be asked for that occur under several names; each rk is one text.
+    held = _among(single.select("rk", "text"), asked.select("rk")).join(cut(lists), "rk")
+    got = in_arrow(held.select("text", "asked", "side"), _asked, "pair bigint, side int, hashes array<bigint>")
+    got = got.groupBy("pair").agg(*[F.first(F.when(F.col("side") == k, F.col("hashes")), ignorenulls=True).alias(x) for k, x in enumerate("xy")])
+    both = merged.join(got, "pair").select("rk", "a", "rep", "c", "x", "y")
+    return cut(in_arrow(both, _verified, "rk bigint, start bigint, end bigint, match bigint, match_start bigint, similarity double"), "passages")
+
+
 def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(names, passages): passages are (rk, start, end, match, match_start, similarity), names (rk, doc_id).
 
     start and end count words. Passages of PASSAGE words or more that two texts share, at SIMILARITY or more, are listed for both texts: of all
     pairs of texts that share a seed of at most `group` places; of the others as many as tie them together. Copies of a text are listed as passages of the whole text, with a null end.
+    Shingles that recur within a passage's width count once, so that a word or line said over and over makes no passage.
     """
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), as_bytes(docs[text_col]).alias("text")).select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
@@ -398,34 +520,29 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = cut(keys.join(first, ["h1", "h2"]).where("rk <> first").select("rk", "first"), "copies")
     single = texts.join(copies.select("rk"), "rk", "left_anti")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = in_arrow(single.where(F.octet_length("text") >= 2 * PASSAGE - 1).select("rk", "text"), _seeds, _ROW_SQL)
-    found = cut(found, "seeds")
-    hot = cut(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group), "hot")
-    links = found.join(hot, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key", "rk", "place").mapInArrow(_pairs, _LINK_SQL)
-    if not hot.isEmpty():
-        links = links.unionByName(_common(found, hot, single.select("rk", "text"), n, block))
-    merged = links.repartition(n, "rk", "rep").sortWithinPartitions("rk", "rep", "place").mapInArrow(_passages, "rk bigint, a bigint, b bigint, rep bigint, c bigint, d bigint")
-    merged = cut(merged.withColumn("pair", F.xxhash64("rk", "a", "rep", "c")), "merged")
-    asked = merged.select("rk", F.struct("pair", "a", "b").alias("x"), F.lit(0).alias("side")).unionByName(merged.select(F.col("rep").alias("rk"), F.struct("pair", F.col("c").alias("a"), F.col("d").alias("b")).alias("x"), F.lit(1).alias("side")))
-    lists = asked.groupBy("rk", "side", F.pmod("x.pair", F.lit(SALTS)).alias("salt")).agg(F.collect_list("x").alias("asked"))
-    # A copied text stands for its group, so texts may be asked for that occur under several names; each rk is one text.
-    held = _among(single.select("rk", "text"), asked.select("rk")).join(cut(lists), "rk")
-    got = in_arrow(held.select("text", "asked", "side"), _asked, "pair bigint, side int, hashes array<bigint>")
-    got = got.groupBy("pair").agg(*[F.first(F.when(F.col("side") == k, F.col("hashes")), ignorenulls=True).alias(x) for k, x in enumerate("xy")])
-    both = merged.join(got, "pair").select("rk", "a", "rep", "c", "x", "y")
-    verified = in_arrow(both, _verified, "rk bigint, start bigint, end bigint, match bigint, match_start bigint, similarity double")
+    found = cut(in_arrow(single.where(F.octet_length("text") >= 2 * PASSAGE - 1).select("rk", "text"), _seeds, _ROW_SQL), "seeds")
+    common = cut(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    few, hot = common.where(F.col("n") <= group).select("key"), common.where(F.col("n") > group).select("key")
+    links = found.join(few, "key").repartition(n, "key").sortWithinPartitions("key", "rk", "place").mapInArrow(_pairs, _LINK_SQL)
+    if hot.isEmpty():
+        passages = _checked(links, single, n)
+    else:
+        around = _surroundings(found, hot, single.select("rk", "text"))
+        passages = _checked(links.unionByName(_same_core(around)), single, n)
+        tied = connected_components(passages.where("rk < match").select(F.col("rk").alias("src"), F.col("match").alias("dst")).distinct()).withColumnRenamed("node", "rk")
+        passages = passages.unionByName(_checked(_among_common(around, tied, n, block), single, n))
     words = F.lit(None).cast("long")
     whole = copies.select("rk", F.lit(0).cast("long").alias("start"), words.alias("end"), F.col("first").alias("match"), F.lit(0).cast("long").alias("match_start"), F.lit(1.0).alias("similarity"))
     mirrored = whole.select(F.col("match").alias("rk"), "start", "end", F.col("rk").alias("match"), "match_start", "similarity")
-    return keys.select("rk", "doc_id").distinct(), verified.unionByName(whole).unionByName(mirrored)
+    return keys.select("rk", "doc_id").distinct(), passages.unionByName(whole).unionByName(mirrored)
 
 
 def documents_with_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_passages, longest, first_start, match_id, similarity, class_id, n_links) for each document that shares a passage with another, nearly or exactly.
+    """(doc_id, n_passages, longest, first_start, match_id, similarity, class_id, n_docs, n_links) for each document that shares a passage with another, nearly or exactly.
 
     n_passages counts distinct places, longest and first_start are in words (longest is null for a document only copied whole),
     match_id is the smallest id among the n_links documents that it is linked to; class_id is the smallest id that links of whatever
-    number reach. A null or short text shares nothing unless it is copied whole, and counts as an empty one then; rows that repeat id
+    number reach, n_docs the number of documents that they reach. A null or short text shares nothing unless it is copied whole, and counts as an empty one then; rows that repeat id
     and text are one document. An empty table gives an empty result; only id_col and text_col are read.
     """
     names, passages = near_passages(docs, id_col, text_col)
@@ -434,10 +551,15 @@ def documents_with_passages(docs: DataFrame, id_col: str = "doc_id", text_col: s
     found = named.groupBy("rk").agg(F.countDistinct("start", F.coalesce("end", F.lit(-1))).alias("n_passages"), F.max(F.col("end") - F.col("start")).alias("longest"), F.min("match_id").alias("match_id"), F.min("start").alias("first_start"), F.max("similarity").alias("similarity"), F.countDistinct("match").alias("n_links"))
     members = connected_components(passages.where("rk < match").select(F.col("rk").alias("src"), F.col("match").alias("dst")).distinct())
     members = cut(members.select(F.col("node").alias("rk"), "component").join(names, "rk"), "members")
-    least = members.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    classed = members.join(least, "component").select("rk", "doc_id", "class_id")
-    return found.join(classed, "rk").select("doc_id", "n_passages", "longest", "first_start", "match_id", "similarity", "class_id", "n_links")
+    least = members.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"))
+    classed = members.join(least, "component").select("rk", "doc_id", "class_id", "n_docs")
+    return found.join(classed, "rk").select("doc_id", "n_passages", "longest", "first_start", "match_id", "similarity", "class_id", "n_docs", "n_links")
 
 
 def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_with_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """(doc_id, class_id, n_docs) for each document that shares a passage: its class and the number of documents in it.
+
+    Which of a class's pairs are verified beside those that tie it together depends on GROUP and BLOCK; the classes don't, so only they are given. Null
+    or short texts, repeated rows and empty tables: as of documents_with_passages().
+    """
+    return documents_with_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_docs")

@@ -48,6 +48,15 @@ class SpanHash:
         return mixed((self.sums[size:] - self.sums[:n]) * self.back[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+class RowHash(SpanHash):
+    """Hashes of spans of an array of 64-bit hashes."""
+
+    def __init__(self, values: np.ndarray):
+        forth, self.back = _power(0, len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(mixed(values) * forth[: len(values)], out=self.sums[1:])
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each `width` neighbours."""
     if len(x) < width:

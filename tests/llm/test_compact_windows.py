@@ -156,11 +156,27 @@ def test_pairs_among_many_that_share_a_phrase(spark):
         for i, p in ((k, passage), (k + 1, other)):
             docs[i] = words(rng, 50) + p + words(rng, 50)
         want[k], want[k + 1] = k + 1, k
+    grams = {k: cw.shingles(" ".join(v).encode()) for k, v in docs.items()}
+    common = lambda i, j: len(np.intersect1d(grams[i], grams[j]))
+    # "more" at one place of the phrase makes 45 words in a row in some documents of different pairs, which is alike too.
+    truth = {(i, j) for i in docs for j in docs if i < j and common(i, j) > 40 and best_jaccard(grams[i], grams[j]) >= cw.SIMILARITY}
+    assert {(i, j) for i, j in want.items() if i < j} <= truth
     df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
     for block in (16, 1024):
         names, passages = cw.near_passages(df, block=block)
         ids = {r["rk"]: r["doc_id"] for r in names.collect()}
-        assert {(ids[r["rk"]], ids[r["match"]]) for r in passages.collect()} == set(want.items())
+        found = {(ids[r["rk"]], ids[r["match"]]) for r in passages.collect()}
+        assert found <= truth | {(j, i) for i, j in truth}
+        assert classes(found) == classes(truth)
+
+
+def classes(pairs):
+    """The smallest member reachable over pairs, by member."""
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
 
 
 def test_surroundings_are_alike_as_brute_force_says():
@@ -179,3 +195,28 @@ def test_classes_keep_every_link(spark):
     got = {r["doc_id"]: (r["match_id"], r["class_id"]) for r in cw.documents_with_passages(df).collect()}
     assert got.pop(9)[1] == 7 and got == {3: (1, 1), 4: (2, 1), 1: (3, 1), 2: (4, 1), 7: (8, 7), 8: (7, 7)}
     assert {r["doc_id"]: r["n_links"] for r in cw.documents_with_passages(df.where("doc_id < 7")).collect()} == {1: 1, 2: 1, 3: 2, 4: 2}
+
+
+def test_classes_are_those_of_brute_force_however_rows_are_dealt(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    docs, base, phrase = {}, words(rng, 130), words(rng, 30)
+    for k in range(70):  # near copies: seeds that more places share than are compared all with all
+        docs[k] = [w if rng.random() > 0.02 else "x" + w for w in base]
+    for k in range(70, 90):  # far copies: some are near to none, some to a few
+        docs[k] = [w if rng.random() > 0.08 else "y" + w for w in base]
+    for k in range(100, 160):  # a common phrase alone
+        docs[k] = words(rng, 25) + phrase + words(rng, 25)
+    for k in range(160, 170):  # the same, two words dropped or added in it
+        docs[k] = docs[100][:40] + (words(rng, 1) if k % 2 else []) + docs[100][40 + k % 2 :]
+    for k in range(170, 180):  # words said over and over
+        docs[k] = ["the"] * 60 + words(rng, 5) + ["of", "a"] * 40
+    docs[180] = docs[181] = docs[3]
+    rows = [(k, " ".join(v)) for k, v in docs.items()] + [(200, None), (201, ""), (202, "short"), (3, " ".join(docs[3]))]
+    grams = {k: cw.shingles(" ".join(v).encode()) for k, v in docs.items() if not 170 <= k < 180}
+    pairs = {(i, j) for i in grams for j in grams if i < j and len(np.intersect1d(grams[i], grams[j])) >= cw.EXACT and cw.similar(grams[i], grams[j], padded=True)}
+    want = classes(pairs) | {200: 200, 201: 200}  # copies of a text, however short, are classes
+    for parts in (1, 4, 211):
+        path = f"{tmp_path}/{parts}"
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(parts).write.parquet(f"{path}/documents.parquet")
+        got = {r["doc_id"]: (r["class_id"], r["n_docs"]) for r in cw.op9_compact_windows(spark, path).collect()}
+        assert got == {k: (v, sum(x == v for x in want.values())) for k, v in want.items()}
