@@ -6,7 +6,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemmata.llm.common import LOWER_ASCII, as_bytes, connected_components, in_arrow, table
@@ -29,14 +29,14 @@ REACH = 88
 EXACT = int(np.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY) - 1e-9))
 #: Places of a seed that are compared all with all by their texts; where a seed has more, their surroundings are compared in pairs of blocks of BLOCK.
 GROUP, BLOCK = 32, 1024
-#: Tokens that more rows than this hold are counted by a product of matrices of SLAB columns, others pair by pair.
+#: Values that more pairs of rows than the square of this hold are counted by a product of matrices of SLAB columns, others pair by pair.
 RARE, SLAB = 16, 4096
 #: Shingles by which the places of a pair may shift within a passage.
 DRIFT = 16
 #: Parts that the requests for one text are dealt to.
 SALTS = 32
-#: Bytes whose words are hashed together, about; seeds, of 40 bytes each, that are broadcast at most.
-TILE, MOST_SEEDS = 1_000_000, 100_000
+#: Bytes whose words are hashed together, about.
+TILE = 1_000_000
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -179,32 +179,50 @@ def _contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["key", "rk", "place", "core", "around"])
 
 
-def overlaps(x: np.ndarray) -> np.ndarray:
-    """How many different values each two rows of x share."""
-    n = len(x)
+def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many different values each row of x shares with each row of y."""
+    n, m = len(x), len(y)
     values, token = np.unique(x, return_inverse=True)
-    pair = np.unique(token.reshape(x.shape).astype(np.int64) * n + np.arange(n)[:, None])
-    token, row = pair // n, pair % n
-    times = np.bincount(token, minlength=len(values))
-    out = np.zeros((n, n), np.float32)
-    some = np.flatnonzero(times > RARE)
+    at = np.minimum(np.searchsorted(values, y), len(values) - 1)
+    other, known = at, values[at] == y
+    mine = np.unique(token.reshape(x.shape).astype(np.int64) * n + np.arange(n)[:, None])
+    theirs = np.unique((other.astype(np.int64) * m + np.arange(m)[:, None])[known])
+    mine, own, theirs, row = mine // n, mine % n, theirs // m, theirs % m
+    held = np.bincount(mine, minlength=len(values))
+    often = held * np.bincount(theirs, minlength=len(values)) > RARE**2
+    out = np.zeros((n, m), np.float32)
+    some = np.flatnonzero(often)
     for low in range(0, len(some), SLAB):
-        part = some[low : low + SLAB]
-        at = np.full(len(values), -1)
-        at[part] = np.arange(len(part))
-        held = at[token] >= 0
-        matrix = np.zeros((n, len(part)), np.float32)
-        matrix[row[held], at[token[held]]] = 1
-        out += matrix @ matrix.T
-    rare = (times[token] > 1) & (times[token] <= RARE)
-    token, row = token[rare], row[rare]
-    for lag in range(1, RARE):
-        same = np.flatnonzero(token[lag:] == token[: len(token) - lag])
-        if not len(same):
-            break
-        found = np.bincount(row[same] * n + row[same + lag], minlength=n * n).reshape(n, n)
-        out += found + found.T
-    return out
+        column = np.full(len(values), -1)
+        column[some[low : low + SLAB]] = np.arange(len(some[low : low + SLAB]))
+        a, b = column[mine] >= 0, column[theirs] >= 0
+        one, two = np.zeros((n, len(some[low : low + SLAB])), np.float32), np.zeros((m, len(some[low : low + SLAB])), np.float32)
+        one[own[a], column[mine[a]]] = 1
+        two[row[b], column[theirs[b]]] = 1
+        out += one @ two.T
+    theirs, row = theirs[~often[theirs]], row[~often[theirs]]
+    times = held[theirs]  # each entry of y meets all entries of x with its value, which stand together
+    first = np.cumsum(held) - held
+    entry = np.repeat(first[theirs] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    return out + np.bincount(own[entry] * m + np.repeat(row, times), minlength=n * m).reshape(n, m)
+
+
+def may_be_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of y the row x may be alike to: h links of n and m places, h / (n + m - h) at 0.8 or more, need h at 0.8 n, 0.8 m and, of one of the two, 8 / 9."""
+    values, own = np.unique(x, return_inverse=True)
+    at = np.minimum(np.searchsorted(values, y), len(values) - 1)
+    in_x = values[at] == y
+    held = np.zeros((len(y), len(values)), bool)
+    row = np.nonzero(in_x)[0]
+    held[row, at[in_x]] = True
+
+    def dense(hit: np.ndarray, cost: int) -> np.ndarray:
+        gain = np.cumsum(np.where(hit, 1, -cost), axis=1, dtype=np.int32)
+        gain = np.concatenate([np.zeros((len(hit), 1), np.int32), gain], axis=1)
+        return (gain[:, WIDTH:] >= np.minimum.accumulate(gain[:, : gain.shape[1] - WIDTH], axis=1)).any(axis=1)
+
+    in_y = held[:, own]
+    return dense(in_x, 4) & dense(in_y, 4) & (dense(in_x, 8) | dense(in_y, 8))
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -218,6 +236,31 @@ def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tied(rk: np.ndarray, place: np.ndarray, component: np.ndarray, side: np.ndarray, around: np.ndarray) -> list[list[int]]:
+    """Links between the rows of side 0 and of side 1, or of side 0 if there is no other, of different components."""
+    root = {c: c for c in component.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    mine, links = np.flatnonzero(side == 0), []
+    theirs = np.flatnonzero(side == 1)
+    theirs = theirs if len(theirs) else mine
+    near = overlaps(around[mine], around[theirs]) if len(mine) else np.zeros((0, 0))
+    for i, shared in zip(mine.tolist(), near, strict=True):
+        others = theirs[np.argsort(-shared, kind="stable")][: int((shared >= EXACT).sum())]
+        tops = np.array([top(c) for c in component[others].tolist()], np.int64)
+        others = others[(tops != top(int(component[i]))) & (rk[others] != rk[i])]
+        for j in others[may_be_alike(around[i], around[others])].tolist() if len(others) else ():
+            a, b = top(int(component[i])), top(int(component[j]))
+            if a != b and alike(around[i : i + 1], around[j : j + 1])[0]:
+                root[max(a, b)] = min(a, b)
+                links.append([int(rk[i]), int(place[i]), int(rk[j]), int(place[j])])
+    return links
+
+
 def _blocks(batches):
     """Links that tie the rows of each pair of blocks together as all pairs of them that are alike would; each link is such a pair itself.
 
@@ -225,32 +268,17 @@ def _blocks(batches):
     """
     held = None
 
-    def found(keys: np.ndarray, rk: np.ndarray, place: np.ndarray, component: np.ndarray, around: np.ndarray):
+    def found(keys: np.ndarray, *rows: np.ndarray):
         cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
-        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            root = {c: c for c in component[low:high].tolist()}
-
-            def top(c: int) -> int:
-                while root[c] != c:
-                    root[c] = c = root[root[c]]
-                return c
-
-            own = component[low:high]
-            near = np.argwhere(np.triu(overlaps(around[low:high]) >= EXACT, 1) & (own[:, None] != own))
-            links: list[list[int]] = []
-            for i, j in (near + low).tolist():
-                a, b = top(int(component[i])), top(int(component[j]))
-                if a != b and rk[i] != rk[j] and alike(around[i : i + 1], around[j : j + 1])[0]:
-                    root[max(a, b)] = min(a, b)
-                    links.append([rk[i], place[i], rk[j], place[j]])
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=_LINKS)
+        links = [x for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for x in _tied(*(r[low:high] for r in rows))]
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=_LINKS)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        around = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-        rows = [np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1), *(batch.column(i).to_numpy() for i in (3, 4, 5)), around]
+        around = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+        rows = [np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1), *(batch.column(i).to_numpy() for i in (3, 4, 5, 6)), around]
         rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
         last = int(np.argmax((rows[0] == rows[0][-1]).all(axis=1)))
         if last:
@@ -260,6 +288,14 @@ def _blocks(batches):
         yield from found(*held)
 
 
+def _tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The different shingles around each place."""
+    parts = [np.unique(np.frombuffer(x, np.uint32)).astype(np.int64) for x in batch.column(3).to_pylist()]
+    times = [len(p) for p in parts]
+    columns = [np.repeat(batch.column(i).to_numpy(), times) for i in range(3)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(parts))], ["key", "rk", "place", "token"])
+
+
 def _surroundings(rows: DataFrame, hot: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, rk, place, core, around) for the places of the seeds in hot (key)."""
     asked = rows.join(hot, "key").groupBy("rk").agg(F.collect_list(F.struct("key", "place")).alias("asked"))
@@ -273,21 +309,51 @@ def _same_core(around: DataFrame) -> DataFrame:
     return linked.select("rk", "place", F.col("first.rk").alias("rep"), F.col("first.place").alias("at"))
 
 
-def _among_common(around: DataFrame, tied: DataFrame, n: int, block: int) -> DataFrame:
-    """Links of places that no links tie yet; tied: (rk, component). A seed's largest component isn't compared with itself, but all others with it and each other."""
-    rows = around.join(tied, "rk", "left").withColumn("component", F.coalesce("component", "rk"))
+def _parted(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """rows of seeds by the shingles that they share beside the seed, so that places with nothing else in common don't meet.
+
+    Two places need EXACT shingles in common, so both hold the rarest common one, by its number of places, among all but their own EXACT - 1 most frequent.
+    """
+    rows = rows.join(seeds.select("key"), "key")
+    held = cut(in_arrow(rows.select("key", "rk", "place", "around"), _tokens, "key bigint, rk bigint, place bigint, token bigint"), "tokens")
+    again = held.groupBy("key", "token").agg(F.count("*").alias("n")).where("n > 1")
+    order = Window.partitionBy("key", "rk", "place").orderBy(F.desc("n"), "token")
+    kept = held.join(again, ["key", "token"]).withColumn("nr", F.row_number().over(order)).where(F.col("nr") >= EXACT).select("key", "rk", "place", "token")
+    parted = rows.join(kept, ["key", "rk", "place"]).withColumn("key", F.xxhash64("key", "token")).drop("token")
+    return cut(parted, "parted")
+
+
+def _main(rows: DataFrame, block: int) -> DataFrame:
+    """(key, main, mains, others, rest): for seeds with places in several components the largest of these, its blocks, those of all others, and their rows."""
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     large = F.max(F.struct("n", F.col("component").alias("c"))).alias("large")
     seeds = sizes.groupBy("key").agg(large, F.sum("n").alias("n"), F.count("*").alias("components")).where("components > 1")
-    parts = lambda x: F.ceil(x / block)
-    seeds = cut(seeds.select("key", F.col("large.c").alias("main"), parts(F.col("large.n")).alias("mains"), parts(F.col("n") - F.col("large.n")).alias("others")))
-    rows = rows.join(F.broadcast(seeds) if seeds.count() <= MOST_SEEDS else seeds, "key").withColumn("is_main", F.col("component") == F.col("main"))
+    rest = F.col("n") - F.col("large.n")
+    return cut(seeds.select("key", F.col("large.c").alias("main"), F.ceil(F.col("large.n") / block).alias("mains"), F.ceil(rest / block).alias("others"), rest.alias("rest")), "mains")
+
+
+def _dealt(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """rows once for each pair of blocks of its seed: (key, a, b, rk, place, component, side, around), b negative for blocks of the main component."""
+    rows = rows.join(seeds, "key").withColumn("is_main", F.col("component") == F.col("main"))
     own = F.pmod(F.xxhash64("rk", "place"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).alias("own")
-    dealt = rows.select("key", "is_main", "mains", "others", own, "rk", "place", "component", "around")
+    rows = rows.select("key", "is_main", "mains", "others", own, "rk", "place", "component", "around")
     number = lambda upto: F.sequence(F.lit(0).cast("long"), upto - 1)
-    with_others = F.transform(number(F.col("others")), lambda x: F.when(F.col("is_main"), F.struct(x.alias("a"), (-1 - F.col("own")).alias("b"))).otherwise(F.struct(F.least("own", x).alias("a"), F.greatest("own", x).alias("b"))))
-    with_main = F.when(~F.col("is_main"), F.transform(number(F.col("mains")), lambda x: F.struct(F.col("own").alias("a"), (-1 - x).alias("b")))).otherwise(F.expr("array()"))
-    dealt = dealt.withColumn("pair", F.explode(F.concat(with_others, with_main))).select("key", "pair.a", "pair.b", "rk", "place", "component", "around")
+    at = lambda a, b, side: F.struct(a.alias("a"), b.alias("b"), side.cast("long").alias("side"))
+    own = F.col("own")
+    with_others = F.transform(number(F.col("others")), lambda x: F.when(F.col("is_main"), at(x, -1 - own, F.lit(1))).otherwise(at(F.least(own, x), F.greatest(own, x), own > x)))
+    with_main = F.when(~F.col("is_main"), F.transform(number(F.col("mains")), lambda x: at(own, -1 - x, F.lit(0)))).otherwise(F.expr("array()"))
+    return rows.withColumn("pair", F.explode(F.concat(with_others, with_main))).select("key", "pair.a", "pair.b", "rk", "place", "component", "pair.side", "around")
+
+
+def _among_common(around: DataFrame, tied: DataFrame, n: int, block: int) -> DataFrame:
+    """Links of places that no links tie yet; tied: (rk, component). A seed's largest component isn't compared with itself, but all others with it and each other."""
+    rows = around.join(tied, "rk", "left").select("key", "rk", "place", F.coalesce("component", "rk").alias("component"), "around")
+    seeds = _main(rows, block)
+    dealt = _dealt(rows, seeds.where(F.col("rest") <= block // 2))
+    wide = seeds.where(F.col("rest") > block // 2)
+    if not wide.isEmpty():
+        parted = _parted(rows, wide)
+        dealt = dealt.unionByName(_dealt(parted, _main(parted, block)))
     return dealt.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b", "rk", "place").mapInArrow(_blocks, _LINK_SQL)
 
 
@@ -318,12 +384,12 @@ def _asked(batch: pa.RecordBatch) -> pa.RecordBatch:
     pairs, out = [], []
     sides = []
     for text, asked, side in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-        hashes = shingles(text).view(np.int64)
+        hashes = (shingles(text) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         for x in asked:
             pairs.append(x["pair"])
             sides.append(side)
             out.append(hashes[x["a"] : x["b"] + 1])
-    flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+    flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
     offsets = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(sides, pa.int32()), pa.ListArray.from_arrays(offsets, flat)], ["pair", "side", "hashes"])
 
@@ -500,7 +566,7 @@ def _checked(links: DataFrame, single: DataFrame, n: int) -> DataFrame:
     lists = asked.groupBy("rk", "side", F.pmod("x.pair", F.lit(SALTS)).alias("salt")).agg(F.collect_list("x").alias("asked"))
     # A copied text stands for its group, so texts may be asked for that occur under several names; each rk is one text.
     held = _among(single.select("rk", "text"), asked.select("rk")).join(cut(lists), "rk")
-    got = in_arrow(held.select("text", "asked", "side"), _asked, "pair bigint, side int, hashes array<bigint>")
+    got = in_arrow(held.select("text", "asked", "side"), _asked, "pair bigint, side int, hashes array<int>")
     got = got.groupBy("pair").agg(*[F.first(F.when(F.col("side") == k, F.col("hashes")), ignorenulls=True).alias(x) for k, x in enumerate("xy")])
     both = merged.join(got, "pair").select("rk", "a", "rep", "c", "x", "y")
     return cut(in_arrow(both, _verified, "rk bigint, start bigint, end bigint, match bigint, match_start bigint, similarity double"), "passages")
