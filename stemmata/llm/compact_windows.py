@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import LOWER_ASCII, as_bytes, connected_components, in_arrow, table
+from stemmata.llm.common import LOWER_ASCII, among, as_bytes, connected_components, in_arrow, table
+from stemmata.llm.rolling import RowHash, SpanHash, mixed, sliding_min, smaller_before
+from stemmata.llm.words import SHINGLE, shingles_of
 from stemmata.runtime import cut
-from stemmata.llm.rolling import RowHash, SpanHash, mixed, sliding_min
-from stemmata.llm.substring_suffix import smaller_before
 
-#: Words of a shingle and of a passage, at least; the similarity of passages, as Jaccard of their shingles, at least.
-SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
+#: Words of a passage, at least; the similarity of passages, as Jaccard of their shingles, at least.
+PASSAGE, SIMILARITY = 50, 0.8
 WIDTH = PASSAGE - SHINGLE + 1
 #: Words in a row, at least, that two passages at SIMILARITY hold both, if none of their shingles repeats: with WIDTH shingles a side, 41 or more are
 #: common. Each gap between common ones costs 8 or more that are not, of a quarter of the common ones at most. So 41 to 63 fall into two runs at most,
@@ -75,34 +75,10 @@ _LINKS = pa.schema([(c, pa.int64()) for c in ("rk", "place", "rep", "at")])
 _LINK_SQL = "rk bigint, place bigint, rep bigint, at bigint"
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends, text number) of the words of all texts, as of shingles()."""
-    plain = [b" ".join(text.translate(LOWER_ASCII).split()) for text in texts]
-    data = np.frombuffer(b" ".join(t for t in plain if t), np.uint8)
-    gaps = np.flatnonzero(data == 32)
-    text = np.repeat(np.arange(len(plain)), [t.count(b" ") + 1 if t else 0 for t in plain])
-    return data, np.r_[0, gaps + 1][: len(text)], np.r_[gaps, len(data)][: len(text)], text
-
-
-def fresh(hashes: np.ndarray, text: np.ndarray, within: int = WIDTH) -> np.ndarray:
-    """Places of the shingles that none of the `within` before them in their text equals: words that repeat count once."""
-    order = np.argsort(hashes, kind="stable")
-    a, b = order[:-1], order[1:]
-    again = (hashes[a] == hashes[b]) & (b - a <= within) & (text[a] == text[b])
-    keep = np.ones(len(hashes), bool)
-    keep[b[again]] = False
-    return np.flatnonzero(keep)
-
-
 def seeds_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, text numbers, places) of the centres of the compact windows of RUN words or more, over the fresh shingles of each text."""
-    data, starts, ends, text = _words(texts)
     size, width = GRAM - SHINGLE + 1, RUN - GRAM + 1
-    n = max(0, len(text) - SHINGLE + 1)
-    at = np.flatnonzero(text[:n] == text[len(text) - n :])
-    hashes = SpanHash(data).spans(starts[at], ends[at + SHINGLE - 1])
-    kept = fresh(hashes, text[at])
-    at, hashes = at[kept], hashes[kept]
+    hashes, own, place = shingles_of(texts, WIDTH)
     grams = RowHash(hashes).all(size)
     if len(grams) < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -110,10 +86,9 @@ def seeds_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     packed = grams & np.uint64(0xFFFFFFFF00000000) | np.arange(len(grams), dtype=np.uint64)
     lowest = (sliding_min(packed, width) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     whole = np.arange(len(lowest))
-    whole = text[at[whole]] == text[at[whole + size + width - 2]]  # windows cross no text
+    whole = own[whole] == own[whole + size + width - 2]  # windows cross no text
     centres = centres[np.isin(centres, lowest[whole])]
-    own = text[at[centres]]
-    return grams[centres], own, at[centres] - np.searchsorted(text, own)
+    return grams[centres], own[centres], place[centres]
 
 
 def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -549,15 +524,6 @@ def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], ["rk", "start", "end", "match", "match_start", "similarity"])
 
 
-def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs whose rk may be in wanted, by a bitmap of 2 ** 23 bits: at most 131,072 rows of 16 bytes are broadcast, whatever the input."""
-    slot = F.pmod(F.col("rk"), F.lit(1 << 23))
-    word, bit = F.shiftright(slot, 6), F.pmod(slot, F.lit(64)).cast("int")
-    words = wanted.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    held = docs.withColumn("word", word).join(F.broadcast(words), "word")
-    return held.where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1).drop("word", "bits")
-
-
 def _checked(links: DataFrame, single: DataFrame, n: int) -> DataFrame:
     """The passages of links (rk, place, rep, at), verified on the texts and listed for both of them; cut."""
     merged = links.repartition(n, "rk", "rep").sortWithinPartitions("rk", "rep", "place", "at").mapInArrow(_passages, "rk bigint, a bigint, b bigint, rep bigint, c bigint, d bigint")
@@ -565,7 +531,7 @@ def _checked(links: DataFrame, single: DataFrame, n: int) -> DataFrame:
     asked = merged.select("rk", F.struct("pair", "a", "b").alias("x"), F.lit(0).alias("side")).unionByName(merged.select(F.col("rep").alias("rk"), F.struct("pair", F.col("c").alias("a"), F.col("d").alias("b")).alias("x"), F.lit(1).alias("side")))
     lists = asked.groupBy("rk", "side", F.pmod("x.pair", F.lit(SALTS)).alias("salt")).agg(F.collect_list("x").alias("asked"))
     # A copied text stands for its group, so texts may be asked for that occur under several names; each rk is one text.
-    held = _among(single.select("rk", "text"), asked.select("rk")).join(cut(lists), "rk")
+    held = among(single.select("rk", "text"), asked.select("rk")).join(cut(lists), "rk")
     got = in_arrow(held.select("text", "asked", "side"), _asked, "pair bigint, side int, hashes array<int>")
     got = got.groupBy("pair").agg(*[F.first(F.when(F.col("side") == k, F.col("hashes")), ignorenulls=True).alias(x) for k, x in enumerate("xy")])
     both = merged.join(got, "pair").select("rk", "a", "rep", "c", "x", "y")

@@ -14,11 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import as_bytes, in_arrow, table
+from stemmata.llm.common import among, as_bytes, in_arrow, table
+from stemmata.llm.rolling import RowHash, SpanHash, mixed, sliding_min, smaller_before
+from stemmata.llm.words import SHINGLE, shingles_of
 from stemmata.runtime import cut
-from stemmata.llm.rolling import SpanHash, sliding_min
 
 MIN_BYTES = 400
+#: Words in a row that make a passage, for those that are shorter in bytes.
+PASSAGE = 51
+#: Words of a gram that seeds a passage.
+WORDS = 11
 #: Bytes of a gram that seeds a group.
 GRAM = 128
 #: Bytes that are hashed together, about, and texts of a group that one suffix array takes.
@@ -70,15 +75,6 @@ def common_prefix(a: np.ndarray, b: np.ndarray, ends: np.ndarray, ranks: list[np
     return np.minimum(out, np.minimum(ends[a] - a, ends[b] - b))
 
 
-def smaller_before(values: np.ndarray) -> np.ndarray:
-    """For each entry the nearest one before it that is smaller, or -1: all entries follow their pointers at once."""
-    near = np.arange(-1, len(values) - 1)
-    todo = np.arange(len(values))
-    while len(todo := todo[(near[todo] >= 0)]) and len(todo := todo[values[near[todo]] > values[todo]]):
-        near[todo] = near[near[todo]]
-    return near
-
-
 def previous_factors(data: np.ndarray, ends: np.ndarray, limit: int, only_limit: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(LPF, LNF): for each place the longest string there, `limit` bytes at most, that also starts at an earlier place, and at a later one.
 
@@ -310,13 +306,83 @@ def repeated_strings(docs: DataFrame, size: int = MIN_BYTES, first_stays: bool =
     return texts, out
 
 
+# Passages by words
+
+
+def passages(texts: list[bytes], length: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text numbers, seeds, hashes, last shingles) of the strings of `length` words of all texts; shingles that recur within a string count once.
+
+    A seed is the gram of smallest hash in a string, so that equal strings have one seed.
+    """
+    hashes, own, _ = shingles_of(texts, length - SHINGLE)
+    size, rows = length - SHINGLE + 1, RowHash(hashes)
+    whole = rows.all(size)
+    if not len(whole):
+        return np.zeros(0, np.int64), whole, whole, whole
+    grams = rows.all(WORDS - SHINGLE + 1)
+    packed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    seed = grams[(sliding_min(packed, length - WORDS + 1)[: len(whole)] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    at = np.flatnonzero(own[: len(whole)] == own[size - 1 :])
+    return own[at], seed[at], whole[at], mixed(hashes)[at + size - 1]
+
+
+def _tiles(lengths: list[int]):
+    """First and last + 1 of the texts that are taken together."""
+    first, total = 0, 0
+    for k, n in enumerate(lengths):
+        total += n
+        if total >= TILE or k == len(lengths) - 1:
+            yield first, k + 1
+            first, total = k + 1, 0
+
+
+def _passage_seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(seed, content, rk) of the runs of strings with one seed; content: a hash of all that they cover."""
+    texts, rk, parts = batch.column(1).to_pylist(), batch.column(0).to_numpy(), []
+    for low, high in _tiles([len(t) for t in texts]):
+        number, seed, whole, last = passages(texts[low:high])
+        first = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (number[1:] != number[:-1])][: len(seed)])
+        content = RowHash(last).spans(first, np.r_[first[1:], len(seed)][: len(first)]) ^ whole[first]
+        parts.append((seed[first].view(np.int64), content.view(np.int64), rk[low:high][number[first]]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["seed", "content", "rk"])
+
+
+def _passage_hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The strings of each text with one of its seeds asked for."""
+    texts, rk, asked, parts = batch.column(1).to_pylist(), batch.column(0).to_numpy(), batch.column(2), []
+    for low, high in _tiles([len(t) for t in texts]):
+        number, seed, whole, _ = passages(texts[low:high])
+        wanted = asked.slice(low, high - low)
+        own = np.repeat(np.arange(high - low, dtype=np.uint64), [len(x) for x in wanted])
+        mixed_in = lambda s, k: s ^ (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        hit = np.isin(mixed_in(seed, number), mixed_in(wanted.flatten().to_numpy().view(np.uint64), own))
+        parts.append((whole[hit].view(np.int64), rk[low:high][number[hit]]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["whole", "rk"])
+
+
+def sharing_passages(texts: DataFrame) -> DataFrame:
+    """(rk) of the texts (rk, text) that hold PASSAGE words in a row which a text of another rk holds too."""
+    texts = texts.select("rk", "text").where(F.octet_length("text") >= 2 * PASSAGE - 1)
+    ends = (F.min("rk").alias("low"), F.max("rk").alias("high"))
+    seeded = cut(in_arrow(texts, _passage_seeds, "seed bigint, content bigint, rk bigint"), "passages")
+    alike = seeded.groupBy("seed", "content").agg(*ends).where("low <> high").select("seed", "content")
+    sure = cut(seeded.join(alike, ["seed", "content"]).select("rk").distinct(), "passages")
+    # What is left: runs that agree in part, at seeds of a text that isn't known to share anything.
+    told = seeded.select("seed", "rk").join(sure.withColumn("known", F.lit(True)), "rk", "left")
+    open_seeds = told.groupBy("seed").agg(*ends, F.count("known").alias("known"), F.count("*").alias("n")).where("low <> high AND known < n").select("seed")
+    asked = cut(seeded.select("seed", "rk").join(open_seeds, "seed").groupBy("rk").agg(F.collect_set("seed").alias("asked")))
+    found = cut(in_arrow(among(texts, asked).join(asked, "rk"), _passage_hashes, "whole bigint, rk bigint"), "passages")
+    same = found.groupBy("whole").agg(*ends).where("low <> high").select("whole")
+    return sure.unionByName(found.join(same, "whole").select("rk")).distinct()
+
+
 def _kept(size: int):
-    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("shares_passage", pa.bool_())])
 
     def kept(with_text: bool):
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [[] for _ in schema]
-            for key, text, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "runs")), strict=True):
+            for key, text, runs, shares in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "runs", "shares")), strict=True):
                 spans: list[list[int]] = []
                 for a, b in sorted((r["a"], r["b"] + size) for r in runs or ()):
                     if spans and a <= spans[-1][1]:
@@ -328,7 +394,7 @@ def _kept(size: int):
                     parts.append(text[at:a])
                     at = b
                 stays = b"".join([*parts, text[at:]])
-                for column, value in zip(rows, (key, len(text), len(text) - len(stays), len(spans), hashlib.sha256(stays).hexdigest(), stays if with_text else None), strict=True):
+                for column, value in zip(rows, (key, len(text), len(text) - len(stays), len(spans), hashlib.sha256(stays).hexdigest(), stays if with_text else None, bool(shares)), strict=True):
                     column.append(value)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
@@ -337,19 +403,26 @@ def _kept(size: int):
     return kept
 
 
-def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = MIN_BYTES, first_stays: bool = True, with_text: bool = True, group: int = GROUP) -> DataFrame:
+def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = MIN_BYTES, first_stays: bool = True, with_text: bool = True, group: int = GROUP, by_words: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs: kept are the bytes that no repeated string of `size` bytes covers.
 
     With first_stays the first copy of a string, by id and place, stays, and those after it go; without it all copies go. Strings never
-    cross texts and are judged on the input. A null text is empty; texts shorter than size lose nothing. A repeated row is one more
+    cross texts and are judged on the input. by_words: a column shares_passage tells, beside, whether PASSAGE words in a row are held by a row of other id or
+    text too, which may be fewer than `size` bytes; nothing is removed for that. A null text is empty; texts shorter than size lose nothing. A repeated row is one more
     document. A null id comes first in the order of ids; first_stays keeps the string in each of several equal rows with the first
     id. An empty table gives an empty result; only id_col and text_col are read.
     """
     texts, runs = repeated_strings(docs.select(docs[id_col].cast("long").alias("id"), as_bytes(docs[text_col]).alias("text")), size, first_stays, group)
-    runs = runs.groupBy("rk", "id").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-    out = in_arrow(texts.join(runs, ["rk", "id"], "left").select("id", "text", "runs"), _kept(size)(with_text), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return out.withColumn("id", F.when(F.col("id") != -1 << 63, F.col("id"))).withColumnRenamed("id", "doc_id")
+    runs = runs.select("rk", F.struct("a", "b").alias("run"), F.lit(False).alias("shares"))
+    if by_words:
+        runs = runs.unionByName(sharing_passages(texts).select("rk", F.lit(None).cast("struct<a:int,b:int>").alias("run"), F.lit(True).alias("shares")))
+    runs = runs.groupBy("rk").agg(F.collect_set("run").alias("runs"), F.max("shares").alias("shares"))
+    columns = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, shares_passage boolean"
+    out = in_arrow(texts.join(runs, "rk", "left").select("id", "text", "runs", "shares"), _kept(size)(with_text), columns)
+    out = out.withColumn("id", F.when(F.col("id") != -1 << 63, F.col("id"))).withColumnRenamed("id", "doc_id")
+    return out if by_words else out.drop("shares_passage")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_strings(table(spark, sf_dir, "documents"), first_stays=False, with_text=False).drop("kept")
+    """dedup_strings() of documents with all copies removed, without the kept bytes, and with shares_passage behind the contract's columns."""
+    return dedup_strings(table(spark, sf_dir, "documents"), first_stays=False, with_text=False, by_words=True).drop("kept")
