@@ -97,14 +97,14 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, part_rows: int = P
     """(bin_id, doc_ids, starts, sizes, used): one row a bin of at most `capacity` words; every document is in the bins whole.
 
     size: a document's length, by default its words; cluster: its duplicate cluster, by default the hash of its text, so that exact
-    copies keep apart. Documents are dealt by a hash of their id to parts of about part_rows, and each part is packed by itself.
+    copies keep apart. Rows are dealt evenly to parts of about part_rows, whatever ids are null or repeat, and each part is packed by itself.
     Null or empty texts have size 0 and share bins as their source allows; null texts belong to no cluster; null ids pack like others.
     Repeated rows are packed each. An empty table gives an empty result; columns may have any name.
     """
     size = count_words(docs[text_col]) if size is None else size
     cluster = F.when(docs[text_col].isNotNull(), F.xxhash64(docs[text_col])) if cluster is None else cluster
     parts = max(1, -(-docs.count() // part_rows))
-    rows = docs.select(F.pmod(F.xxhash64(docs[id_col]), F.lit(parts)).alias("part"), docs[id_col].cast("long").alias("doc_id"), size.alias("size"), docs[source_col].cast("string").alias("source"), cluster.alias("cluster"))
+    rows = docs.select(F.pmod(F.xxhash64(docs[id_col], F.monotonically_increasing_id()), F.lit(parts)).alias("part"), docs[id_col].cast("long").alias("doc_id"), size.alias("size"), docs[source_col].cast("string").alias("source"), cluster.alias("cluster"))
 
     def packed(part: pa.Table) -> pa.Table:
         name = part.column("part")[0].as_py()

@@ -17,7 +17,7 @@ from stemmata.llm.common import as_bytes, in_arrow, table
 
 #: Labelled documents of each label that the model is fitted on, and bytes of their texts, at most; the smallest hashes of ids come first.
 SAMPLE_DOCS, SAMPLE_BYTES = 1_500, 12_000_000
-#: Words of a chain; a text is cut into chains of this length.
+#: Words of a row of the table that a text's chain is laid out in; messages pass from row to row.
 CHAIN = 64
 #: A feature marks words of toxic documents as toxic if, weighing both labels alike, this share of its documents is toxic, with a
 #: log-likelihood ratio against chance of this much, so that none of the very many features is taken by accident.
@@ -51,39 +51,72 @@ class _Scores(dict):
         return out
 
 
-def _chains(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of words in a (chains, CHAIN) table, and which of its cells hold words. A chain never crosses documents."""
+def _rows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of words in a (rows, CHAIN) table, which of its cells hold words, and each text's number of rows."""
     per = -(-sizes // CHAIN)
     first = np.repeat(np.cumsum(per) - per, sizes)
     within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     places = first * CHAIN + within
     held = np.zeros(int(per.sum()) * CHAIN, bool)
     held[places] = True
-    return places, held.reshape(-1, CHAIN)
+    return places, held.reshape(-1, CHAIN), per
+
+
+def _messages(emit: np.ndarray, held: np.ndarray, per: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odds that reach each row from the rows before it, and from those behind it: a row is a 2 x 2 matrix, and matrices are passed through row by row."""
+    n, starts = len(emit), np.cumsum(per) - per
+    ahead, back = np.ones(n), np.ones(n)
+    if not len(per) or per.max() < 2:
+        return ahead, back
+    first = np.zeros(n, bool)
+    first[starts[per > 0]] = True
+    # The product of moves and emissions of a row; where a text begins there is no move, and cells without words change nothing.
+    p00, p01, p10, p11 = np.ones(n), np.zeros(n), np.zeros(n), np.ones(n)
+    for t in range(CHAIN - 1, -1, -1):
+        m00, m01, m10, m11 = (np.where(first, f, m) for f, m in zip((1.0, 1.0, 0.0, 0.0), moves.ravel(), strict=True)) if t == 0 else moves.ravel()
+        e, on = emit[:, t], held[:, t]
+        q00, q01, q10, q11 = m00 * p00 + m01 * e * p10, m00 * p01 + m01 * e * p11, m10 * p00 + m11 * e * p10, m10 * p01 + m11 * e * p11
+        total = q00 + q01 + q10 + q11
+        p00, p01, p10, p11 = (np.where(on, q / total, p) for q, p in zip((q00, q01, q10, q11), (p00, p01, p10, p11), strict=True))
+    order = np.argsort(-per, kind="stable")
+    texts = np.searchsorted(-per[order], np.arange(0, -int(per.max()), -1))  # how many texts have more rows than k
+    for k in range(1, int(per.max())):
+        row = starts[order[: texts[k]]] + k
+        r = ahead[row - 1]
+        ahead[row] = (p01[row - 1] + r * p11[row - 1]) / (p00[row - 1] + r * p10[row - 1])
+        row = starts[order[: texts[k]]] + per[order[: texts[k]]] - k
+        b = back[row]
+        back[row - 1] = (p10[row] + p11[row] * b) / (p00[row] + p01[row] * b)
+    return ahead, back
 
 
 def marginals(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over every chain at once: (log-odds of each word's being toxic, expected share of moves between states).
+    """Forward-backward over every text's chain at once: (log-odds of each word's being toxic, expected share of moves between states).
 
     moves: a 2 x 2 table of factors, from state to state. Only the odds of the two states are kept, which can't underflow.
     """
-    places, held = _chains(sizes)
+    places, held, per = _rows(sizes)
     if not len(held):
         return np.zeros(0), np.zeros((2, 2))
     table = np.zeros(held.size)
     table[places] = np.exp(scores)
     emit = table.reshape(held.shape)
+    before, behind = _messages(emit, held, per, moves)
+    first, last = np.zeros(len(emit), bool), np.zeros(len(emit), bool)
+    first[(np.cumsum(per) - per)[per > 0]] = last[np.cumsum(per)[per > 0] - 1] = True
     ahead, back = np.empty_like(emit), np.ones_like(emit)
-    ahead[:, 0] = emit[:, 0]
+    ahead[:, 0] = np.where(first, emit[:, 0], emit[:, 0] * (moves[0, 1] + before * moves[1, 1]) / (moves[0, 0] + before * moves[1, 0]))
     for t in range(1, CHAIN):
         r = ahead[:, t - 1]
         ahead[:, t] = np.where(held[:, t], emit[:, t] * (moves[0, 1] + r * moves[1, 1]) / (moves[0, 0] + r * moves[1, 0]), 0.0)
+    back[:, -1] = np.where(last, 1.0, behind)
     for t in range(CHAIN - 2, -1, -1):
         x = emit[:, t + 1] * back[:, t + 1]
         back[:, t] = np.where(held[:, t + 1], (moves[1, 0] + x * moves[1, 1]) / (moves[0, 0] + x * moves[0, 1]), 1.0)
     odds = ahead * back
-    pairs = held[:, 1:]
-    a, x = ahead[:, :-1][pairs], (emit[:, 1:] * back[:, 1:])[pairs]
+    pairs, on = held[:, 1:], np.flatnonzero(~last)
+    a = np.r_[ahead[:, :-1][pairs], ahead[on, -1]]
+    x = np.r_[(emit[:, 1:] * back[:, 1:])[pairs], emit[on + 1, 0] * back[on + 1, 0]]
     joint = np.stack([np.full_like(a, moves[0, 0]), moves[0, 1] * x, a * moves[1, 0], a * moves[1, 1] * x])
     share = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2) if len(a) else np.zeros((2, 2))
     return np.log(np.maximum(odds.reshape(-1)[places], 1e-30)), share
@@ -176,7 +209,7 @@ def fit(rows: Iterable[tuple[bytes, int]], rounds: int = 60, rate: float = 0.5,
     marked = np.array([any(f in marks for f in features(w)) for w in vocabulary])
     gold = (marked[ids] & np.repeat(np.array(toxic, bool), sizes)).astype(float)
     within = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    follows = within % CHAIN > 0
+    follows = within > 0
     pairs = np.zeros((2, 2))
     np.add.at(pairs, (gold[:-1].astype(int)[follows[1:]], gold[1:].astype(int)[follows[1:]]), 1)
     theta, bias, log_moves = np.zeros(len(known)), math.log((gold.sum() + 1) / (len(gold) + 2)), np.zeros((2, 2))

@@ -215,3 +215,22 @@ def test_toxicity_sample_passes_over_long_texts(spark, monkeypatch):
     assert sorted(toxicity.sample(docs, labels, "doc_id", "text", "toxic")) == [(b"text 0", 0), (b"text 2", 0), (b"text 4", 1), (b"text 6", 1)]
     model = toxicity.fit(toxicity.sample(docs, labels.limit(0), "doc_id", "text", "toxic"))
     assert {(r["predicted"], r["score"] < 0.5) for r in toxicity.score_toxicity(docs, model).collect()} == {(0, True)}
+
+
+def test_marginals_pass_from_row_to_row(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    sizes = np.array([0, 1, 3, 4, 9, 0, 10, 7, 2])
+    moves = np.exp(rng.normal(size=(2, 2)))
+    scores = rng.normal(size=sizes.sum())
+    got = {}
+    for width in (1, 2, 3, 4, 64):  # in rows of 64 each text is one row
+        monkeypatch.setattr(toxicity, "CHAIN", width)
+        got[width] = toxicity.marginals(scores, sizes, moves)
+        assert np.allclose(got[width][0], toxicity.marginals(scores, sizes, moves * 7)[0])
+    for width in (1, 2, 3, 4):
+        assert np.allclose(got[width][0], got[64][0]) and np.allclose(got[width][1], got[64][1])
+    monkeypatch.setattr(toxicity, "CHAIN", 3)
+    assert np.isfinite(toxicity.marginals(np.full(5000, 30.0), np.array([5000]), np.exp(np.array([[4.0, -4], [-4, 4]])))[0]).all()
+    assert np.allclose(toxicity.marginals(np.zeros(0), np.zeros(0, np.int64), moves)[1], 0)
