@@ -8,7 +8,7 @@ and a table of offsets what its incoming edges are charged.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -103,14 +103,71 @@ def arborescence_of(edges: list[tuple[int, int, int]], nodes: list[int] | None =
     return [(rows[k][1], rows[k][2], rows[k][0]) for k in solve(len(ids) + 1, src, dst, cost, len(ids)).tolist() if k < len(rows)]
 
 
-@dataclass
+@dataclass(frozen=True)
 class Contraction:
-    """What a run leaves for later updates: labels before each round, the forest of contracted cycles, and duals.
-
-    rounds: of each round, labels (v, c) before it, what was contracted (c, src, dst, w, adj, cycle) and all lightest edges (c, adj, ...).
+    """What a run leaves for later updates. Of each round: labels (v, c, off) before it, what was contracted (c, src, dst, w, adj, cycle), and
+    the lightest edge into each component (c, adj, w, src, dst, csrc). last: the labels after all rounds; end: the lightest edges there, if they had no cycle.
     """
 
-    rounds: list[tuple[DataFrame, DataFrame, DataFrame]] = field(default_factory=list)
+    rounds: tuple[tuple[DataFrame, DataFrame, DataFrame], ...] = ()
+    last: DataFrame | None = None
+    end: DataFrame | None = None
+
+    def upto(self, n: int | None) -> Contraction:
+        """What is left of it if round n is the first that a change of edges touches; None: none is."""
+        if n is None or n > len(self.rounds):
+            return self
+        return Contraction(self.rounds[:n], self.rounds[n][0] if n < len(self.rounds) else self.last)
+
+    def with_nodes(self, new: DataFrame, gone: DataFrame) -> Contraction:
+        """The same rounds with new nodes (id), which nothing contracts yet, and without others."""
+        alone = new.select(F.col("id").alias("v"), F.col("id").alias("c"), F.lit(0).cast("bigint").alias("off"))
+        gone = gone.select(F.col("id").alias("v"))
+        labels = lambda df: cut(df.join(gone, "v", "left_anti").select("v", "c", "off").unionByName(alone))
+        return Contraction(tuple((labels(x), named, best) for x, named, best in self.rounds), labels(self.last) if self.last is not None else None, self.end)
+
+    def first_touched(self, removed: DataFrame, added: DataFrame, gone: DataFrame) -> int | None:
+        """The first round that the loss and gain of edges (src, dst, w) change, len(rounds) if only what comes after them, None if nothing.
+
+        An edge counts where it is, or would be, the lightest into its component; edges into nodes that are gone (id) only where those are contracted.
+        """
+        stages = [*self.rounds, (self.last, None, self.end)]
+        for n, (labels, named, best) in enumerate(stages):
+            src, dst = labels.toDF("src", "csrc", "_"), labels.toDF("dst", "cdst", "off")
+            between = added.join(src, "src").join(dst, "dst").where("csrc <> cdst")
+            if best is None:  # one task has ended the work: any edge between components may count
+                touched = not between.isEmpty() or not removed.join(src, "src", "left").join(dst, "dst", "left").where("csrc IS NULL OR cdst IS NULL OR csrc <> cdst").isEmpty()
+                return n if touched else None
+            known = best.select(F.col("c").alias("cdst"), F.struct("adj", "w", "src", "dst").alias("least"))
+            lighter = between.withColumn("adj", F.col("w") + F.col("off")).join(known, "cdst", "left").where(F.col("least").isNull() | (F.struct("adj", "w", "src", "dst") < F.col("least")))
+            inner = lighter if named is None else lighter.where("least IS NOT NULL")  # a new node's first edge contracts nothing by itself
+            lost = removed.join(gone.select(F.col("id").alias("dst")), "dst", "left_anti") if named is not None else removed
+            if not inner.isEmpty() or not best.join(lost, ["src", "dst", "w"], "left_semi").isEmpty():
+                return n
+            if named is not None and not named.join(gone.select(F.col("id").alias("c")), "c", "left_semi").isEmpty():
+                return n
+        return None
+
+    def forest(self) -> DataFrame | None:
+        """(fid, parent_fid, src, dst, w, y, is_simple): a node for each vertex that is contracted and each cycle, below the cycle that it is part of.
+
+        A node has the lightest edge into it, and y, what that is charged. A cycle's fid holds the round that made it above 40 bits of its name; a vertex is its own.
+        """
+        parts = [named.select(F.lit(n).alias("at"), "*") for n, (_, named, _) in enumerate(self.rounds)]
+        if not parts:
+            return None
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        rows = cut(rows)
+        fid = lambda made, c: F.call_function("shiftleft", made.cast("bigint"), F.lit(40)) + c
+        made = rows.select(F.col("cycle").alias("c"), (F.col("at") + 1).alias("made")).distinct()
+        born = rows.join(made, "c").where("made <= at").groupBy("at", "c").agg(F.max("made").alias("made"))
+        inner = rows.join(born, ["at", "c"], "left").withColumn("made", F.coalesce("made", F.lit(0)))
+        nodes = inner.select(fid(F.col("made"), F.col("c")).alias("fid"), fid(F.col("at") + 1, F.col("cycle")).alias("parent_fid"), "src", "dst", "w", F.col("adj").alias("y"), (F.col("made") == 0).alias("is_simple"))
+        tops = made.select(fid(F.col("made"), F.col("c")).alias("fid")).join(nodes.select("fid"), "fid", "left_anti")
+        null = F.lit(None).cast("bigint")
+        return cut(nodes.unionByName(tops.select("fid", null.alias("parent_fid"), null.alias("src"), null.alias("dst"), null.alias("w"), null.alias("y"), F.lit(False).alias("is_simple"))))
 
 
 def minimum_arborescence(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, keep_edges: bool = True) -> DataFrame:
@@ -123,35 +180,41 @@ def minimum_arborescence(edges: DataFrame, nodes: DataFrame | None = None, kerne
     return infer(edges, nodes, kernel_edges, keep_edges)[0]
 
 
-def infer(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, keep_edges: bool = True) -> tuple[DataFrame, Contraction]:
+def infer(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, keep_edges: bool = True, seed: Contraction | None = None) -> tuple[DataFrame, Contraction]:
+    """The tree and what it was contracted by. seed: rounds that hold for this graph already, whose nodes it names all; the work goes on behind them."""
     long = lambda c: F.col(c).cast("bigint").alias(c)
     real = edges.where("src <> dst").select(long("src"), long("dst"), long("w"))
     real = cut(real) if keep_edges else real
-    vertices = real.select(F.col("src").alias("v")).unionByName(real.select(F.col("dst").alias("v")))
-    if nodes is not None:
-        vertices = vertices.unionByName(nodes.select(F.col("id").cast("bigint").alias("v")))
-    labels = cut(vertices.distinct().select("v", F.col("v").alias("c"), F.lit(0).cast("bigint").alias("off")))
+    rounds = list(seed.rounds) if seed else []
+    if seed and seed.last is not None:
+        labels = seed.last
+    else:
+        vertices = real.select(F.col("src").alias("v")).unionByName(real.select(F.col("dst").alias("v")))
+        if nodes is not None:
+            vertices = vertices.unionByName(nodes.select(F.col("id").cast("bigint").alias("v")))
+        labels = cut(vertices.distinct().select("v", F.col("v").alias("c"), F.lit(0).cast("bigint").alias("off")))
     weight, n_edges = real.agg(F.sum(F.abs("w")), F.count("*")).first()
     big = 1 + 2 * (weight or 0)
-    state = Contraction()
-    solved = None
+    end = None
     while True:
         charged = _between(real, labels, big)
-        if n_edges <= kernel_edges or state.rounds and charged.where(F.col("csrc") != ROOT).limit(kernel_edges + 1).count() <= kernel_edges:
+        # The virtual root's edges come on top, one a vertex; they are reduced to one a component before the last task.
+        if n_edges + labels.count() <= kernel_edges or rounds and charged.limit(kernel_edges + 1).count() <= kernel_edges:
             solved = _finish(charged)
             break
         best = cut(charged.groupBy("cdst").agg(F.min(F.struct("adj", "w", "src", "dst", "csrc")).alias("x")).select(F.col("cdst").alias("c"), "x.*"))
         cyclic = _on_cycles(best)
         if cyclic.isEmpty():
-            solved = best.select("c", "src", "dst", "w")
+            solved, end = best.select("c", "src", "dst", "w"), best
             break
         named = cut(cyclic.join(best, "c").select("c", "src", "dst", "w", "adj", "cycle"))
-        state.rounds.append((labels.select("v", "c"), named, best))
+        rounds.append((labels, named, best))
         labels = cut(labels.join(named.select("c", "adj", "cycle"), "c", "left").select("v", F.coalesce("cycle", "c").alias("c"), (F.col("off") - F.coalesce("adj", F.lit(0))).alias("off")))
-    for members, named, _ in reversed(state.rounds):
+    state = Contraction(tuple(rounds), labels, end)
+    for members, named, _ in reversed(rounds):
         # The edge that enters a cycle goes to the member that it ends in; the other members keep the edges of their round.
         solved = cut(solved)
-        entered = solved.join(members.toDF("dst", "at"), "dst").select(F.col("at").alias("c"), "src", "dst", "w")
+        entered = solved.join(members.select(F.col("v").alias("dst"), F.col("c").alias("at")), "dst").select(F.col("at").alias("c"), "src", "dst", "w")
         kept = named.join(entered.select("c"), "c", "left_anti").select("c", "src", "dst", "w")
         solved = entered.unionByName(kept)
     tree = solved.where(F.col("src") != ROOT).select("src", "dst", "w")
@@ -162,13 +225,15 @@ def _between(real: DataFrame, labels: DataFrame, big: int) -> DataFrame:
     """(src, dst, w, csrc, cdst, adj) of edges between components, and of the virtual root's."""
     inner = real.join(labels.select(F.col("v").alias("src"), F.col("c").alias("csrc")), "src")
     inner = inner.join(labels.select(F.col("v").alias("dst"), F.col("c").alias("cdst"), "off"), "dst").where("csrc <> cdst")
-    virtual = labels.select(F.lit(ROOT).cast("bigint").alias("src"), F.col("v").alias("dst"), F.lit(big).cast("bigint").alias("w"), F.lit(ROOT).cast("bigint").alias("csrc"), F.col("c").alias("cdst"), "off")
+    # Of the virtual root's edges only the lightest into each component can count: few rows, however many vertices.
+    least = labels.groupBy("c").agg(F.min(F.struct("off", "v")).alias("x")).select("c", "x.off", "x.v")
+    virtual = least.select(F.lit(ROOT).cast("bigint").alias("src"), F.col("v").alias("dst"), F.lit(big).cast("bigint").alias("w"), F.lit(ROOT).cast("bigint").alias("csrc"), F.col("c").alias("cdst"), "off")
     columns = ["src", "dst", "w", "csrc", "cdst", (F.col("w") + F.col("off")).alias("adj")]
     return inner.select(*columns).unionByName(virtual.select(*columns))
 
 
 def _finish(charged: DataFrame) -> DataFrame:
-    """The rest of the work in one task: the edges between components are bounded by KERNEL_EDGES and the components."""
+    """The rest of the work in one task: the edges between components, the virtual root's among them, are bounded by KERNEL_EDGES."""
 
     def kernel(rows):
         import pyarrow as pa

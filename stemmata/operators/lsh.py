@@ -58,14 +58,15 @@ def buckets(profiles: DataFrame, samples: list[list[int]]) -> DataFrame:
 def candidates(queries: DataFrame, indexed: DataFrame, radius: float, distance: DistanceFunction = HAMMING, earlier_only: bool = False) -> DataFrame:
     """(q, cand, w, tbl): profiles in a bucket of the query's within radius; each pair once, with the first table that it meets in.
 
-    Both sides are bucket tables and join on (tbl, key); adaptive execution splits large buckets. The distance is from query to candidate.
-    earlier_only: only candidates of smaller id.
+    Both sides are bucket tables and join on (tbl, key) by ids alone; adaptive execution splits large buckets. A pair that meets in several tables
+    is measured once, when profiles join. The distance is from query to candidate. earlier_only: only candidates of smaller id.
     """
-    a = queries.select(F.col("id").alias("q"), F.col("alleles").alias("u"), "tbl", "key")
-    b = indexed.select(F.col("id").alias("cand"), F.col("alleles").alias("v"), "tbl", "key")
+    a, b = queries.select(F.col("id").alias("q"), "tbl", "key"), indexed.select(F.col("id").alias("cand"), "tbl", "key")
     pairs = a.join(b, ["tbl", "key"]).where(F.col("cand") < F.col("q") if earlier_only else F.col("cand") != F.col("q"))
-    near = pairs.select("q", "cand", "tbl", distance.column(F.col("u"), F.col("v")).alias("w")).where(F.col("w") <= radius)
-    return near.groupBy("q", "cand").agg(F.min(F.struct("tbl", "w")).alias("x")).select("q", "cand", "x.w", "x.tbl")
+    pairs = pairs.groupBy("q", "cand").agg(F.min("tbl").alias("tbl"))
+    profile = lambda df, key, name: df.groupBy(F.col("id").alias(key)).agg(F.first("alleles").alias(name))
+    met = pairs.join(profile(queries, "q", "u"), "q").join(profile(indexed, "cand", "v"), "cand")
+    return met.select("q", "cand", distance.column(F.col("u"), F.col("v")).alias("w"), "tbl").where(F.col("w") <= radius)
 
 
 def first_k(found: DataFrame, k: int) -> DataFrame:

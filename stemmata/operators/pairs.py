@@ -23,11 +23,14 @@ def blocks(profiles: DataFrame, block: int = BLOCK) -> DataFrame:
     return profiles.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col("id").cast("bigint").alias("id"), "alleles")).alias("rows"))
 
 
-def _arrays(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    width = {len(r["alleles"]) for r in rows}
+def _arrays(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, alleles as a matrix) of a block."""
+    held = rows.values
+    alleles = held.field("alleles")
+    width = np.unique(np.diff(alleles.offsets.to_numpy()))
     if len(width) > 1:
         raise ValueError("Sequences must be of equal length")
-    return np.array([r["id"] for r in rows], np.int64), np.array([r["alleles"] for r in rows], np.int64).reshape(len(rows), -1)
+    return held.field("id").to_numpy(), alleles.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(held), -1)
 
 
 def _kernel(distance: DistanceFunction, ordered: bool, reduce: Callable | None) -> Callable:
@@ -35,7 +38,7 @@ def _kernel(distance: DistanceFunction, ordered: bool, reduce: Callable | None)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, two, same in zip(*(batch.column(c).to_pylist() for c in ("one", "two", "same")), strict=True):
+            for one, two, same in zip(batch.column("one"), batch.column("two"), batch.column("same").to_pylist(), strict=True):
                 (a, u), (b, v) = _arrays(one), _arrays(two)
                 if u.shape[1] != v.shape[1]:
                     raise ValueError("Sequences must be of equal length")

@@ -159,7 +159,7 @@ def _(spark, sf):
     return a.crossJoin(b).where("src <> dst").select("src", "dst", hamming(F.col("u"), F.col("v")).alias("hamming"), directional_hamming(F.col("u"), F.col("v")).alias("directional"))
 
 
-@query("directional_asymmetry", "SELECT a.src, a.dst, a.w - b.w AS excess FROM directed a JOIN directed b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst", "directed")
+@query("directional_asymmetry", "SELECT least(src, dst) AS src, greatest(src, dst) AS dst, CAST(sum(CASE WHEN src < dst THEN w ELSE -w END) AS BIGINT) AS excess FROM directed GROUP BY ALL", "directed")
 def _(spark, sf):
     both = pairs.all_pairs(profiles(spark, sf), DIRECTIONAL).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     signed = F.when(F.col("src") < F.col("dst"), F.col("w")).otherwise(-F.col("w"))
@@ -572,12 +572,12 @@ def _(spark, sf):
     return _costs(dynamic.apply_updates(_state(spark, sf), log))
 
 
-@query("incremental_batches", "SELECT CAST(b AS INTEGER) AS batch, count(*) AS n_edges, min(w) AS least FROM (SELECT unnest(range(CAST(greatest(src, dst) // 100 AS BIGINT), 5)) AS b, w FROM pairs) GROUP BY b", "pairs")
+@query("incremental_batches", "SELECT CAST(b AS INTEGER) AS batch, count(*) AS n_edges, min(w) AS least FROM (SELECT unnest(range(CAST(greatest(src, dst) // 100 AS BIGINT), (SELECT CAST(max(id) // 100 + 1 AS BIGINT) FROM profiles))) AS b, w FROM pairs) GROUP BY b", "pairs")
 def _(spark, sf):
     made = pairs.all_pairs(profiles(spark, sf)).withColumn("since", F.floor(F.greatest("src", "dst") / 100))
     counts = made.groupBy("since").agg(F.count("*").alias("n"), F.min("w").alias("w"))
     upto = Window.orderBy("since")
-    return counts.where("since < 5").select(F.col("since").cast("int").alias("batch"), F.sum("n").over(upto).alias("n_edges"), F.min("w").over(upto).alias("least"))
+    return counts.select(F.col("since").cast("int").alias("batch"), F.sum("n").over(upto).alias("n_edges"), F.min("w").over(upto).alias("least"))
 
 
 # Logs and series

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stemmata.functions.alleles import padded
 from stemmata.functions.distances import DIRECTIONAL, HAMMING, DistanceFunction
 from stemmata.operators import dynamic, lsh
-from stemmata.operators.arborescence import minimum_arborescence
+from stemmata.operators.arborescence import KERNEL_EDGES, Contraction, minimum_arborescence
 from stemmata.operators.graph import next_id
 from stemmata.operators.neighbour_joining import neighbour_joining
 from stemmata.operators.pairs import all_pairs, incremental_pairs
@@ -35,6 +35,7 @@ class Options:
     radius: float = lsh.DEFAULTS["radius"]
     batch: int = 1000
     on_demand: bool = False
+    kernel_edges: int = KERNEL_EDGES
 
 
 def approximate_tree(profiles: DataFrame, samples: list[list[int]], radius: float, budget: int | None, distance: DistanceFunction) -> DataFrame:
@@ -64,25 +65,57 @@ def infer(store: Store, options: Options) -> DataFrame:
     if options.k:
         profiles = store.load_nodes()
         return approximate_tree(profiles, _samples(profiles, options), options.radius, options.k, options.distance)
+    if options.algorithm == "neighborjoining":
+        return _joined(edges if not options.on_demand else all_pairs(store.load_nodes(), options.distance))
     if options.on_demand:
         return minimum_arborescence(all_pairs(store.load_nodes(), options.distance), nodes.select("id"), keep_edges=False)
     return minimum_arborescence(edges, nodes.select("id"))
 
 
-def _finish(store: Store, options: Options, new: int, began: float) -> DataFrame:
-    """Saves and logs the tree; returns its validation."""
-    tree = cut(infer(store, options))
+def _joined(edges: DataFrame) -> DataFrame:
+    return neighbour_joining(edges.where("src < dst").select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").cast("double").alias("d"))).select("src", "dst", "w")
+
+
+def _checked(options: Options) -> None:
+    """The dynamic algorithm goes on from stored edges; an error where there are none."""
+    if options.algorithm == "dynamic" and (options.k or options.on_demand):
+        raise ValueError("the dynamic algorithm needs the stored edges: not with k or on_demand")
+
+
+def _before(store: Store, options: Options) -> dynamic.State | None:
+    """The stored graph, tree and rounds, which a change goes on from; None for the other algorithms."""
+    _checked(options)
+    if options.algorithm != "dynamic":
+        return None
+    nodes, edges = store.load_graph()
+    seed = store.load_contraction()
+    if seed is not None:
+        seed = Contraction(tuple(tuple(cut(x) for x in r) for r in seed.rounds), cut(seed.last), cut(seed.end) if seed.end is not None else None)
+    return dynamic.State(cut(nodes.select("id")), cut(edges), cut(store.read("phylogeny")), False, seed, options.kernel_edges)
+
+
+def _finish(store: Store, options: Options, new: int, began: float, before: dynamic.State | None = None) -> DataFrame:
+    """Saves and logs the tree; returns its validation. before: what the dynamic algorithm goes on from."""
+    if before is not None:
+        nodes, edges = store.load_graph()
+        after = dynamic.settled(before, cut(nodes.select("id")), cut(edges))
+        tree = after.tree
+        store.save_contraction(after.seed)
+    else:
+        tree = cut(infer(store, options))
     store.save_phylogeny(tree)
     cost = tree.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     nodes, edges = store.load_graph()
     store.log_run(new, edges.count(), int((time.time() - began) * 1000), cost)
-    known = edges if not options.on_demand and not options.k else None
+    known = edges if not options.on_demand and not options.k and options.algorithm != "neighborjoining" else None
+    if options.algorithm == "neighborjoining":  # joins are nodes too
+        return validate(tree, None, tree.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
     return validate(tree, known, nodes.select("id"))
 
 
 def add(store: Store, profiles: DataFrame, options: Options = Options()) -> DataFrame:
     """Adds profiles (st, alleles) with ids from the largest on, their edges, and infers the tree. Returns its validation."""
-    began = time.time()
+    began, before = time.time(), _before(store, options)
     existing = store.load_nodes()
     offset = next_id(existing)
     low = profiles.agg(F.min("id")).first()[0] or 0
@@ -97,39 +130,39 @@ def add(store: Store, profiles: DataFrame, options: Options = Options()) -> Data
         all_nodes = store.load_nodes()
         samples = _samples(all_nodes, options)
         store.save_lsh(samples, lsh.buckets(all_nodes, samples))
-    return _finish(store, options, new.count(), began)
+    return _finish(store, options, new.count(), began, before)
 
 
 def remove(store: Store, ids: DataFrame, options: Options = Options()) -> DataFrame:
     """Removes nodes (id) and their edges, then infers the tree."""
-    began = time.time()
+    began, before = time.time(), _before(store, options)
     store.remove_nodes(ids)
-    return _finish(store, options, 0, began)
+    return _finish(store, options, 0, began, before)
 
 
 def update(store: Store, profiles: DataFrame, options: Options = Options()) -> DataFrame:
     """Replaces the profiles of nodes (id, alleles) and every edge at them, then infers the tree."""
-    began = time.time()
+    began, before = time.time(), _before(store, options)
     changed = cut(profiles.select(F.col("id").cast("bigint").alias("id"), "alleles"))
     rest = cut(store.load_nodes().join(changed.select("id"), "id", "left_anti"))
     store.remove_nodes(changed.select("id"))
     if not options.on_demand and not options.k:
         store.add_edges(incremental_pairs(changed, rest, options.distance))
     store.add_nodes(changed)
-    return _finish(store, options, changed.count(), began)
+    return _finish(store, options, changed.count(), began, before)
 
 
 def test(store: Store, profiles: DataFrame, options: Options = Options()) -> list[dict]:
     """Grows the graph in batches, with a tree after each: by the static or the dynamic algorithm, or by neighbour joining."""
     if options.algorithm == "neighborjoining":
-        joined = lambda edges, nodes: neighbour_joining(edges.where("src < dst").select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").cast("double").alias("d"))).select("src", "dst", "w")
+        joined = lambda edges, nodes: _joined(edges)
         return grow(store, profiles, options.batch, joined)
     if options.algorithm == "dynamic":
         held: list[dynamic.State] = []
 
         def seeded(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             if not held:
-                held.append(dynamic.start(edges, nodes))
+                held.append(dynamic.start(edges, nodes, options.kernel_edges))
             else:
                 new = edges.join(held[-1].edges.select("src", "dst"), ["src", "dst"], "left_anti")
                 log = new.select(F.lit(0).cast("bigint").alias("seq"), F.lit("add").alias("op"), "src", "dst", "w")

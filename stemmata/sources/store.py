@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from stemmata.operators import graph
+from stemmata.operators.arborescence import Contraction
 from stemmata.runtime import cut
 
 #: Columns of each table; nodes may have profiles besides.
@@ -17,6 +18,9 @@ SCHEMAS = {
     "edges": "src bigint, dst bigint, w bigint",
     "phylogeny": "src bigint, dst bigint, w bigint",
     "atree": "fid bigint, src bigint, dst bigint, w bigint, y bigint, parent_fid bigint, is_simple boolean, contracted array<bigint>",
+    "rounds_labels": "round int, v bigint, c bigint, off bigint",
+    "rounds_named": "round int, c bigint, src bigint, dst bigint, w bigint, adj bigint, cycle bigint",
+    "rounds_best": "round int, c bigint, adj bigint, w bigint, src bigint, dst bigint, csrc bigint",
     "lsh_samples": "tbl int, loci array<int>",
     "lsh_buckets": "id bigint, alleles array<bigint>, tbl int, key array<bigint>",
     "run_metrics": "new_nodes bigint, edges bigint, ms bigint, cost bigint",
@@ -154,6 +158,31 @@ class Store:
     def load_forest(self) -> DataFrame:
         return self.read("atree")
 
+    def save_contraction(self, seed: Contraction) -> None:
+        """Keeps an inference's rounds, and its forest, for updates of a later session."""
+        labels, named, best = ([(n, r[k]) for n, r in enumerate(seed.rounds)] for k in range(3))
+        n = len(seed.rounds)
+        labels += [(n, seed.last)] if seed.last is not None else []
+        best += [(n, seed.end)] if seed.end is not None else []
+        for name, parts in (("rounds_labels", labels), ("rounds_named", named), ("rounds_best", best)):
+            out = self.spark.createDataFrame([], SCHEMAS[name])
+            for k, df in parts:
+                out = out.unionByName(self._shaped(name, df.withColumn("round", F.lit(k))))
+            self.overwrite(name, out)
+        forest = seed.forest()
+        self.save_forest(forest if forest is not None else self.spark.createDataFrame([], SCHEMAS["atree"]))
+
+    def load_contraction(self) -> Contraction | None:
+        """The rounds as saved; None where none are."""
+        labels, named, best = (self.read(n) for n in ("rounds_labels", "rounds_named", "rounds_best"))
+        n = labels.agg(F.max("round")).first()[0]
+        if n is None:
+            return None
+        part = lambda df, k: df.where(F.col("round") == k).drop("round")
+        rounds = tuple((part(labels, k), part(named, k), part(best, k)) for k in range(n))
+        end = part(best, n)
+        return Contraction(rounds, part(labels, n), None if end.isEmpty() else end)
+
     def save_lsh(self, samples: list[list[int]], buckets: DataFrame) -> None:
         self.overwrite("lsh_samples", self.spark.createDataFrame(list(enumerate(samples)), SCHEMAS["lsh_samples"]))
         self.overwrite("lsh_buckets", buckets)

@@ -97,3 +97,52 @@ def test_forests_and_lone_nodes(spark):
         tree, _ = infer(spark.createDataFrame(edges, "src int, dst int, w int"), nodes, kernel_edges)
         assert valid([tuple(r) for r in tree.collect()], edges, 9) == 3
     assert minimum_arborescence(spark.createDataFrame([], "src int, dst int, w int")).count() == 0
+
+
+def test_updates_go_on_from_what_they_leave(spark):
+    from stemmata.operators import dynamic
+
+    rng = random.Random(5)
+    edges = {(s, d): rng.randint(0, 40) for s in range(9) for d in range(9) if s != d and rng.random() < 0.45}
+    nodes = set(range(9))
+    frame = lambda: spark.createDataFrame([(s, d, w) for (s, d), w in edges.items()], "src bigint, dst bigint, w bigint").coalesce(1)
+    states = [dynamic.start(frame(), spark.createDataFrame([(v,) for v in nodes], "id bigint"), 0)]
+    kept = 0
+    for step in range(4):
+        kind = ("add", "update", "node", "gone")[step]
+        held = sorted(edges)
+        if kind == "add":
+            pair = next((s, d) for s in sorted(nodes) for d in sorted(nodes, reverse=True) if s != d and (s, d) not in edges)
+            edges[pair] = 39 if step else 0
+            states = [dynamic.add_edge(x, *pair, edges[pair]) for x in states]
+        elif kind == "remove":
+            pair = held[rng.randrange(len(held))]
+            del edges[pair]
+            states = [dynamic.remove_edge(x, *pair) for x in states]
+        elif kind == "update":
+            pair = held[rng.randrange(len(held))]
+            edges[pair] = rng.randint(0, 40)
+            states = [dynamic.update_edge(x, *pair, edges[pair]) for x in states]
+        elif kind == "node":
+            new = {(20, 3): 38, (2, 20): 7, (20, 5): 1}
+            edges |= new
+            nodes.add(20)
+            states = [dynamic.add_node(x, 20, spark.createDataFrame([(*k, w) for k, w in new.items()], "src bigint, dst bigint, w bigint")) for x in states]
+        else:
+            nodes.discard(4)
+            edges = {k: w for k, w in edges.items() if 4 not in k}
+            states = [dynamic.remove_node(x, 4) for x in states]
+        known = [(s, d, w) for (s, d), w in edges.items()]
+        best = arborescence_of(known, sorted(nodes))
+        for x in states:
+            tree = [tuple(r) for r in x.tree.collect()]
+            assert valid(tree, known, len(nodes)) == len(nodes) - len(best) and sum(e[2] for e in tree) == sum(e[2] for e in best), (step, kind)
+        # The rounds that are left are those of an inference from scratch.
+        if step < 3:
+            continue
+        whole = dynamic.start(frame(), spark.createDataFrame([(v,) for v in nodes], "id bigint"), 0).seed
+        mine = states[0].seed
+        for (a, p, _), (b, q, _) in zip(mine.rounds, whole.rounds):
+            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and sorted(map(tuple, p.collect())) == sorted(map(tuple, q.collect()))
+        kept += len(mine.rounds)
+    assert kept or not whole.rounds

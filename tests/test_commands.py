@@ -79,3 +79,24 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "ids.txt").write_text("0\n5\n")
     assert commands.main(["remove", str(tmp_path / "ids.txt"), str(tmp_path / "base")]) == 0
     assert Store(spark, str(tmp_path / "base")).count_nodes() == 4
+
+
+def test_dynamic_goes_on_from_the_stored_rounds(spark, tmp_path):
+    rows = table(8, 3)
+    store = Store(spark, str(tmp_path / "g"))
+    options = Options(algorithm="dynamic", kernel_edges=0)
+    assert commands.add(store, frame(spark, rows[:8]), options).first()["valid"]
+    seed, forest = store.load_contraction(), {r["fid"]: r for r in store.load_forest().collect()}
+    assert {r["parent_fid"] for r in forest.values()} - {None} <= set(forest) and len(seed.rounds) == 0 or any(r["is_simple"] for r in forest.values())
+    assert commands.remove(store, spark.createDataFrame([(2,)], "id bigint"), options).first()["valid"]
+    assert store.read("phylogeny").agg({"w": "sum"}).first()[0] == brute(rows[:2] + rows[3:8], DIRECTIONAL)
+
+
+def test_neighbour_joining_as_a_command(spark, tmp_path):
+    import pytest
+
+    store = Store(spark, str(tmp_path / "g"))
+    assert commands.add(store, frame(spark, table(6, 8)), Options(algorithm="neighborjoining", distance=HAMMING)).count() == 1
+    assert store.read("phylogeny").count() >= 6
+    with pytest.raises(ValueError):
+        commands.add(store, frame(spark, table(2, 8)), Options(algorithm="dynamic", on_demand=True))
