@@ -15,8 +15,10 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset in local runs; an error on a cluster."""
     named, jsc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc()
+    if not named and jsc.getCheckpointDir().isEmpty() and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if jsc.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='stemmata-')}")
     return named or jsc.getCheckpointDir().get()
