@@ -19,32 +19,43 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned rules keep. The rules are learned from the labelled ones among docs."""
+    """Documents that the learned rules keep. The rules are learned from the labelled ones among docs.
+
+    A null or empty text has no words and fails the base rules; repeated rows are judged each; without labels the base rules alone decide; an empty
+    table stays empty. Columns beyond COLUMNS are left behind, here and in the other stages: all of them return the columns of documents.
+    """
     ship(spark)
     return keep_good(docs, learn(docs, table(spark, sf_dir, "labels"))).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that others hold too; n_chars follows the text."""
+    """All documents, without the lines that others hold too; n_chars follows the text.
+
+    The largest id keeps a line, so ties are settled by the id; rows that share it all keep it. A null text becomes an empty one. Drops go by row, whatever
+    ids repeat or are null; an empty table stays empty.
+    """
     ship(spark)
     out = dedup_lines(docs)
     return out.select("row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies.
+
+    The smallest id stays; of rows that share it, one. Texts without words are near copies of each other; an empty table stays empty.
+    """
     ship(spark)
     return one_of_each(docs).select(*COLUMNS)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated."""
+    """Documents that aren't contaminated. Null and empty texts have no words and stay; repeated rows are judged each; without items, and in an empty table, nothing changes."""
     ship(spark)
     return clean_documents(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of documents."""
+    """Bins of documents: every row lies in them whole, null and empty texts with size 0; an empty table gives no bins."""
     ship(spark)
     return pack_documents(docs)
 

@@ -164,6 +164,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decontaminate() of documents against benchmark: one row a document, nulls, ties, repeated rows and empty tables as there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"]).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 

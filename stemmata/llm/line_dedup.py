@@ -132,6 +132,7 @@ def let_kept(lines: Column, drop: Column) -> Column:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lines() of documents, with a hash of what stays; one row a document, odd rows as there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -117,4 +117,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, part_rows: int = P
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents() of documents by words: one row a bin, with all pieces of every document in bins; odd rows as there."""
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))

@@ -214,5 +214,6 @@ def keep_good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> D
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of documents by rules learned from labels: one row a document; a null text has no words and fails the base rules."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs, learn(docs, table(spark, sf_dir, "labels"))).select("row.doc_id", "n_words", *BASE, "base_failed", "kept")

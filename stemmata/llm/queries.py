@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
+
 from stemmata.llm.compact_windows import op9_compact_windows
 from stemmata.llm.decontaminate import op1_decontaminate, op1_sql
 from stemmata.llm.line_dedup import op6_line_dedup, op6_sql
@@ -14,6 +15,14 @@ from stemmata.llm.substring_suffix import op3_suffix_dedup
 from stemmata.llm.toxicity import op5_toxicity
 from stemmata.llm.url_filter import op2_sql, op2_url_filter
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corpus_pipeline.run(); the module lies beside the package and is imported when it runs."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
@@ -25,7 +34,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_compact_windows": op9_compact_windows,
     "op10_simhash": op10_simhash,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 

@@ -78,6 +78,7 @@ def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: s
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard_documents() of documents; nulls, repeated rows and empty tables as there."""
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

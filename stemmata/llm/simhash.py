@@ -153,5 +153,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of documents, with the fingerprint as 16 hexadecimal digits; null and empty texts have fingerprint zero."""
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

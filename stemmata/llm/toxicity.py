@@ -305,6 +305,7 @@ def held_out(key: Column) -> Column:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of documents by a model learned from rows outside the fold that is held out; null or empty texts score low, rows with a null id are judged too and never learned from."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = fit(sample(docs, labels.where(~held_out(F.col("doc_id"))), "doc_id", "text", "toxic"))
     return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -103,6 +103,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for each row of pages; a null url or one without :// has an empty host and path and no rule, so that the method judges it."""
     return filter_urls(table(spark, sf_dir, "pages"))
 
 

@@ -59,3 +59,25 @@ def test_stages_decide_by_row(spark):
     rows = [(None, f"{a}\nx"), (None, f"{b}\nx"), (1, f"{b}\n{a}"), (1, f"x\n{b} still\n{b}, too"), (2, a)]
     got = {(r["row"]["doc_id"], r["row"]["text"]): (r["n_dropped"], r["kept_text"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {rows[0]: (1, "x"), rows[1]: (0, rows[1][1]), rows[2]: (1, b), rows[3]: (0, rows[3][1]), rows[4]: (0, a)}
+
+
+def test_odd_rows_go_through_all_stages(spark, small, tmp_path):
+    """Nulls, empty and long texts, repeated rows, further columns of clashing names, and an empty table."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, nr long, row string, component string"
+    text = lambda k: " ".join(f"{w}{k}" for w in "one two three four five six seven eight nine ten eleven".split())
+    long = " ".join(f"w{i}" for i in range(30_000))
+    texts = [(1, text("a")), (1, text("a")), (None, text("b")), (None, None), (2, ""), (3, long), (4, " \n\n "), (5, text("c"))]
+    rows = [(i, t, None if i == 3 else "en", None if i == 5 else "s", None, 7, "x", None) for i, t in texts]
+    for label in ("rows", "none"):
+        docs = spark.createDataFrame(rows if label == "rows" else [], kinds)
+        for k, (_, stage) in enumerate(cp.STAGES):
+            path = str(tmp_path / label / str(k))
+            stage(spark, docs, small).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if k < 4:
+                assert tuple(docs.columns) == cp.COLUMNS
+                left = sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect())
+                want = [(0, text("b")), (1, text("a")), (3, long), (5, text("c"))]
+                assert left == ([] if label == "none" else sorted(want + [(1, text("a"))]) if k < 2 else want)
+        bins = docs.collect()
+        assert sorted(i or 0 for b in bins for i in set(b["doc_ids"])) == ([] if label == "none" else sorted([0, 1, 5] + [3] * sum(3 in b["doc_ids"] for b in bins)))
