@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stemmata.llm.common import LOWER_ASCII, among, as_bytes, connected_components, in_arrow, table
+from stemmata.llm.common import LOWER_ASCII, among, as_bytes, batches_of, connected_components, in_arrow, table
 from stemmata.llm.rolling import RowHash, SpanHash, mixed, sliding_min, smaller_before
 from stemmata.llm.words import SHINGLE, shingles_of
 from stemmata.runtime import cut
@@ -37,6 +37,8 @@ DRIFT = 16
 SALTS = 32
 #: Bytes whose words are hashed together, about.
 TILE = 1_000_000
+#: Texts, or surroundings of seeds, in an Arrow batch, at most.
+BATCH = 2000
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -577,7 +579,8 @@ def documents_with_passages(docs: DataFrame, id_col: str = "doc_id", text_col: s
     number reach, n_docs the number of documents that they reach. A null or short text shares nothing unless it is copied whole, and counts as an empty one then; rows that repeat id
     and text are one document. An empty table gives an empty result; only id_col and text_col are read.
     """
-    names, passages = near_passages(docs, id_col, text_col)
+    with batches_of(docs.sparkSession, BATCH):
+        names, passages = near_passages(docs, id_col, text_col)
     passages, names = cut(passages, "passages"), cut(names, "names")
     named = passages.join(names.select(F.col("rk").alias("match"), F.col("doc_id").alias("match_id")), "match")
     found = named.groupBy("rk").agg(F.countDistinct("start", F.coalesce("end", F.lit(-1))).alias("n_passages"), F.max(F.col("end") - F.col("start")).alias("longest"), F.min("match_id").alias("match_id"), F.min("start").alias("first_start"), F.max("similarity").alias("similarity"), F.countDistinct("match").alias("n_links"))
