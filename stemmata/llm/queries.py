@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stemmata.llm.byte_bpe import op11_byte_bpe
 from stemmata.llm.compact_windows import op9_compact_windows
 from stemmata.llm.decontaminate import op1_decontaminate, op1_sql
 from stemmata.llm.line_dedup import op6_line_dedup, op6_sql
@@ -34,6 +35,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_compact_windows": op9_compact_windows,
     "op10_simhash": op10_simhash,
+    "op11_byte_bpe": op11_byte_bpe,
     "pipeline": pipeline,
 }
 
