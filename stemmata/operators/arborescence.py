@@ -2,18 +2,21 @@
 
 A virtual root reaches every vertex at a cost above all others, so that the best root is found with the tree, and a forest of fewest
 trees where no tree spans the graph. Each round takes every component's lightest incoming edge and contracts all cycles that these
-form; the rounds are undone from the last to the first. Edges stay as they are: a table of labels says which component a vertex is in,
-and a table of offsets what its incoming edges are charged.
+form. Edges stay as they are: a table of labels says which component a vertex is in, and by what its incoming edges are charged less. What was
+contracted is kept as a forest: a node for every vertex and every cycle, below the cycle that it is part of, with the lightest edge into it.
+Opened from its roots down it gives the tree; an update opens only the nodes above what it touches.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemmata.operators import trees
 from stemmata.runtime import cut
 
 #: The virtual root's label.
@@ -22,8 +25,9 @@ ROOT = -1
 KERNEL_EDGES = 8_000_000
 
 
-def solve(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, root: int) -> np.ndarray:
-    """Indexes of the edges of a minimum arborescence from root over vertices 0..n-1, each of which root reaches; ties by index.
+def contract(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, root: int) -> tuple[list[int], list[int], list[int]]:
+    """(parent, chosen, charge) of vertices 0..n-1, each of which root reaches, and of the contracted vertices behind them: the contracted vertex that each is part of (-1: none),
+    the index of the lightest edge into it and what that is charged; ties by index.
 
     A path grows backwards along lightest incoming edges until it meets what is finished, and contracts whenever it meets itself. A
     contracted vertex keeps the lightest edge from each other one, so that all contractions together cost at most n * n array steps.
@@ -77,12 +81,25 @@ def solve(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, root: int) ->
             done.append(False)
             place.append(len(path))
             path.append(c)
-    for c in range(len(parent) - 1, n - 1, -1):  # the edge into a contracted vertex goes to the member that it ends in
+    return parent, chosen, charge
+
+
+def entered(n: int, dst: np.ndarray, parent: list[int], chosen: list[int]) -> list[int]:
+    """The edge that enters each of the vertices 0..n-1: the edge into a contracted vertex goes to the member that it ends in, the other members keep theirs."""
+    chosen = list(chosen)
+    for c in range(len(parent) - 1, n - 1, -1):
         x = int(dst[chosen[c]])
         while parent[x] != c:
             x = parent[x]
         chosen[x] = chosen[c]
-    return np.array(sorted(chosen[v] for v in range(n) if v != root), np.int64)
+    return chosen[:n]
+
+
+def solve(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, root: int) -> np.ndarray:
+    """Indexes of the edges of a minimum arborescence from root over vertices 0..n-1, each of which root reaches; ties by index."""
+    parent, chosen, _ = contract(n, src, dst, w, root)
+    found = entered(n, np.asarray(dst), parent, chosen)
+    return np.array(sorted(found[v] for v in range(n) if v != root), np.int64)
 
 
 def _first(edges: np.ndarray, costs: np.ndarray) -> int:
@@ -103,71 +120,76 @@ def arborescence_of(edges: list[tuple[int, int, int]], nodes: list[int] | None =
     return [(rows[k][1], rows[k][2], rows[k][0]) for k in solve(len(ids) + 1, src, dst, cost, len(ids)).tolist() if k < len(rows)]
 
 
-@dataclass(frozen=True)
-class Contraction:
-    """What a run leaves for later updates. Of each round: labels (v, c, off) before it, what was contracted (c, src, dst, w, adj, cycle), and
-    the lightest edge into each component (c, adj, w, src, dst, csrc). last: the labels after all rounds; end: the lightest edges there, if they had no cycle.
-    """
-
-    rounds: tuple[tuple[DataFrame, DataFrame, DataFrame], ...] = ()
-    last: DataFrame | None = None
-    end: DataFrame | None = None
+#: A contracted node's fid is a serial number above so many bits of a vertex in it; vertices' ids lie below.
+BITS = 40
+NODE = "fid bigint, parent_fid bigint, src bigint, dst bigint, w bigint, y bigint, is_simple boolean"
+_NODE = ["fid", "parent_fid", "src", "dst", "w", "y", "is_simple"]
 
-    def upto(self, n: int | None) -> Contraction:
-        """What is left of it if round n is the first that a change of edges touches; None: none is."""
-        if n is None or n > len(self.rounds):
-            return self
-        return Contraction(self.rounds[:n], self.rounds[n][0] if n < len(self.rounds) else self.last)
 
-    def with_nodes(self, new: DataFrame, gone: DataFrame) -> Contraction:
-        """The same rounds with new nodes (id), which nothing contracts yet, and without others."""
-        alone = new.select(F.col("id").alias("v"), F.col("id").alias("c"), F.lit(0).cast("bigint").alias("off"))
-        gone = gone.select(F.col("id").alias("v"))
-        labels = lambda df: cut(df.join(gone, "v", "left_anti").select("v", "c", "off").unionByName(alone))
-        return Contraction(tuple((labels(x), named, best) for x, named, best in self.rounds), labels(self.last) if self.last is not None else None, self.end)
-
-    def first_touched(self, removed: DataFrame, added: DataFrame, gone: DataFrame) -> int | None:
-        """The first round that the loss and gain of edges (src, dst, w) change, len(rounds) if only what comes after them, None if nothing.
+@dataclass(frozen=True)
+class Forest:
+    """What a run leaves for later updates. nodes (NODE): every vertex, as its own fid, and every contracted cycle, below the cycle that it is part of. A node has the lightest edge
+    into it, from outside, and y, what that is charged; src is ROOT where only the virtual root's enters. The edges of nodes that a root holds are those of its cycle.
+    serial numbers the contractions. components: what the last inference began with; opened: the nodes that an update took away before it.
+    """
 
-        An edge counts where it is, or would be, the lightest into its component; edges into nodes that are gone (id) only where those are contracted.
-        """
-        stages = [*self.rounds, (self.last, None, self.end)]
-        for n, (labels, named, best) in enumerate(stages):
-            src, dst = labels.toDF("src", "csrc", "_"), labels.toDF("dst", "cdst", "off")
-            between = added.join(src, "src").join(dst, "dst").where("csrc <> cdst")
-            if best is None:  # one task has ended the work: any edge between components may count
-                touched = not between.isEmpty() or not removed.join(src, "src", "left").join(dst, "dst", "left").where("csrc IS NULL OR cdst IS NULL OR csrc <> cdst").isEmpty()
-                return n if touched else None
-            known = best.select(F.col("c").alias("cdst"), F.struct("adj", "w", "src", "dst").alias("least"))
-            lighter = between.withColumn("adj", F.col("w") + F.col("off")).join(known, "cdst", "left").where(F.col("least").isNull() | (F.struct("adj", "w", "src", "dst") < F.col("least")))
-            inner = lighter if named is None else lighter.where("least IS NOT NULL")  # a new node's first edge contracts nothing by itself
-            lost = removed.join(gone.select(F.col("id").alias("dst")), "dst", "left_anti") if named is not None else removed
-            if not inner.isEmpty() or not best.join(lost, ["src", "dst", "w"], "left_semi").isEmpty():
-                return n
-            if named is not None and not named.join(gone.select(F.col("id").alias("c")), "c", "left_semi").isEmpty():
-                return n
-        return None
-
-    def forest(self) -> DataFrame | None:
-        """(fid, parent_fid, src, dst, w, y, is_simple): a node for each vertex that is contracted and each cycle, below the cycle that it is part of.
-
-        A node has the lightest edge into it, and y, what that is charged. A cycle's fid holds the round that made it above 40 bits of its name; a vertex is its own.
+    nodes: DataFrame
+    serial: int = 0
+    components: int = 0
+    opened: int = 0
+
+    @cached_property
+    def jumps(self) -> list[DataFrame]:
+        return trees.lifted(self.nodes)
+
+    def roots(self) -> DataFrame:
+        """(fid, root, below): the root above each node, and the sum of y from the node up to the root, the root's left out. Pointers double: rounds grow with the logarithm of the depth."""
+        far = cut(self.nodes.select("fid", F.coalesce("parent_fid", "fid").alias("root"), F.when(F.col("parent_fid").isNull(), F.lit(0)).otherwise(F.col("y")).cast("bigint").alias("below")))
+        while True:
+            ahead = far.select(F.col("fid").alias("root"), F.col("root").alias("next"), F.col("below").alias("more"))
+            moved = cut(far.join(ahead, "root").select("fid", F.col("next").alias("root"), (F.col("below") + F.col("more")).alias("below"), (F.col("next") != F.col("root")).alias("moved")))
+            far = moved.drop("moved")
+            if moved.where("moved").isEmpty():
+                return far
+
+    def labels(self) -> DataFrame:
+        """(v, c, off): the root above each vertex, and what is added to the weights of its incoming edges there."""
+        simple = self.nodes.where("is_simple").select("fid")
+        return cut(self.roots().join(simple, "fid").select(F.col("fid").alias("v"), F.col("root").alias("c"), (-F.col("below")).alias("off")))
+
+    def touched(self, removed: DataFrame, added: DataFrame) -> DataFrame:
+        """(fid) of nodes whose lightest edge is gone, or no longer the lightest, by the loss and gain of edges (src, dst, w).
+
+        A new edge may enter the nodes above its end that don't hold its source; it counts where its charge is less than the node's.
         """
-        parts = [named.select(F.lit(n).alias("at"), "*") for n, (_, named, _) in enumerate(self.rounds)]
-        if not parts:
-            return None
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        rows = cut(rows)
-        fid = lambda made, c: F.call_function("shiftleft", made.cast("bigint"), F.lit(40)) + c
-        made = rows.select(F.col("cycle").alias("c"), (F.col("at") + 1).alias("made")).distinct()
-        born = rows.join(made, "c").where("made <= at").groupBy("at", "c").agg(F.max("made").alias("made"))
-        inner = rows.join(born, ["at", "c"], "left").withColumn("made", F.coalesce("made", F.lit(0)))
-        nodes = inner.select(fid(F.col("made"), F.col("c")).alias("fid"), fid(F.col("at") + 1, F.col("cycle")).alias("parent_fid"), "src", "dst", "w", F.col("adj").alias("y"), (F.col("made") == 0).alias("is_simple"))
-        tops = made.select(fid(F.col("made"), F.col("c")).alias("fid")).join(nodes.select("fid"), "fid", "left_anti")
-        null = F.lit(None).cast("bigint")
-        return cut(nodes.unionByName(tops.select("fid", null.alias("parent_fid"), null.alias("src"), null.alias("dst"), null.alias("w"), null.alias("y"), F.lit(False).alias("is_simple"))))
+        lost = self.nodes.join(removed.select("src", "dst", "w").distinct(), ["src", "dst", "w"], "left_semi").select("fid")
+        ends = cut(added.where("src <> dst").select(F.monotonically_increasing_id().alias("e"), "src", "dst", "w"))
+        if ends.isEmpty():
+            return lost
+        leaves = ends.select(F.col("src").alias("leaf")).unionByName(ends.select(F.col("dst").alias("leaf"))).distinct()
+        above = cut(trees.ancestors(self.nodes, leaves.withColumnRenamed("leaf", "fid"), self.jumps))
+        inside = ends.join(above.select(F.col("fid").alias("src"), "anc"), "src").select("e", "anc")
+        enters = ends.select("e", "dst", F.col("w").alias("nw")).join(above.select(F.col("fid").alias("dst"), "anc", "below"), "dst").join(inside, ["e", "anc"], "left_anti")
+        lighter = enters.join(self.nodes.select(F.col("fid").alias("anc"), "src", "y"), "anc").where((F.col("nw") - F.col("below") < F.col("y")) | (F.col("src") == ROOT))
+        return lost.unionByName(lighter.select(F.col("anc").alias("fid"))).distinct()
+
+    def open(self, touched: DataFrame, gone: DataFrame, new: DataFrame) -> Forest:
+        """The forest without all nodes above those touched (fid), and above and without those gone (id), and with new ones (id). What they held becomes roots; the touched ones lose their edge."""
+        touched = cut(touched.unionByName(gone.select(F.col("id").alias("fid"))).distinct())
+        above = cut(trees.ancestors(self.nodes, touched, self.jumps).where("dist > 0").select(F.col("anc").alias("fid")).distinct())
+        out = above.unionByName(gone.select(F.col("id").alias("fid"))).distinct()
+        kept = self.nodes.join(out, "fid", "left_anti").join(above.toDF("parent_fid").withColumn("freed", F.lit(True)), "parent_fid", "left")
+        kept = kept.join(touched.withColumn("lost", F.lit(True)), "fid", "left")
+        edge = [F.when(F.col("lost").isNull(), F.col(c)).alias(c) for c in ("src", "dst", "w", "y")]
+        kept = kept.select("fid", F.when(F.col("freed").isNull(), F.col("parent_fid")).alias("parent_fid"), *edge, "is_simple")
+        nodes = cut(kept.unionByName(leaves(new)))
+        return Forest(nodes, self.serial, opened=above.count())
+
+
+def leaves(ids: DataFrame) -> DataFrame:
+    """Nodes of a forest for vertices (id) that nothing contracts and nothing enters yet."""
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("parent_fid", "src", "dst", "w", "y")]
+    return ids.select(F.col("id").cast("bigint").alias("fid"), *none, F.lit(True).alias("is_simple"))
 
 
 def minimum_arborescence(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, keep_edges: bool = True) -> DataFrame:
@@ -180,60 +202,89 @@ def minimum_arborescence(edges: DataFrame, nodes: DataFrame | None = None, kerne
     return infer(edges, nodes, kernel_edges, keep_edges)[0]
 
 
-def infer(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, keep_edges: bool = True, seed: Contraction | None = None) -> tuple[DataFrame, Contraction]:
-    """The tree and what it was contracted by. seed: rounds that hold for this graph already, whose nodes it names all; the work goes on behind them."""
+def infer(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES, keep_edges: bool = True, seed: Forest | None = None) -> tuple[DataFrame, Forest]:
+    """The tree and the forest that it was opened from. seed: a forest that holds for this graph already, and names all its vertices: its roots are the components that the work begins
+    with, and those that have an edge keep it. A round looks at the edges into components that have none yet; the others' lightest edges don't change.
+    """
     long = lambda c: F.col(c).cast("bigint").alias(c)
     real = edges.where("src <> dst").select(long("src"), long("dst"), long("w"))
     real = cut(real) if keep_edges else real
-    rounds = list(seed.rounds) if seed else []
-    if seed and seed.last is not None:
-        labels = seed.last
-    else:
-        vertices = real.select(F.col("src").alias("v")).unionByName(real.select(F.col("dst").alias("v")))
+    if seed is None:
+        vertices = real.select(F.col("src").alias("id")).unionByName(real.select(F.col("dst").alias("id")))
         if nodes is not None:
-            vertices = vertices.unionByName(nodes.select(F.col("id").cast("bigint").alias("v")))
-        labels = cut(vertices.distinct().select("v", F.col("v").alias("c"), F.lit(0).cast("bigint").alias("off")))
+            vertices = vertices.unionByName(nodes.select(long("id")))
+        seed = Forest(cut(leaves(vertices.distinct())))
+        labels = cut(seed.nodes.select(F.col("fid").alias("v"), F.col("fid").alias("c"), F.lit(0).cast("bigint").alias("off")))
+    else:
+        labels = seed.labels()
+    serial, nested = seed.serial, not seed.nodes.where("parent_fid IS NOT NULL").isEmpty()
+    made = [seed.nodes.where("parent_fid IS NOT NULL")]
+    tops = seed.nodes.where("parent_fid IS NULL")
+    components = tops.count()
     weight, n_edges = real.agg(F.sum(F.abs("w")), F.count("*")).first()
     big = 1 + 2 * (weight or 0)
-    end = None
+    # (c, adj, w, src, dst, n): the lightest edge into each component, and how many enter it, as far as known. The virtual root's are chosen anew: its weight grows with the graph's.
+    best = tops.where(f"src IS NOT NULL AND src <> {ROOT}").select(F.col("fid").alias("c"), F.col("y").alias("adj"), "w", "src", "dst", F.lit(None).cast("bigint").alias("n"))
     while True:
-        charged = _between(real, labels, big)
-        # The virtual root's edges come on top, one a vertex; they are reduced to one a component before the last task.
-        if n_edges + labels.count() <= kernel_edges or rounds and charged.limit(kernel_edges + 1).count() <= kernel_edges:
-            solved = _finish(charged)
+        known = 0 if n_edges + components <= kernel_edges else None
+        if known is None and serial > seed.serial:  # edges between components, if each has been counted
+            known, unknown = best.agg(F.sum("n"), F.count(F.when(F.col("n").isNull(), 1))).first()
+            known = None if unknown else known
+        if known is not None and known <= kernel_edges and kernel_edges:
+            serial += 1
+            found = cut(_finish(_between(real, labels, labels, big), serial))
+            made.append(found.select(*_NODE))
+            solved = found.where("t_dst IS NOT NULL").select("fid", *[F.col(f"t_{c}").alias(c) for c in ("src", "dst", "w")])
+            made_above = found.where("parent_fid IS NOT NULL").select("fid")
             break
-        best = cut(charged.groupBy("cdst").agg(F.min(F.struct("adj", "w", "src", "dst", "csrc")).alias("x")).select(F.col("cdst").alias("c"), "x.*"))
-        cyclic = _on_cycles(best)
+        asked = labels.join(best.select("c"), "c", "left_anti")
+        lightest = F.min(F.struct("adj", "w", "src", "dst")).alias("x")
+        fresh = _between(real, labels, asked, big).groupBy("cdst").agg(lightest, F.count("*").alias("n")).select(F.col("cdst").alias("c"), "x.*", "n")
+        best = cut(best.unionByName(fresh))
+        named_by = labels.select(F.col("v").alias("src"), F.col("c").alias("csrc"))
+        chosen = cut(best.join(named_by, "src", "left").withColumn("csrc", F.coalesce("csrc", F.lit(ROOT).cast("bigint"))))
+        cyclic = _on_cycles(chosen)
         if cyclic.isEmpty():
-            solved, end = best.select("c", "src", "dst", "w"), best
+            made.append(best.select(F.col("c").alias("fid"), F.lit(None).cast("bigint").alias("parent_fid"), "src", "dst", "w", F.col("adj").alias("y"), _simple("c")))
+            solved, made_above = best.select(F.col("c").alias("fid"), "src", "dst", "w"), None
             break
-        named = cut(cyclic.join(best, "c").select("c", "src", "dst", "w", "adj", "cycle"))
-        rounds.append((labels, named, best))
+        serial += 1
+        # A cycle is named by the least vertex that its edges end in.
+        names = cyclic.join(best, "c").groupBy("cycle").agg((F.min("dst") + (serial << BITS)).alias("name"))
+        named = cut(cyclic.join(names, "cycle").join(best, "c").select("c", "src", "dst", "w", "adj", F.col("name").alias("cycle")))
+        made.append(named.select(F.col("c").alias("fid"), F.col("cycle").alias("parent_fid"), "src", "dst", "w", F.col("adj").alias("y"), _simple("c")))
         labels = cut(labels.join(named.select("c", "adj", "cycle"), "c", "left").select("v", F.coalesce("cycle", "c").alias("c"), (F.col("off") - F.coalesce("adj", F.lit(0))).alias("off")))
-    state = Contraction(tuple(rounds), labels, end)
-    for members, named, _ in reversed(rounds):
-        # The edge that enters a cycle goes to the member that it ends in; the other members keep the edges of their round.
-        solved = cut(solved)
-        entered = solved.join(members.select(F.col("v").alias("dst"), F.col("c").alias("at")), "dst").select(F.col("at").alias("c"), "src", "dst", "w")
-        kept = named.join(entered.select("c"), "c", "left_anti").select("c", "src", "dst", "w")
-        solved = entered.unionByName(kept)
-    tree = solved.where(F.col("src") != ROOT).select("src", "dst", "w")
-    return cut(tree), state
-
-
-def _between(real: DataFrame, labels: DataFrame, big: int) -> DataFrame:
-    """(src, dst, w, csrc, cdst, adj) of edges between components, and of the virtual root's."""
-    inner = real.join(labels.select(F.col("v").alias("src"), F.col("c").alias("csrc")), "src")
-    inner = inner.join(labels.select(F.col("v").alias("dst"), F.col("c").alias("cdst"), "off"), "dst").where("csrc <> cdst")
+        best = cut(best.join(named.select("c"), "c", "left_anti"))
+        nested = True
+    all_nodes = made[0]
+    for part in made[1:]:
+        all_nodes = all_nodes.unionByName(part)
+    forest = Forest(cut(all_nodes), serial, components, seed.opened)
+    if nested:
+        # The kernel has opened what it contracted itself; what its components hold is opened here.
+        inner = forest.nodes.join(made_above.withColumn("inner", F.lit(True)), "fid", "left").withColumn("parent_fid", F.when(F.col("inner").isNull(), F.col("parent_fid"))).select(*_NODE) if made_above is not None else forest.nodes
+        solved = opened(Forest(inner), solved, kernel_edges)
+    return cut(solved.where(F.col("src") != ROOT).select("src", "dst", "w")), forest
+
+
+def _simple(c: str) -> Column:
+    return (F.col(c) < (1 << BITS)).alias("is_simple")
+
+
+def _between(real: DataFrame, labels: DataFrame, asked: DataFrame, big: int) -> DataFrame:
+    """(src, dst, w, csrc, cdst, adj) of edges into the components of `asked` (rows of labels) from others, and of the virtual root's."""
+    inner = real.join(asked.select(F.col("v").alias("dst"), F.col("c").alias("cdst"), "off"), "dst")
+    inner = inner.join(labels.select(F.col("v").alias("src"), F.col("c").alias("csrc")), "src").where("csrc <> cdst")
     # Of the virtual root's edges only the lightest into each component can count: few rows, however many vertices.
-    least = labels.groupBy("c").agg(F.min(F.struct("off", "v")).alias("x")).select("c", "x.off", "x.v")
+    least = asked.groupBy("c").agg(F.min(F.struct("off", "v")).alias("x")).select("c", "x.off", "x.v")
     virtual = least.select(F.lit(ROOT).cast("bigint").alias("src"), F.col("v").alias("dst"), F.lit(big).cast("bigint").alias("w"), F.lit(ROOT).cast("bigint").alias("csrc"), F.col("c").alias("cdst"), "off")
     columns = ["src", "dst", "w", "csrc", "cdst", (F.col("w") + F.col("off")).alias("adj")]
     return inner.select(*columns).unionByName(virtual.select(*columns))
 
 
-def _finish(charged: DataFrame) -> DataFrame:
-    """The rest of the work in one task: the edges between components, the virtual root's among them, are bounded by KERNEL_EDGES."""
+def _finish(charged: DataFrame, serial: int) -> DataFrame:
+    """The rest of the work in one task: the edges between components, the virtual root's among them, are bounded by KERNEL_EDGES. Gives a NODE for each component and each contraction,
+    and for components also the edge that enters them in the end (t_src, t_dst, t_w)."""
 
     def kernel(rows):
         import pyarrow as pa
@@ -242,10 +293,71 @@ def _finish(charged: DataFrame) -> DataFrame:
         order = np.lexsort((dst, src, w, adj))
         src, dst, w, csrc, cdst, adj = (x[order] for x in (src, dst, w, csrc, cdst, adj))
         names, flat = np.unique(np.r_[csrc, cdst, ROOT], return_inverse=True)
-        chosen = solve(len(names), flat[: len(src)], flat[len(src) : -1], adj, int(flat[-1]))
-        return pa.table([pa.array(cdst[chosen]), pa.array(src[chosen]), pa.array(dst[chosen]), pa.array(w[chosen])], ["c", "src", "dst", "w"])
+        n, root, ends = len(names), int(flat[-1]), flat[len(src) : -1]
+        parent, chosen, charge = contract(n, flat[: len(src)], ends, adj, root)
+        final = entered(n, ends, parent, chosen)
+        fids = np.r_[names, (serial << BITS) + np.arange(len(parent) - n)]
+        keep = np.array([v for v in range(len(parent)) if v != root])
+        up, edge = np.array(parent)[keep], np.array(chosen)[keep]
+        last = np.array([*final, *[-1] * (len(parent) - n)])[keep]
+        some = lambda values, at: pa.array(values[np.maximum(at, 0)], pa.int64(), mask=at < 0)
+        columns = [pa.array(fids[keep]), some(fids, up), pa.array(src[edge]), pa.array(dst[edge]), pa.array(w[edge]), pa.array(np.array(charge, np.int64)[keep]), pa.array((keep < n) & (fids[keep] < 1 << BITS))]
+        return pa.table([*columns, some(src, last), some(dst, last), some(w, last)], [*_NODE, "t_src", "t_dst", "t_w"])
+
+    return charged.groupBy(F.lit(0).alias("all")).applyInArrow(kernel, f"{NODE}, t_src bigint, t_dst bigint, t_w bigint")
 
-    return charged.groupBy(F.lit(0).alias("all")).applyInArrow(kernel, "c bigint, src bigint, dst bigint, w bigint")
+
+def opened(forest: Forest, entries: DataFrame, limit: int) -> DataFrame:
+    """(src, dst, w): the edges that enter vertices, given those (fid, src, dst, w) that enter the roots.
+
+    An edge that enters a node goes down to the vertex that it ends in; the members that this path passes by keep their own edges. A root's nodes are opened by one task if they are at
+    most `limit`; with larger ones, all are opened level by level by joins.
+    """
+    held = cut(forest.nodes.join(forest.roots().select("fid", "root"), "fid"))
+    if held.groupBy("root").count().where(F.col("count") > limit).isEmpty():
+        inside = held.join(entries.select(F.col("fid").alias("root"), *[F.col(c).alias(f"e_{c}") for c in ("src", "dst", "w")]), "root")
+        alone = inside.where("is_simple AND fid = root").select(*[F.col(f"e_{c}").alias(c) for c in ("src", "dst", "w")])
+        more = inside.join(inside.where("NOT is_simple AND fid = root").select("root"), "root", "left_semi")
+        return alone.unionByName(more.groupBy("root").applyInArrow(_opened_root, "src bigint, dst bigint, w bigint"))
+    simple = held.where("is_simple").select("fid")
+    above = trees.ancestors(forest.nodes, simple).join(forest.nodes.select(F.col("fid").alias("anc"), F.col("parent_fid").alias("under")), "anc")
+    path = cut(above.select(F.col("fid").alias("dst"), F.col("anc").alias("on"), "under"))
+    ends = cut(forest.nodes.select("fid", "parent_fid", "src", "dst", "w"))
+    frontier, out = cut(entries.join(held.select("fid", "is_simple"), "fid")), []
+    while True:
+        out.append(frontier.where("is_simple").select("src", "dst", "w"))
+        inner = frontier.where("NOT is_simple").select(F.col("fid").alias("under"), *[F.col(c).alias(f"e_{c}") for c in ("src", "dst", "w")])
+        if inner.isEmpty():
+            break
+        below = inner.join(ends.withColumnRenamed("parent_fid", "under"), "under").join(path.select(F.col("dst").alias("e_dst"), "on", "under"), ["e_dst", "under"])
+        taken = F.col("on") == F.col("fid")
+        frontier = cut(below.select("fid", *[F.when(taken, F.col(f"e_{c}")).otherwise(F.col(c)).alias(c) for c in ("src", "dst", "w")]).join(held.select("fid", "is_simple"), "fid"))
+    found = out[0]
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _opened_root(rows):
+    """The edges into the vertices below one root (rows of a group, with e_src, e_dst and e_w, which enter it)."""
+    import pyarrow as pa
+
+    fid, parent, src, dst, w = (rows.column(c).to_pylist() for c in ("fid", "parent_fid", "src", "dst", "w"))
+    root, up = rows.column("root")[0].as_py(), dict(zip(fid, parent, strict=True))
+    edge = dict(zip(fid, zip(src, dst, w, strict=True), strict=True))
+    below: dict[int, list[int]] = {}
+    for f, p in up.items():
+        below.setdefault(p, []).append(f)
+    todo, out = [(root, tuple(rows.column(f"e_{c}")[0].as_py() for c in ("src", "dst", "w")))], []
+    while todo:
+        top, entry = todo.pop()
+        out.append(entry)
+        at, path = entry[1], {entry[1]}
+        while at != top:
+            at = up[at]
+            path.add(at)
+        todo += [(f, edge[f]) for p in path for f in below.get(p, ()) if f not in path]
+    return pa.table([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["src", "dst", "w"])
 
 
 def _on_cycles(best: DataFrame) -> DataFrame:

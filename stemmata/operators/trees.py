@@ -75,43 +75,86 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         labels = cut(hooked.select("v", "c").join(hooked.select(F.col("v").alias("c"), F.col("c").alias("r")), "c").select("v", F.col("r").alias("c")))
 
 
-def potentials(steps: DataFrame) -> DataFrame:
-    """(v, off): sums of what steps (fid, parent_fid, y, v) charge on the way from a root to v's leaf; weighted union-find as one query."""
-    return reduction_quantities(steps).where("v IS NOT NULL").select("v", F.col("r").alias("off"))
-
-
 # Contraction forests: (fid, parent_fid, src, dst, w, y, is_simple, v)
 
 
-def ancestors(forest: DataFrame) -> DataFrame:
-    """(fid, anc, dist): every node with itself and all above it; one join a level."""
-    up = forest.select("fid", "parent_fid")
-    level = cut(forest.select("fid", F.col("fid").alias("anc"), F.lit(0).alias("dist")))
-    out = level
+def lifted(forest: DataFrame) -> list[DataFrame]:
+    """For k = 0, 1, ...: (fid, to, sum), the 2 ** k-th node above each that has one, and the sum of y (0 if forest has none) from the node up to below that."""
+    y = F.col("y").cast("bigint") if "y" in forest.columns else F.lit(0).cast("bigint")
+    out = [cut(forest.where("parent_fid IS NOT NULL").select("fid", F.col("parent_fid").alias("to"), y.alias("sum")))]
     while True:
-        level = cut(level.join(up.toDF("anc", "above"), "anc").where("above IS NOT NULL").select("fid", F.col("above").alias("anc"), (F.col("dist") + 1).alias("dist")))
-        if level.isEmpty():
+        more = out[-1].select(F.col("fid").alias("to"), F.col("to").alias("next"), F.col("sum").alias("more"))
+        further = cut(out[-1].join(more, "to").select("fid", F.col("next").alias("to"), (F.col("sum") + F.col("more")).alias("sum")))
+        if further.isEmpty():
             return out
-        out = out.unionByName(level)
+        out.append(further)
+
+
+def ancestors(forest: DataFrame, of: DataFrame | None = None, jumps: list[DataFrame] | None = None) -> DataFrame:
+    """(fid, anc, dist, below): every node, or those of `of` (fid), with itself and all above it, the steps between and the sum of y from the node up to below it.
+
+    Jumps of 2 ** k steps, from the longest to the shortest: joins grow with the logarithm of the depth, rows are those of the result. jumps: lifted(forest), where it is known.
+    """
+    start = forest.select("fid") if of is None else of.select("fid").distinct().join(forest.select("fid"), "fid", "left_semi")
+    out = cut(start.select("fid", F.col("fid").alias("anc"), F.lit(0).alias("dist"), F.lit(0).cast("bigint").alias("below")))
+    jumps = jumps or lifted(forest)
+    for k in range(len(jumps) - 1, -1, -1):
+        jump = jumps[k].select(F.col("fid").alias("anc"), F.col("to"), "sum")
+        further = out.join(jump, "anc").select("fid", F.col("to").alias("anc"), (F.col("dist") + (1 << k)).alias("dist"), (F.col("below") + F.col("sum")).alias("below"))
+        out = out.unionByName(further)
+        out = cut(out) if k % 2 == 0 else out  # two steps a table: the plan doubles with each
+    return out
+
+
+def _climbed(at: DataFrame, column: str, steps: str, jumps: list[DataFrame]) -> DataFrame:
+    """at with `column` moved up by as many nodes as its column `steps` says."""
+    for k, jump in enumerate(jumps):
+        hop = jump.select(F.col("fid").alias(column), F.col("to").alias("__to"))
+        at = at.join(hop, column, "left").withColumn(column, F.when(F.col(steps).bitwiseAND(F.lit(1 << k)) != 0, F.col("__to")).otherwise(F.col(column))).drop("__to")
+        at = cut(at)
+    return at
 
 
 def lowest_common_ancestor(forest: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, lca) of pairs (a, b); null for nodes of different trees."""
-    above = cut(ancestors(forest))
-    one, two = above.toDF("a", "anc", "up"), above.toDF("b", "anc", "up2")
-    found = pairs.join(one, "a").join(two, ["b", "anc"]).groupBy("a", "b").agg(F.min_by("anc", "up").alias("lca"))
+    """(a, b, lca) of pairs (a, b); null for nodes of different trees, or that the forest lacks. Both are brought to one depth, then lifted together by halving jumps: no node is listed with all above it."""
+    jumps = lifted(forest)
+    level = cut(_summed(forest.withColumn("y", F.lit(1))).select("fid", (F.col("r") - 1).cast("int").alias("level")))
+    deep = pairs.join(level.toDF("a", "la"), "a").join(level.toDF("b", "lb"), "b")
+    met = deep.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), F.greatest(F.col("la") - F.col("lb"), F.lit(0)).alias("ux"), F.greatest(F.col("lb") - F.col("la"), F.lit(0)).alias("uy"))
+    met = _climbed(_climbed(cut(met.distinct()), "x", "ux", jumps), "y", "uy", jumps)
+    for jump in reversed(jumps):
+        one, two = jump.select(F.col("fid").alias("x"), F.col("to").alias("tx")), jump.select(F.col("fid").alias("y"), F.col("to").alias("ty"))
+        apart = F.col("tx") != F.col("ty")
+        met = met.join(one, "x", "left").join(two, "y", "left")
+        met = cut(met.select("a", "b", F.when(apart, F.col("tx")).otherwise(F.col("x")).alias("x"), F.when(apart, F.col("ty")).otherwise(F.col("y")).alias("y")))
+    up = forest.select("fid", "parent_fid")
+    top = met.join(up.toDF("x", "px"), "x", "left").join(up.toDF("y", "py"), "y", "left")
+    found = top.select("a", "b", F.when(F.col("x") == F.col("y"), F.col("x")).when(F.col("px") == F.col("py"), F.col("px")).alias("lca"))
     return pairs.join(found, ["a", "b"], "left")
 
 
+def _summed(forest: DataFrame) -> DataFrame:
+    """(fid, r): the sum of y from the root down to each node, itself included, by doubling pointers."""
+    far = cut(forest.select("fid", F.col("parent_fid").alias("to"), F.col("y").cast("bigint").alias("r")))
+    while not far.where("to IS NOT NULL").isEmpty():
+        ahead = far.select(F.col("fid").alias("to"), F.col("to").alias("next"), F.col("r").alias("more"))
+        far = cut(far.join(ahead, "to", "left").select("fid", F.col("next").alias("to"), (F.col("r") + F.coalesce("more", F.lit(0))).alias("r")))
+    return far.select("fid", "r")
+
+
 def reduction_quantities(forest: DataFrame) -> DataFrame:
     """forest with r, the sum of y from its root down to each node, itself included."""
-    sums = ancestors(forest).join(forest.select(F.col("fid").alias("anc"), "y"), "anc").groupBy("fid").agg(F.sum("y").alias("r"))
-    return forest.join(sums, "fid")
+    return forest.join(_summed(forest), "fid")
+
+
+def potentials(steps: DataFrame) -> DataFrame:
+    """(v, off): sums of what steps (fid, parent_fid, y, v) charge on the way from a root to v's leaf; weighted union-find as one query."""
+    return reduction_quantities(steps).where("v IS NOT NULL").select("v", F.col("r").alias("off"))
 
 
 def decompose(forest: DataFrame, leaves: DataFrame) -> DataFrame:
-    """forest without every ancestor of leaves (fid), the leaves included only if they aren't simple; their children become roots."""
-    gone = ancestors(forest).join(leaves, "fid").where("dist > 0").select(F.col("anc").alias("fid")).distinct()
+    """forest without every ancestor of leaves (fid), the leaves themselves kept; children of what goes become roots."""
+    gone = cut(ancestors(forest, leaves).where("dist > 0").select(F.col("anc").alias("fid")).distinct())
     left = forest.join(gone, "fid", "left_anti")
     marked = left.join(gone.withColumnRenamed("fid", "parent_fid").withColumn("cut", F.lit(True)), "parent_fid", "left")
     return marked.withColumn("parent_fid", F.when(F.col("cut").isNull(), F.col("parent_fid"))).select(*forest.columns)
@@ -126,14 +169,21 @@ def forest_of_edge(forest: DataFrame, pairs: DataFrame) -> DataFrame:
     return forest.join(pairs, ["src", "dst"], "left_semi")
 
 
+def contracted_sets(forest: DataFrame) -> DataFrame:
+    """(fid, v): the vertices that each contracted node holds; a row each, so that no set has to fit a row."""
+    simple = forest.where("is_simple").select("fid")
+    return ancestors(forest, simple).where("dist > 0").select(F.col("anc").alias("fid"), F.col("fid").alias("v"))
+
+
 def contracted_with(forest: DataFrame, u: int, v: int) -> DataFrame:
-    """Contracted nodes that hold both vertices."""
-    return forest.where(F.array_contains("contracted", u) & F.array_contains("contracted", v))
+    """Contracted nodes that hold both vertices: those above both."""
+    both = ancestors(forest, forest.select("fid").where(F.col("fid").isin(u, v))).where("dist > 0").groupBy("anc").agg(F.countDistinct("fid").alias("n")).withColumnRenamed("anc", "fid")
+    return forest.join(both.where(F.col("n") == len({u, v})).select("fid"), "fid", "left_semi")
 
 
 def candidate_ancestors(forest: DataFrame, leaf: int, w: int) -> DataFrame:
     """Nodes from a leaf up to its root whose edge is heavier than w."""
-    up = ancestors(forest).where(F.col("fid") == leaf).select(F.col("anc").alias("fid"), "dist")
+    up = ancestors(forest, forest.select("fid").where(F.col("fid") == leaf)).select(F.col("anc").alias("fid"), "dist")
     return forest.join(up, "fid").where(F.col("w") > w)
 
 

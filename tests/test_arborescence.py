@@ -99,50 +99,106 @@ def test_forests_and_lone_nodes(spark):
     assert minimum_arborescence(spark.createDataFrame([], "src int, dst int, w int")).count() == 0
 
 
-def test_updates_go_on_from_what_they_leave(spark):
+def checked(forest, edges, nodes, cost, n_roots):
+    """Each node's edge is the lightest into what it holds, cycles are cycles, and what the nodes are charged sums up to the cost of the tree."""
+    rows = {r["fid"]: r for r in forest.nodes.collect()}
+    assert {f for f, r in rows.items() if r["is_simple"]} == set(nodes)
+    held = {v: {v} for v in nodes}
+    order = []
+    for v in nodes:
+        at = rows[v]["parent_fid"]
+        while at is not None:
+            held.setdefault(at, set()).add(v)
+            at = rows[at]["parent_fid"]
+    for f, r in rows.items():
+        off, at = {}, None
+        for v in held[f]:
+            below, at = 0, v
+            while at != f:
+                below += rows[at]["y"]
+                at = rows[at]["parent_fid"]
+            off[v] = below
+        into = [w - off[d] for s, d, w in edges if d in held[f] and s not in held[f]]
+        if r["src"] == -1:
+            assert r["parent_fid"] is None
+        else:
+            assert (r["src"], r["dst"], r["w"]) in edges and r["y"] == r["w"] - off[r["dst"]] == min(into)
+            order.append(r["y"])
+        if r["parent_fid"] is not None:
+            # the source lies in another member of the same cycle
+            assert r["src"] in held[r["parent_fid"]] - held[f]
+    virtual = [r for r in rows.values() if r["src"] == -1]
+    assert len(virtual) == n_roots and sum(order) + sum(r["y"] - r["w"] for r in virtual) == cost
+
+
+@pytest.mark.parametrize("kernel_edges,sizes", [(0, (8,)), (30, (10,)), (1_000_000, (2, 9, 14))])
+def test_forest_is_a_certificate(spark, kernel_edges, sizes):
+    rng = random.Random(13)
+    for n in sizes:
+        edges = list({(s, d): (s, d, rng.randint(0, 25)) for s in range(n) for d in range(n) if s != d and rng.random() < 0.5}.values())
+        tree, forest = infer(spark.createDataFrame(edges, "src int, dst int, w int").coalesce(1), spark.createDataFrame([(v,) for v in range(n)], "id int"), kernel_edges)
+        best = arborescence_of(edges, list(range(n)))
+        found = [tuple(r) for r in tree.collect()]
+        assert valid(found, edges, n) == n - len(best) and sum(e[2] for e in found) == sum(e[2] for e in best)
+        checked(forest, edges, range(n), sum(e[2] for e in best), n - len(best))
+
+
+@pytest.mark.parametrize("kernel_edges", [0, 1_000_000])
+def test_updates_go_on_from_what_they_leave(spark, kernel_edges):
     from stemmata.operators import dynamic
 
     rng = random.Random(5)
     edges = {(s, d): rng.randint(0, 40) for s in range(9) for d in range(9) if s != d and rng.random() < 0.45}
     nodes = set(range(9))
     frame = lambda: spark.createDataFrame([(s, d, w) for (s, d), w in edges.items()], "src bigint, dst bigint, w bigint").coalesce(1)
-    states = [dynamic.start(frame(), spark.createDataFrame([(v,) for v in nodes], "id bigint"), 0)]
-    kept = 0
-    for step in range(4):
-        kind = ("add", "update", "node", "gone")[step]
+    x = dynamic.start(frame(), spark.createDataFrame([(v,) for v in nodes], "id bigint"), kernel_edges)
+    for step, kind in enumerate(("add", "remove", "node", "gone", "heavy") if not kernel_edges else ("add", "update", "remove", "node", "gone", "light", "heavy")):
         held = sorted(edges)
-        if kind == "add":
+        if kind in ("add", "heavy"):
             pair = next((s, d) for s in sorted(nodes) for d in sorted(nodes, reverse=True) if s != d and (s, d) not in edges)
-            edges[pair] = 39 if step else 0
-            states = [dynamic.add_edge(x, *pair, edges[pair]) for x in states]
+            edges[pair] = 0 if kind == "add" else 99
+            x = dynamic.add_edge(x, *pair, edges[pair])
         elif kind == "remove":
-            pair = held[rng.randrange(len(held))]
+            pair = tuple(x.tree.orderBy("src", "dst").first())[:2]
             del edges[pair]
-            states = [dynamic.remove_edge(x, *pair) for x in states]
-        elif kind == "update":
+            x = dynamic.remove_edge(x, *pair)
+        elif kind in ("update", "light"):
             pair = held[rng.randrange(len(held))]
-            edges[pair] = rng.randint(0, 40)
-            states = [dynamic.update_edge(x, *pair, edges[pair]) for x in states]
+            edges[pair] = rng.randint(0, 40) if kind == "update" else -5
+            x = dynamic.update_edge(x, *pair, edges[pair])
         elif kind == "node":
             new = {(20, 3): 38, (2, 20): 7, (20, 5): 1}
             edges |= new
             nodes.add(20)
-            states = [dynamic.add_node(x, 20, spark.createDataFrame([(*k, w) for k, w in new.items()], "src bigint, dst bigint, w bigint")) for x in states]
+            x = dynamic.add_node(x, 20, spark.createDataFrame([(*k, w) for k, w in new.items()], "src bigint, dst bigint, w bigint"))
         else:
             nodes.discard(4)
             edges = {k: w for k, w in edges.items() if 4 not in k}
-            states = [dynamic.remove_node(x, 4) for x in states]
+            x = dynamic.remove_node(x, 4)
         known = [(s, d, w) for (s, d), w in edges.items()]
         best = arborescence_of(known, sorted(nodes))
-        for x in states:
-            tree = [tuple(r) for r in x.tree.collect()]
-            assert valid(tree, known, len(nodes)) == len(nodes) - len(best) and sum(e[2] for e in tree) == sum(e[2] for e in best), (step, kind)
-        # The rounds that are left are those of an inference from scratch.
-        if step < 3:
-            continue
-        whole = dynamic.start(frame(), spark.createDataFrame([(v,) for v in nodes], "id bigint"), 0).seed
-        mine = states[0].seed
-        for (a, p, _), (b, q, _) in zip(mine.rounds, whole.rounds):
-            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and sorted(map(tuple, p.collect())) == sorted(map(tuple, q.collect()))
-        kept += len(mine.rounds)
-    assert kept or not whole.rounds
+        tree = [tuple(r) for r in x.tree.collect()]
+        assert valid(tree, known, len(nodes)) == len(nodes) - len(best) and sum(e[2] for e in tree) == sum(e[2] for e in best), (step, kind)
+        checked(x.seed, known, nodes, sum(e[2] for e in best), len(nodes) - len(best))
+    assert not x.inferred  # the heavy edge
+
+
+@pytest.mark.parametrize("kernel_edges", [0, 1_000_000])
+def test_untouched_parts_stay_contracted(spark, kernel_edges):
+    """Ten dense groups in a chain: a change in one opens that one only."""
+    from stemmata.operators import dynamic
+
+    rng = random.Random(11)
+    edges = [(10 * g + s, 10 * g + d, rng.randint(1, 9)) for g in range(10) for s in range(6) for d in range(6) if s != d]
+    edges += [(10 * g, 10 * g + 10, 500 + g) for g in range(9)] + [(10 * g + 11, 10 * g + 1, 700 + g) for g in range(9)]
+    state = dynamic.start(spark.createDataFrame(edges, "src bigint, dst bigint, w bigint").coalesce(1), None, kernel_edges)
+    whole = state.seed.components
+    assert whole == 60
+    inside = [r for r in state.seed.nodes.where("is_simple AND fid BETWEEN 30 AND 35").collect()]
+    edge = (inside[0]["src"], inside[0]["dst"])
+    after = dynamic.update_edge(state, *edge, 60)
+    changed = [e for e in edges if e[:2] != edge] + [(*edge, 60)]
+    assert sum(r["w"] for r in after.tree.collect()) == sum(e[2] for e in arborescence_of(changed))
+    # what is above the edge is opened: the others' contractions are not made again
+    kept = after.seed.nodes.join(state.seed.nodes.where("NOT is_simple").select("fid"), "fid", "left_semi").count()
+    assert after.inferred and 0 < after.seed.opened and after.seed.components < whole / 2 and kept >= 9
