@@ -24,11 +24,11 @@ POSITIVES, NEGATIVES = 5, 10
 #: Percent of a positive's score that a negative's has at least and at most.
 LOW, HIGH = 30, 90
 #: Rows of a block and of a tree's leaf, anchors of a block.
-BLOCK, LEAF, ANCHORS = 4096, 64, 512
+BLOCK, LEAF, ANCHORS = 8192, 512, 512
 #: Rows that the upper tree, which deals rows to blocks, is fitted on at most, and its leaves. Every row is dealt and indexed, and every block searched: the sample changes no result.
 SAMPLE, LEAVES = 2048, 256
-#: Pairs of blocks, of about a megabyte, in an Arrow batch.
-PAIRS = 8
+#: Pairs of blocks, of about two megabytes, in an Arrow batch.
+PAIRS = 4
 
 
 def augmented(x: np.ndarray, longest: int) -> np.ndarray:
@@ -106,6 +106,9 @@ class Block:
     def __init__(self, held: dict[str, np.ndarray], longest: int):
         order = held["order"]
         self.nr, self.id, self.label, self.x = (held[k][order] for k in ("nr", "id", "label", "x"))
+        # Sums of products stay below the longest norm, so doubles hold them exactly if it does.
+        self.kind = np.float64 if longest < 1 << 53 else np.int64
+        self.x = self.x.astype(self.kind)
         self.nodes, self.radii, self.longest = held["nodes"], held["radii"], longest
         self.via = held["x"][held["nodes"][:, 5]]
         self.kids = [(a, b, c, d) for _, a, b, c, d, _ in held["nodes"].tolist()]
@@ -128,6 +131,7 @@ class Block:
 
         The queue holds nodes by their bound and the next row of each leaf that was met; at equal scores nodes go first, so that a row comes out only when no smaller id can follow.
         """
+        q = q.astype(self.kind)
         queue: list[tuple] = [(-most[0], 0, 0)] if most[0] >= low and least[0] <= high else []
         while queue:
             first = heapq.heappop(queue)
@@ -142,7 +146,7 @@ class Block:
                     if most[k] >= low and least[k] <= high:
                         heapq.heappush(queue, (-most[k], 0, k))
                 continue
-            scores = self.x[start:stop] @ q
+            scores = (self.x[start:stop] @ q).astype(np.int64)
             at = np.flatnonzero((scores >= low) & (scores <= high) & wanted[start:stop])
             if len(at):
                 at = at[np.lexsort((self.nr[start + at], self.id[start + at], -scores[at]))]
@@ -169,7 +173,7 @@ def _rows(group: pa.Table, width: int) -> dict[str, np.ndarray]:
     column = lambda c: group.column(c).combine_chunks()
     return {
         "nr": column("nr").to_numpy(), "id": column("id").fill_null(LAST).to_numpy(), "label": column("label").to_numpy(zero_copy_only=False),
-        "x": matrix(column("x"), width),
+        "x": matrix(column("x"), width).astype(np.int32),
     }
 
 

@@ -167,7 +167,8 @@ def test_tree_finds_the_lowest_of_the_nearest():
     assert (vector_codes.Tree(far).nearest(x)[0] == ((x[:, None] - far[None]) ** 2).sum(2).argmin(1)).all()
 
 
-def test_search_leaves_out_what_lies_outside_the_annulus():
+def test_search_leaves_out_what_lies_outside_the_annulus(monkeypatch):
+    monkeypatch.setattr(hard_negatives, "LEAF", 64)
     r = np.random.default_rng(6)
     centres = r.normal(0, 400, (12, 8))
     x = (centres[r.integers(0, 12, 4000)] + r.normal(0, 8, (4000, 8))).astype(np.int64)
