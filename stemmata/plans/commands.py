@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from stemmata.functions.alleles import padded
 from stemmata.functions.distances import DIRECTIONAL, HAMMING, DistanceFunction
 from stemmata.operators import dynamic, lsh
-from stemmata.operators.arborescence import KERNEL_EDGES, Contraction, minimum_arborescence
+from stemmata.operators.arborescence import KERNEL_EDGES, Forest, minimum_arborescence
 from stemmata.operators.graph import next_id
 from stemmata.operators.neighbour_joining import neighbour_joining
 from stemmata.operators.pairs import all_pairs, incremental_pairs
 from stemmata.operators.trees import validate
-from stemmata.runtime import cut
+from stemmata.runtime import cut, ship
 from stemmata.sources.profiles import read_typing
 from stemmata.sources.store import Store
 from stemmata.streaming.updates import grow
@@ -83,29 +83,27 @@ def _checked(options: Options) -> None:
 
 
 def _before(store: Store, options: Options) -> dynamic.State | None:
-    """The stored graph, tree and rounds, which a change goes on from; None for the other algorithms."""
+    """The stored graph, tree and forest, which a change goes on from; None for the other algorithms. A forest of another state of the graph isn't used."""
     _checked(options)
     if options.algorithm != "dynamic":
         return None
     nodes, edges = store.load_graph()
-    seed = store.load_contraction()
-    if seed is not None:
-        seed = Contraction(tuple(tuple(cut(x) for x in r) for r in seed.rounds), cut(seed.last), cut(seed.end) if seed.end is not None else None)
+    seed = store.seed()
+    seed = Forest(cut(seed.nodes), seed.serial) if seed is not None else None
     return dynamic.State(cut(nodes.select("id")), cut(edges), cut(store.read("phylogeny")), False, seed, options.kernel_edges)
 
 
-def _finish(store: Store, options: Options, new: int, began: float, before: dynamic.State | None = None) -> DataFrame:
-    """Saves and logs the tree; returns its validation. before: what the dynamic algorithm goes on from."""
+def _finish(store: Store, options: Options, new: int, began: float, before: dynamic.State | None = None, removed: DataFrame | None = None, added: DataFrame | None = None) -> DataFrame:
+    """Saves and logs the tree; returns its validation. before: what the dynamic algorithm goes on from; removed and added: the edges that the command took and made, if it knows them."""
+    nodes, edges = store.load_graph()
     if before is not None:
-        nodes, edges = store.load_graph()
-        after = dynamic.settled(before, cut(nodes.select("id")), cut(edges))
+        after = dynamic.settled(before, cut(nodes.select("id")), cut(edges), removed, added)
         tree = after.tree
-        store.save_contraction(after.seed)
+        store.save_forest(after.seed)
     else:
         tree = cut(infer(store, options))
     store.save_phylogeny(tree)
     cost = tree.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    nodes, edges = store.load_graph()
     store.log_run(new, edges.count(), int((time.time() - began) * 1000), cost)
     known = edges if not options.on_demand and not options.k and options.algorithm != "neighborjoining" else None
     if options.algorithm == "neighborjoining":  # joins are nodes too
@@ -114,7 +112,7 @@ def _finish(store: Store, options: Options, new: int, began: float, before: dyna
 
 
 def add(store: Store, profiles: DataFrame, options: Options = Options()) -> DataFrame:
-    """Adds profiles (st, alleles) with ids from the largest on, their edges, and infers the tree. Returns its validation."""
+    """Adds profiles (st, alleles) with ids from the largest on, their edges, and infers the tree. Returns its validation. Graph and tree change together, or not at all."""
     began, before = time.time(), _before(store, options)
     existing = store.load_nodes()
     offset = next_id(existing)
@@ -122,22 +120,33 @@ def add(store: Store, profiles: DataFrame, options: Options = Options()) -> Data
     width = existing.select(F.max(F.size("alleles"))).first()[0]
     new = profiles.withColumn("id", (F.col("id") - low + offset).cast("bigint"))
     new = cut(new.withColumn("alleles", padded(F.col("alleles"), width)) if width else new)
-    if not options.on_demand and not options.k:
-        pairs = all_pairs(new, options.distance) if not offset else incremental_pairs(new, existing, options.distance)
-        store.add_edges(pairs)
-    store.add_nodes(new)
-    if options.k:
-        all_nodes = store.load_nodes()
-        samples = _samples(all_nodes, options)
-        store.save_lsh(samples, lsh.buckets(all_nodes, samples))
-    return _finish(store, options, new.count(), began, before)
+    with store.change():
+        pairs = None
+        if not options.on_demand and not options.k:
+            pairs = cut(all_pairs(new, options.distance) if not offset else incremental_pairs(new, existing, options.distance))
+            store.add_edges(pairs)
+        store.add_nodes(new)
+        if options.k:
+            all_nodes = store.load_nodes()
+            samples = _samples(all_nodes, options)
+            store.save_lsh(samples, lsh.buckets(all_nodes, samples))
+        return _finish(store, options, new.count(), began, before, pairs.limit(0) if pairs is not None else None, pairs)
+
+
+def _at(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges at vertices (id)."""
+    own = ids.select(F.col("id").cast("bigint").alias("id"))
+    out = edges.join(own.toDF("src"), "src", "left_semi").select("src", "dst", "w")
+    return cut(out.unionByName(edges.join(own.toDF("src"), "src", "left_anti").join(own.toDF("dst"), "dst", "left_semi").select("src", "dst", "w")))
 
 
 def remove(store: Store, ids: DataFrame, options: Options = Options()) -> DataFrame:
     """Removes nodes (id) and their edges, then infers the tree."""
     began, before = time.time(), _before(store, options)
-    store.remove_nodes(ids)
-    return _finish(store, options, 0, began, before)
+    with store.change():
+        lost = _at(before.edges, ids) if before is not None else None
+        store.remove_nodes(ids)
+        return _finish(store, options, 0, began, before, lost, lost.limit(0) if lost is not None else None)
 
 
 def update(store: Store, profiles: DataFrame, options: Options = Options()) -> DataFrame:
@@ -145,11 +154,15 @@ def update(store: Store, profiles: DataFrame, options: Options = Options()) -> D
     began, before = time.time(), _before(store, options)
     changed = cut(profiles.select(F.col("id").cast("bigint").alias("id"), "alleles"))
     rest = cut(store.load_nodes().join(changed.select("id"), "id", "left_anti"))
-    store.remove_nodes(changed.select("id"))
-    if not options.on_demand and not options.k:
-        store.add_edges(incremental_pairs(changed, rest, options.distance))
-    store.add_nodes(changed)
-    return _finish(store, options, changed.count(), began, before)
+    with store.change():
+        lost = _at(before.edges, changed) if before is not None else None
+        store.remove_nodes(changed.select("id"))
+        made = None
+        if not options.on_demand and not options.k:
+            made = cut(incremental_pairs(changed, rest, options.distance))
+            store.add_edges(made)
+        store.add_nodes(changed)
+        return _finish(store, options, changed.count(), began, before, lost, made)
 
 
 def test(store: Store, profiles: DataFrame, options: Options = Options()) -> list[dict]:
@@ -186,6 +199,7 @@ def main(arguments: list[str] | None = None) -> int:
     given = parser.parse_args(arguments)
     options = Options(given.algorithm, HAMMING if given.distance == "hamming" else DIRECTIONAL, given.k, given.width, given.tables, given.radius, given.batch, given.on_demand)
     spark = SparkSession.builder.appName("stemmata").getOrCreate()
+    ship(spark)
     store = Store(spark, given.base)
     if given.operation == "remove":
         ids = spark.read.text(given.input).where(F.trim("value").rlike("^[0-9]+$")).select(F.trim("value").cast("bigint").alias("id"))

@@ -1,66 +1,169 @@
-"""Graphs, trees, forests and hash tables as Parquet tables under a base path."""
+"""Graphs, trees, forests and hash tables as Parquet tables under a base path.
+
+A table is a list of parts, each a Parquet folder of its own that is never written again: rows, or (for edges) what goes from the parts before it. A manifest names the parts of
+all tables; a change writes its parts first and then the next manifest, at once. Readers see a generation whole; a writer that fails leaves the last one as it was.
+"""
 
 from __future__ import annotations
 
+import copy
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from stemmata.operators import graph
-from stemmata.operators.arborescence import Contraction
-from stemmata.runtime import cut
+from stemmata.operators.arborescence import Forest
+from stemmata.runtime import cut, delete
 
 #: Columns of each table; nodes may have profiles besides.
 SCHEMAS = {
     "nodes": "id bigint, alleles array<bigint>",
     "edges": "src bigint, dst bigint, w bigint",
     "phylogeny": "src bigint, dst bigint, w bigint",
-    "atree": "fid bigint, src bigint, dst bigint, w bigint, y bigint, parent_fid bigint, is_simple boolean, contracted array<bigint>",
-    "rounds_labels": "round int, v bigint, c bigint, off bigint",
-    "rounds_named": "round int, c bigint, src bigint, dst bigint, w bigint, adj bigint, cycle bigint",
-    "rounds_best": "round int, c bigint, adj bigint, w bigint, src bigint, dst bigint, csrc bigint",
+    "atree": "fid bigint, parent_fid bigint, src bigint, dst bigint, w bigint, y bigint, is_simple boolean",
     "lsh_samples": "tbl int, loci array<int>",
     "lsh_buckets": "id bigint, alleles array<bigint>, tbl int, key array<bigint>",
     "run_metrics": "new_nodes bigint, edges bigint, ms bigint, cost bigint",
     "iteration_metrics": "iteration int, pre_process_ms bigint, inference_ms bigint, cost bigint",
     "memory": "ts bigint, heap bigint, non_heap bigint, total bigint",
 }
+#: What goes from edges: n copies of an edge (all of them if n is null), or the edges into, from or at a vertex (src).
+GONE = "kind string, src bigint, dst bigint, w bigint, n bigint"
 #: Buckets that edges are clustered by; a vertex has no file of its own.
 EDGE_BUCKETS = 64
+#: Parts of deleted edges that a table has before it is written anew.
+LOGS = 16
+#: Generations that stay readable.
+KEPT = 2
 
 
 class Store:
-    """Tables of one graph. Reads prune columns and push filters; changed tables are computed before they replace the old ones."""
+    """Tables of one graph. Reads prune columns and push filters; each change makes a generation, and change() makes one of several."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
+        self._changed: dict | None = None
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def exists(self, name: str) -> bool:
+    # Generations
+
+    def _hadoop(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _numbers(self) -> list[int]:
+        fs, p = self._hadoop("manifests")
+        if not fs.exists(p):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(p)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != ".")
+
+    def _manifest(self, number: int) -> dict:
+        fs, p = self._hadoop(f"manifests/{number:09d}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def manifest(self) -> dict:
+        """generation; tables: the parts (kind, folder) of each; graph: how often nodes or edges changed; inferred: that number for the tree and the forest as stored, each; marks: numbers kept by name."""
+        if self._changed is not None:
+            return self._changed
+        numbers = self._numbers()
+        if numbers:
+            return self._manifest(numbers[-1])
+        return {"generation": 0, "tables": {}, "graph": 0, "inferred": {}, "marks": {}}
+
+    @contextmanager
+    def change(self) -> Iterator[None]:
+        """All changes within become visible together at its end, or not at all if it fails. An error where another writer has made the generation meanwhile."""
+        if self._changed is not None:
+            yield
+            return
+        self._changed = copy.deepcopy(self.manifest())
+        try:
+            yield
+            self._swap()
+        finally:
+            self._changed = None
+
+    def _swap(self) -> None:
+        held = self._changed
+        held["generation"] += 1
+        number = held["generation"]
+        fs, temporary = self._hadoop(f"manifests/.{uuid.uuid4().hex}")
+        stream = fs.create(temporary)
+        stream.write(bytearray(json.dumps(held).encode()))
+        stream.close()
+        _, final = self._hadoop(f"manifests/{number:09d}.json")
+        if fs.exists(final) or not fs.rename(temporary, final):
+            fs.delete(temporary, False)
+            raise RuntimeError(f"generation {number} of {self.base} was made by another writer")
+        numbers = self._numbers()
+        old, kept = numbers[:-KEPT], numbers[-KEPT:]
+        parts = lambda n: {part for table in self._manifest(n)["tables"].values() for _, part in table}
+        with suppress(Exception):  # what stays behind is never read again
+            used = set().union(*[parts(n) for n in kept])
+            for n in old:
+                for part in parts(n) - used:
+                    delete(self.spark, self.path(part))
+                delete(self.spark, self.path(f"manifests/{n:09d}.json"))
+
+    def _write(self, name: str, df: DataFrame, kind: str, anew: bool) -> None:
+        part = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(self.path(part))
+        with self.change():
+            tables = self._changed["tables"]
+            tables[name] = ([] if anew else tables.get(name, [])) + [[kind, part]]
+            if name in ("nodes", "edges"):
+                self._changed["graph"] += 1
+
+    def exists(self, name: str) -> bool:
+        return bool(self.manifest()["tables"].get(name))
 
     def read(self, name: str) -> DataFrame:
-        if not self.exists(name):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        parts = self.manifest()["tables"].get(name) or []
+        out, folders = None, []
+        for kind, part in [*parts, ["end", None]]:
+            if kind == "rows":
+                folders.append(self.path(part))
+                continue
+            if folders:
+                rows = self.spark.read.schema(SCHEMAS[name]).parquet(*folders)
+                out, folders = (rows if out is None else out.unionByName(rows)), []
+            if kind == "gone" and out is not None:
+                out = without(out, self.spark.read.schema(GONE).parquet(self.path(part)))
+        return out if out is not None else self.spark.createDataFrame([], SCHEMAS[name])
 
     def _shaped(self, name: str, df: DataFrame) -> DataFrame:
         kinds = self.spark.createDataFrame([], SCHEMAS[name]).schema
         return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
 
     def overwrite(self, name: str, df: DataFrame) -> None:
-        rows = cut(self._shaped(name, df))  # df may read the table
+        """df in place of the table, which it may read."""
+        rows = self._shaped(name, df)
         if name == "edges":
             rows = rows.repartition(F.pmod(F.xxhash64("dst"), F.lit(EDGE_BUCKETS))).sortWithinPartitions("dst", "w")
-        rows.write.mode("overwrite").parquet(self.path(name))
+        self._write(name, rows, "rows", True)
 
     def append(self, name: str, df: DataFrame) -> None:
-        self._shaped(name, df).write.mode("append").parquet(self.path(name))
+        self._write(name, self._shaped(name, df), "rows", False)
+
+    def _delete(self, gone: DataFrame) -> None:
+        """Notes what goes from edges; after LOGS notes the table is written anew."""
+        kinds = self.spark.createDataFrame([], GONE).schema
+        with self.change():
+            self._write("edges", gone.select(*[(F.col(f.name) if f.name in gone.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]).coalesce(1), "gone", False)
+            if sum(kind == "gone" for kind, _ in self._changed["tables"]["edges"]) > LOGS:
+                self.overwrite("edges", self.read("edges"))
 
     # Nodes
 
@@ -83,17 +186,20 @@ class Store:
 
     def node_index(self) -> DataFrame:
         """(id, file, row): where each node lies."""
-        return self.spark.read.parquet(self.path("nodes")).select("id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        folders = [self.path(part) for _, part in self.manifest()["tables"]["nodes"]]
+        return self.spark.read.parquet(*folders).select("id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
     def remove_node(self, node: int) -> None:
         self.remove_nodes(self.spark.createDataFrame([(node,)], "id bigint"), strict=True)
 
     def remove_nodes(self, ids: DataFrame, strict: bool = False) -> None:
         """Removes nodes and all edges at them."""
-        nodes, edges = graph.remove_nodes(self.read("nodes"), self.read("edges"), ids, strict)
-        nodes, edges = cut(nodes), cut(edges)
-        self.overwrite("nodes", nodes)
-        self.overwrite("edges", edges)
+        ids = cut(ids.select(F.col("id").cast("bigint").alias("id")).distinct())
+        nodes, _ = graph.remove_nodes(self.read("nodes"), self.read("edges"), ids, strict)
+        with self.change():
+            self.overwrite("nodes", nodes)
+            if self.exists("edges"):
+                self._delete(ids.select(F.lit("at").alias("kind"), F.col("id").alias("src")))
 
     # Edges
 
@@ -125,19 +231,27 @@ class Store:
         self.read("edges").foreachPartition(consumer)
 
     def remove_edge(self, src: int, dst: int) -> None:
-        self.overwrite("edges", graph.remove_edges(self.read("edges"), self.spark.createDataFrame([(src, dst)], "src bigint, dst bigint")))
+        """Removes the lightest edge between the two, one copy of it; a note of one row. Nothing where there is none."""
+        w = self.read("edges").where((F.col("src") == src) & (F.col("dst") == dst)).agg(F.min("w")).first()[0]
+        if w is not None:
+            self._delete(self.spark.createDataFrame([("edge", src, dst, w, 1)], GONE))
+
+    def remove_edges(self, edges: DataFrame) -> None:
+        """Removes as many copies of each edge (src, dst, w) as the rows say."""
+        self._delete(edges.groupBy("src", "dst", "w").agg(F.count("*").alias("n")).withColumn("kind", F.lit("edge")))
 
     def remove_incoming(self, ids: DataFrame) -> None:
-        self.overwrite("edges", graph.remove_incoming(self.read("edges"), ids))
+        self._delete(ids.select(F.lit("into").alias("kind"), F.col("id").alias("src")).distinct())
 
     def remove_outgoing(self, ids: DataFrame) -> None:
-        self.overwrite("edges", graph.remove_outgoing(self.read("edges"), ids))
+        self._delete(ids.select(F.lit("from").alias("kind"), F.col("id").alias("src")).distinct())
 
     # Graphs and results
 
     def save_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
-        self.save_nodes(nodes)
-        self.save_edges(edges)
+        with self.change():
+            self.save_nodes(nodes)
+            self.save_edges(edges)
 
     def load_graph(self) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges); ends of edges that no node row names are nodes too."""
@@ -146,46 +260,43 @@ class Store:
         return nodes.unionByName(ends.join(nodes, "id", "left_anti"), allowMissingColumns=True), edges
 
     def add_node_with_edges(self, nodes: DataFrame, edges: DataFrame) -> None:
-        self.add_nodes(nodes)
-        self.add_edges(edges)
+        with self.change():
+            self.add_nodes(nodes)
+            self.add_edges(edges)
 
     def save_phylogeny(self, tree: DataFrame) -> None:
-        self.overwrite("phylogeny", tree)
-
-    def save_forest(self, forest: DataFrame) -> None:
-        self.overwrite("atree", forest)
+        """Keeps a tree of the graph as it is stored now."""
+        with self.change():
+            self.overwrite("phylogeny", tree)
+            self._changed["inferred"]["phylogeny"] = self._changed["graph"]
+
+    def save_forest(self, forest: Forest) -> None:
+        """Keeps what the tree was opened from, for updates of a later session. Of the graph as it is stored now."""
+        with self.change():
+            self.overwrite("atree", forest.nodes)
+            self._changed["inferred"]["atree"] = self._changed["graph"]
+            self._changed["marks"]["serial"] = forest.serial
 
     def load_forest(self) -> DataFrame:
         return self.read("atree")
 
-    def save_contraction(self, seed: Contraction) -> None:
-        """Keeps an inference's rounds, and its forest, for updates of a later session."""
-        labels, named, best = ([(n, r[k]) for n, r in enumerate(seed.rounds)] for k in range(3))
-        n = len(seed.rounds)
-        labels += [(n, seed.last)] if seed.last is not None else []
-        best += [(n, seed.end)] if seed.end is not None else []
-        for name, parts in (("rounds_labels", labels), ("rounds_named", named), ("rounds_best", best)):
-            out = self.spark.createDataFrame([], SCHEMAS[name])
-            for k, df in parts:
-                out = out.unionByName(self._shaped(name, df.withColumn("round", F.lit(k))))
-            self.overwrite(name, out)
-        forest = seed.forest()
-        self.save_forest(forest if forest is not None else self.spark.createDataFrame([], SCHEMAS["atree"]))
-
-    def load_contraction(self) -> Contraction | None:
-        """The rounds as saved; None where none are."""
-        labels, named, best = (self.read(n) for n in ("rounds_labels", "rounds_named", "rounds_best"))
-        n = labels.agg(F.max("round")).first()[0]
-        if n is None:
-            return None
-        part = lambda df, k: df.where(F.col("round") == k).drop("round")
-        rounds = tuple((part(labels, k), part(named, k), part(best, k)) for k in range(n))
-        end = part(best, n)
-        return Contraction(rounds, part(labels, n), None if end.isEmpty() else end)
+    def seed(self) -> Forest | None:
+        """The stored forest; None if the graph, or the tree, is of another state than it."""
+        held = self.manifest()
+        stamps = {held["graph"], held["inferred"].get("atree"), held["inferred"].get("phylogeny")}
+        return Forest(self.load_forest(), held["marks"]["serial"]) if len(stamps) == 1 and self.exists("atree") else None
+
+    def mark(self, name: str) -> int | None:
+        return self.manifest()["marks"].get(name)
+
+    def set_mark(self, name: str, number: int) -> None:
+        with self.change():
+            self._changed["marks"][name] = number
 
     def save_lsh(self, samples: list[list[int]], buckets: DataFrame) -> None:
-        self.overwrite("lsh_samples", self.spark.createDataFrame(list(enumerate(samples)), SCHEMAS["lsh_samples"]))
-        self.overwrite("lsh_buckets", buckets)
+        with self.change():
+            self.overwrite("lsh_samples", self.spark.createDataFrame(list(enumerate(samples)), SCHEMAS["lsh_samples"]))
+            self.overwrite("lsh_buckets", buckets)
 
     def load_lsh(self) -> tuple[list[list[int]], DataFrame]:
         return [list(r["loci"]) for r in self.read("lsh_samples").orderBy("tbl").collect()], self.read("lsh_buckets")
@@ -206,3 +317,15 @@ class Store:
 
     def write_json(self, df: DataFrame, name: str) -> None:
         df.coalesce(1).write.mode("overwrite").json(self.path(name))
+
+
+def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges without what `gone` (GONE) names. Only edges of named pairs are numbered, to take single copies away."""
+    of = lambda *kinds: gone.where(F.col("kind").isin(*kinds)).select("src")
+    left = edges.join(of("from", "at"), "src", "left_anti").join(of("into", "at").withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst", "w")
+    named = gone.where("kind = 'edge'").groupBy("src", "dst", "w").agg(F.sum("n").alias("n"), F.count(F.when(F.col("n").isNull(), 1)).alias("whole"))
+    keys = ["src", "dst", "w"]
+    others = left.join(named, keys, "left_anti")
+    copies = left.join(named, keys).groupBy(*keys).agg(F.count("*").alias("held"), F.first("n").alias("n"), F.first("whole").alias("whole"))
+    stay = copies.where("whole = 0 AND held > n").select(*keys, F.explode(F.sequence(F.lit(1), (F.col("held") - F.col("n")).cast("int"))).alias("copy")).drop("copy")
+    return others.unionByName(stay)

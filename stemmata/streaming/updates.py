@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stemmata.operators import dynamic
 from stemmata.operators.arborescence import minimum_arborescence
 from stemmata.operators.pairs import incremental_pairs
+from stemmata.runtime import cut
 from stemmata.sources.store import Store
 
 
@@ -21,23 +22,22 @@ def read_updates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def maintain(updates: DataFrame, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Applies each batch of updates to the store's graph and tree. A batch that runs again after a failure is applied once: it leaves its
-    number with the tables, and numbers that are there already are passed over."""
+    """Applies each batch of updates to the store's graph, tree and forest, in one generation that also holds the batch's number: a batch that runs again after a failure is passed over.
+    The next batch goes on from the forest.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        own = Store(spark, store.base)
-        done = f"{own.base}/batches/{number}"
-        p = spark._jvm.org.apache.hadoop.fs.Path(done)
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(p):
+        own = Store(batch.sparkSession, store.base)
+        if own.mark("batch") is not None and own.mark("batch") >= number:
             return
         nodes, edges = own.load_graph()
-        state = dynamic.State(nodes.select("id"), edges, own.read("phylogeny"))
+        state = dynamic.State(cut(nodes.select("id")), cut(edges), cut(own.read("phylogeny")), False, own.seed())
         after = dynamic.apply_updates(state, batch)
-        own.save_graph(after.nodes.join(nodes.select("id", "alleles"), "id", "left"), after.edges)
-        own.save_phylogeny(after.tree)
-        fs.mkdirs(p)
+        with own.change():
+            own.save_graph(after.nodes.join(nodes.select("id", "alleles"), "id", "left"), after.edges)
+            own.save_phylogeny(after.tree)
+            own.save_forest(after.seed)
+            own.set_mark("batch", number)
 
     writer = updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -62,14 +62,19 @@ def test_growing_in_batches(spark, tmp_path):
 
 def test_stream_of_updates(spark, tmp_path):
     store = Store(spark, str(tmp_path / "g"))
-    edges = spark.createDataFrame([(0, 1, 6), (1, 2, 10), (1, 3, 12), (2, 1, 10), (3, 0, 1), (3, 2, 8)], "src bigint, dst bigint, w bigint")
-    state = dynamic.start(edges)
-    store.save_graph(state.nodes, state.edges)
-    store.save_phylogeny(state.tree)
+    rows = [(0, 1, 6), (1, 2, 10), (1, 3, 12), (2, 1, 10), (3, 0, 1), (3, 2, 8)]
+    state = dynamic.start(spark.createDataFrame(rows, "src bigint, dst bigint, w bigint"))
+    with store.change():
+        store.save_graph(state.nodes, state.edges)
+        store.save_phylogeny(state.tree)
+        store.save_forest(state.seed)
     log, mark = str(tmp_path / "log"), str(tmp_path / "mark")
     spark.createDataFrame([(1, "add", 0, 2, 2), (2, "update", 3, 0, 10)], dynamic.LOG).write.parquet(log)
     maintain(read_updates(spark, log), store, mark).awaitTermination(120)
     assert store.read("phylogeny").agg({"w": "sum"}).first()[0] == sum(e[2] for e in arborescence_of([(0, 1, 6), (1, 2, 10), (1, 3, 12), (2, 1, 10), (3, 0, 10), (3, 2, 8), (0, 2, 2)]))
+    number = store.manifest()["generation"]
+    maintain(read_updates(spark, log), store, str(tmp_path / "mark2")).awaitTermination(120)  # the batch comes again
+    assert store.manifest()["generation"] == number and store.seed() is not None
 
 
 def test_command_line(spark, tmp_path):
@@ -81,15 +86,77 @@ def test_command_line(spark, tmp_path):
     assert Store(spark, str(tmp_path / "base")).count_nodes() == 4
 
 
-def test_dynamic_goes_on_from_the_stored_rounds(spark, tmp_path):
-    rows = table(8, 3)
+def test_static_and_dynamic_commands_mixed(spark, tmp_path):
+    """A forest that a static command has left behind isn't gone on from; one that holds is."""
+    rows = table(13, 3)
     store = Store(spark, str(tmp_path / "g"))
-    options = Options(algorithm="dynamic", kernel_edges=0)
-    assert commands.add(store, frame(spark, rows[:8]), options).first()["valid"]
-    seed, forest = store.load_contraction(), {r["fid"]: r for r in store.load_forest().collect()}
-    assert {r["parent_fid"] for r in forest.values()} - {None} <= set(forest) and len(seed.rounds) == 0 or any(r["is_simple"] for r in forest.values())
-    assert commands.remove(store, spark.createDataFrame([(2,)], "id bigint"), options).first()["valid"]
-    assert store.read("phylogeny").agg({"w": "sum"}).first()[0] == brute(rows[:2] + rows[3:8], DIRECTIONAL)
+    dynamic_ = Options(algorithm="dynamic", kernel_edges=0)
+    assert commands.add(store, frame(spark, rows[:6]), dynamic_).first()["valid"]
+    assert store.seed() is not None
+    assert commands.add(store, frame(spark, rows[6:9])).first()["valid"]
+    assert store.seed() is None
+    assert commands.add(store, frame(spark, rows[9:10]), dynamic_).first()["valid"]
+    assert store.read("phylogeny").agg({"w": "sum"}).first()[0] == brute(rows[:10], DIRECTIONAL)
+    assert {r["fid"] for r in store.seed().nodes.where("is_simple").collect()} == set(range(10))
+    assert commands.remove(store, spark.createDataFrame([(2,)], "id bigint"), Options(algorithm="dynamic")).first()["valid"]
+    rows = rows[:2] + rows[3:10] + rows[10:]
+    assert store.read("phylogeny").agg({"w": "sum"}).first()[0] == brute(rows[:9], DIRECTIONAL)
+
+
+def test_a_change_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    rows = table(8, 5)
+    store = Store(spark, str(tmp_path / "g"))
+    commands.add(store, frame(spark, rows[:5]))
+    before = [sorted(map(tuple, store.read(t).collect())) for t in ("edges", "phylogeny")]
+
+    def fails(*_):
+        raise OSError("no space")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "save_phylogeny", fails)
+        try:
+            commands.add(store, frame(spark, rows[5:]))
+            raise AssertionError
+        except OSError:
+            pass
+    again = Store(spark, store.base)
+    assert [sorted(map(tuple, again.read(t).collect())) for t in ("edges", "phylogeny")] == before and again.count_nodes() == 5
+    other = Store(spark, store.base)
+    with again.change():
+        again.set_mark("x", 1)
+        with other.change():
+            other.set_mark("x", 2)
+        try:
+            again._swap()
+            raise AssertionError
+        except RuntimeError:
+            again._changed = again._manifest(again._numbers()[-1])
+    assert other.mark("x") == 2
+
+
+def test_removed_edges_are_noted(spark, tmp_path, monkeypatch):
+    from stemmata.sources import store as module
+
+    store = Store(spark, str(tmp_path / "g"))
+    edges = [(0, 1, 5), (0, 1, 5), (0, 1, 2), (1, 2, 3), (2, 0, 4), (3, 2, 1), (2, 3, 9)]
+    store.save_graph(spark.createDataFrame([(i, [i]) for i in range(4)], "id bigint, alleles array<bigint>"), spark.createDataFrame(edges, "src bigint, dst bigint, w bigint"))
+    kept = lambda: sorted(map(tuple, store.read("edges").collect()))
+    store.remove_edge(0, 1)
+    store.remove_edge(0, 1)
+    store.remove_edge(0, 7)
+    assert kept() == sorted([(0, 1, 5), *edges[3:]])
+    assert [kind for kind, _ in store.manifest()["tables"]["edges"]] == ["rows", "gone", "gone"]
+    store.add_edges(spark.createDataFrame([(0, 1, 5)], "src bigint, dst bigint, w bigint"))
+    assert kept() == sorted([(0, 1, 5), (0, 1, 5), *edges[3:]])  # a note takes from what was there before
+    store.remove_incoming(spark.createDataFrame([(2,)], "id bigint"))
+    store.remove_outgoing(spark.createDataFrame([(2,)], "id bigint"))
+    assert kept() == [(0, 1, 5), (0, 1, 5)]
+    monkeypatch.setattr(module, "LOGS", 2)
+    store.remove_edges(spark.createDataFrame([(0, 1, 5)], "src bigint, dst bigint, w bigint"))
+    assert kept() == [(0, 1, 5)] and [kind for kind, _ in store.manifest()["tables"]["edges"]] == ["rows"]
+    store.remove_node(1)
+    assert kept() == [] and store.count_nodes() == 3
+    assert len(store._numbers()) == module.KEPT
 
 
 def test_neighbour_joining_as_a_command(spark, tmp_path):
