@@ -120,6 +120,8 @@ def arborescence_of(edges: list[tuple[int, int, int]], nodes: list[int] | None =
     return [(rows[k][1], rows[k][2], rows[k][0]) for k in solve(len(ids) + 1, src, dst, cost, len(ids)).tolist() if k < len(rows)]
 
 
+#: So many components at most (of 24 bytes) have their cycles found by one task, and so many nodes below one root are opened by one; beyond, by rounds of joins.
+KERNEL_NODES = 1_000_000
 #: A contracted node's fid is a serial number above so many bits of a vertex in it; vertices' ids lie below.
 BITS = 40
 NODE = "fid bigint, parent_fid bigint, src bigint, dst bigint, w bigint, y bigint, is_simple boolean"
@@ -263,7 +265,7 @@ def infer(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int =
     if nested:
         # The kernel has opened what it contracted itself; what its components hold is opened here.
         inner = forest.nodes.join(made_above.withColumn("inner", F.lit(True)), "fid", "left").withColumn("parent_fid", F.when(F.col("inner").isNull(), F.col("parent_fid"))).select(*_NODE) if made_above is not None else forest.nodes
-        solved = opened(Forest(inner), solved, kernel_edges)
+        solved = opened(Forest(inner), solved, KERNEL_NODES)
     return cut(solved.where(F.col("src") != ROOT).select("src", "dst", "w")), forest
 
 
@@ -363,8 +365,10 @@ def _opened_root(rows):
 def _on_cycles(best: DataFrame) -> DataFrame:
     """(c, cycle) of components on cycles of their lightest edges, a cycle being named by the least component on it.
 
-    Pointers are doubled until every one leads into a cycle or to the root; where they lead to are the cycles, all round.
+    Few components are walked through by one task. Of many, pointers are doubled until every one leads into a cycle or to the root; where they lead to are the cycles, all round.
     """
+    if best.count() <= KERNEL_NODES:
+        return cut(best.select("c", "csrc").groupBy(F.lit(0).alias("all")).applyInArrow(_walked, "c bigint, cycle bigint"))
     step = best.select("c", F.col("csrc").alias("to"))
     root = step.limit(1).select(F.lit(ROOT).cast("bigint").alias("c"), F.lit(ROOT).cast("bigint").alias("to"))
     far = cut(step.unionByName(root))
@@ -380,3 +384,23 @@ def _on_cycles(best: DataFrame) -> DataFrame:
         low = cut(low.join(ahead, "to").select("c", F.col("next").alias("to"), F.least("least", "further").alias("least")))
         hops *= 2
     return low.select("c", F.col("least").alias("cycle"))
+
+
+def _walked(rows):
+    """(c, cycle) of the components on cycles, of rows (c, csrc)."""
+    import pyarrow as pa
+
+    step = dict(zip(rows.column("c").to_pylist(), rows.column("csrc").to_pylist(), strict=True))
+    walk: dict[int, int] = {}
+    out = []
+    for start in step:
+        at, path = start, []
+        while at in step and at not in walk:
+            walk[at] = start
+            path.append(at)
+            at = step[at]
+        if walk.get(at) == start and at in step:
+            ring = path[path.index(at) :]
+            least = min(ring)
+            out += [(c, least) for c in ring]
+    return pa.table([pa.array([c for c, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64())], ["c", "cycle"])

@@ -429,6 +429,68 @@ def _(spark, sf):
     return arborescence.minimum_arborescence(edges(spark, sf).select("src", "dst", "w"))
 
 
+def _optimum(rows: str, doublings: int = 11) -> str:
+    """SQL of (cost, n_edges) of the minimum arborescence, or forest of fewest trees, of the graph that `rows` selects (src, dst, w).
+
+    By duality: in each round every component's lightest incoming edge, and components on cycles of these become one, whose incoming edges cost less by what the members were charged.
+    The charges sum up to the cost; no tree is built. Cycles are found by doubling pointers, so paths of edges may have 2 ** doublings steps.
+    """
+    round_ = [
+        "now AS MATERIALIZED (SELECT * FROM walk WHERE NOT done)",
+        "best AS MATERIALIZED (SELECT c, min(x) AS x FROM (SELECT b.c, {'adj': e.w + b.off, 's': e.src, 'd': e.dst, 'cs': a.c} AS x FROM links e JOIN now a ON a.v = e.src JOIN now b ON b.v = e.dst WHERE a.c <> b.c "
+        "UNION ALL SELECT c, {'adj': big + off, 's': -1, 'd': v, 'cs': -1} FROM now, big) GROUP BY c)",
+        "j0 AS MATERIALIZED (SELECT c, x.cs AS t FROM best)",
+        *[f"j{k + 1} AS MATERIALIZED (SELECT a.c, coalesce(b.t, -1) AS t FROM j{k} a LEFT JOIN j{k} b ON b.c = a.t)" for k in range(doublings)],
+        f"m0 AS MATERIALIZED (SELECT c, t, least(c, t) AS l FROM j0 WHERE c IN (SELECT t FROM j{doublings}))",
+        *[f"m{k + 1} AS MATERIALIZED (SELECT a.c, b.t, least(a.l, b.l) AS l FROM m{k} a JOIN m{k} b ON b.c = a.t)" for k in range(doublings)],
+        f"gain AS MATERIALIZED (SELECT count(*) FILTER (c IN (SELECT c FROM m{doublings})) AS n, coalesce(sum(x.adj) FILTER (c IN (SELECT c FROM m{doublings})), 0) AS inner_, sum(x.adj) AS whole, count(*) FILTER (x.cs = -1) AS roots FROM best)",
+    ]
+    step = f"SELECT now.v, coalesce(m.l, now.c), CASE WHEN n = 0 THEN roots WHEN m.c IS NULL THEN now.off ELSE now.off - b.x.adj END, CASE WHEN n = 0 THEN paid + whole - roots * big ELSE paid + inner_ END, n = 0 FROM now LEFT JOIN m{doublings} m ON m.c = now.c LEFT JOIN best b ON b.c = now.c, gain, big"
+    kinds = "CAST(v AS BIGINT) AS v, CAST(v AS BIGINT) AS c, CAST(0 AS HUGEINT) AS off, CAST(0 AS HUGEINT) AS paid, false AS done"
+    return (
+        f"+given AS ({rows}), links AS MATERIALIZED (SELECT src, dst, min(w) AS w FROM given WHERE src <> dst GROUP BY src, dst), big AS MATERIALIZED (SELECT 1 + 2 * sum(abs(w)) AS big FROM links), "
+        f"walk(v, c, off, paid, done) AS (SELECT {kinds} FROM (SELECT src AS v FROM links UNION SELECT dst FROM links) UNION ALL (WITH {', '.join(round_)} {step})) "
+        "SELECT CAST(max(paid) AS BIGINT) AS cost, CAST(count(*) - max(off) AS BIGINT) AS n_edges FROM walk WHERE done"
+    )
+
+
+def _paid(tree: DataFrame) -> DataFrame:
+    return tree.agg(F.sum("w").alias("cost"), F.count("*").alias("n_edges"))
+
+
+_LINES = "SELECT src, dst, w FROM edges"
+
+
+@query("mwa_forest_cost", _optimum(_LINES), "edges")
+def _(spark, sf):
+    return _paid(arborescence.minimum_arborescence(edges(spark, sf).select("src", "dst", "w")))
+
+
+_LOOPS = "SELECT src, dst, w FROM dag UNION ALL SELECT l_partkey + 1000000, l_suppkey, 60 + l_linenumber FROM lineitem WHERE l_suppkey % 10 = 3"
+
+
+def _loops(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers to parts, and back to every tenth supplier: a graph whose cycles nest a few times."""
+    back = _read(spark, sf, "lineitem").where("l_suppkey % 10 = 3").select((F.col("l_partkey") + 1_000_000).alias("src"), F.col("l_suppkey").alias("dst"), (60 + F.col("l_linenumber")).cast("bigint").alias("w"))
+    return dag(spark, sf).unionByName(back)
+
+
+@query("mwa_rounds_cost", _optimum(_LOOPS), "dag")
+def _(spark, sf):
+    """Without the task that ends the work: rounds of joins alone."""
+    return _paid(arborescence.minimum_arborescence(_loops(spark, sf), kernel_edges=0))
+
+
+@query("mwa_directed_cost", _optimum("SELECT src, dst, w FROM directed"), "directed")
+def _(spark, sf):
+    return _paid(arborescence.minimum_arborescence(pairs.all_pairs(profiles(spark, sf), DIRECTIONAL)))
+
+
+@query("mwa_on_demand_cost", _optimum("SELECT src, dst, w FROM pairs"), "pairs")
+def _(spark, sf):
+    return _paid(arborescence.minimum_arborescence(pairs.all_pairs(profiles(spark, sf)), keep_edges=False))
+
+
 # Trees
 
 
@@ -456,7 +518,7 @@ _ANC = "+above AS (SELECT fid, fid AS anc, 0 AS dist FROM forest UNION ALL SELEC
 
 @query("forest_ancestors", _ANC + "SELECT fid, anc, dist FROM above", "forest")
 def _(spark, sf):
-    return trees.ancestors(forest(spark, sf))
+    return trees.ancestors(forest(spark, sf)).select("fid", "anc", "dist")
 
 
 @query("forest_lca", _ANC + "SELECT p.fid AS a, q.fid AS b, (SELECT arg_min(x.anc, x.dist) FROM above x JOIN above y ON x.anc = y.anc WHERE x.fid = p.fid AND y.fid = q.fid) AS lca FROM forest p, forest q WHERE p.fid < q.fid", "forest")
@@ -476,6 +538,38 @@ def _(spark, sf):
     return trees.candidate_ancestors(forest(spark, sf).withColumn("w", F.col("y")), 23, 1).select("fid", "dist", "y")
 
 
+_LEAF = "fid NOT IN (SELECT parent_fid FROM forest WHERE parent_fid IS NOT NULL)"
+
+
+def _leafed(spark: SparkSession, sf: str) -> DataFrame:
+    """The forest with its leaves as the simple nodes."""
+    held = forest(spark, sf)
+    above = held.where("parent_fid IS NOT NULL").select(F.col("parent_fid").alias("fid"), F.lit(False).alias("leaf")).distinct()
+    return held.join(above, "fid", "left").withColumn("is_simple", F.coalesce("leaf", F.lit(True))).drop("leaf")
+
+
+@query("contracted_sets", _ANC + f"SELECT anc AS fid, fid AS v FROM above WHERE dist > 0 AND {_LEAF}", "forest")
+def _(spark, sf):
+    return trees.contracted_sets(_leafed(spark, sf))
+
+
+@query("contracted_with", _ANC + "SELECT anc AS fid FROM above WHERE dist > 0 AND fid IN (20, 23) GROUP BY anc HAVING count(DISTINCT fid) = 2", "forest")
+def _(spark, sf):
+    return trees.contracted_with(forest(spark, sf), 20, 23).select("fid")
+
+
+@query("potentials", _ANC + f"SELECT a.fid AS v, CAST(sum(f.y) AS BIGINT) AS off FROM above a JOIN forest f ON f.fid = a.anc WHERE a.{_LEAF} GROUP BY a.fid", "forest")
+def _(spark, sf):
+    return trees.potentials(_leafed(spark, sf).withColumn("v", F.when(F.col("is_simple"), F.col("fid"))))
+
+
+@query("forest_of_edge", "SELECT fid FROM forest WHERE fid % 4 = 1 AND y > 2", "forest")
+def _(spark, sf):
+    held = forest(spark, sf).select("fid", "parent_fid", (F.col("fid") % 4).alias("src"), F.col("y").alias("dst"))
+    wanted = spark.range(3, 7).select(F.lit(1).cast("bigint").alias("src"), F.col("id").alias("dst"))
+    return trees.forest_of_edge(held, wanted).select("fid")
+
+
 @query("decompose_roots", _ANC + ", gone AS (SELECT DISTINCT anc FROM above WHERE fid IN (20, 23) AND dist > 0) SELECT fid, CASE WHEN parent_fid NOT IN (SELECT anc FROM gone) THEN parent_fid END AS parent_fid FROM forest WHERE fid NOT IN (SELECT anc FROM gone)", "forest")
 def _(spark, sf):
     return trees.decompose(forest(spark, sf), spark.createDataFrame([(20,), (23,)], "fid bigint")).select("fid", "parent_fid")
@@ -572,6 +666,46 @@ def _(spark, sf):
     return _costs(dynamic.apply_updates(_state(spark, sf), log))
 
 
+_GONE, _SET, _NODE = "(src + 3 * dst) % 11 = 4", "(src + 5 * dst) % 13 = 6", 17
+_UPDATED = f"SELECT src, dst, w FROM edges WHERE NOT ({_GONE}) AND NOT ({_SET}) AND src <> {_NODE} AND dst <> {_NODE} UNION ALL SELECT DISTINCT src, dst, CAST(7 AS BIGINT) FROM edges WHERE NOT ({_GONE}) AND {_SET} AND src <> {_NODE} AND dst <> {_NODE}"
+
+
+def _updated(spark: SparkSession, sf: str, kernel_edges: int) -> DataFrame:
+    """One batch over the graph of lineitem: edges go, others get another weight, a node goes."""
+    all_ = edges(spark, sf).select("src", "dst", "w")
+    met = all_.select("src", "dst").distinct()
+    log = met.where(_SET).select(F.lit(1).cast("bigint").alias("seq"), F.lit("update").alias("op"), "src", "dst", F.lit(7).cast("bigint").alias("w"))
+    log = log.unionByName(met.where(_GONE).select(F.lit(2).cast("bigint").alias("seq"), F.lit("remove").alias("op"), "src", "dst", F.lit(None).cast("bigint").alias("w")))
+    log = log.unionByName(spark.createDataFrame([(3, "remove_node", _NODE, None, None)], dynamic.LOG))
+    return _paid(dynamic.apply_updates(dynamic.start(all_, None, kernel_edges), log).tree)
+
+
+@query("dyn_lineitem", _optimum(_UPDATED), "edges")
+def _(spark, sf):
+    return _updated(spark, sf, arborescence.KERNEL_EDGES)
+
+
+@query("dyn_rounds", _optimum(f"SELECT src, dst, w FROM ({_LOOPS}) WHERE NOT (src = 1000007) UNION ALL SELECT 1000005, 3, 1"), "dag")
+def _(spark, sf):
+    """A part's outgoing edges go and one edge comes, by rounds of joins alone."""
+    all_ = _loops(spark, sf)
+    before = dynamic.start(all_, None, 0)
+    added = spark.createDataFrame([(1000005, 3, 1)], "src bigint, dst bigint, w bigint")
+    now = all_.where("src <> 1000007").unionByName(added)
+    return _paid(dynamic.settled(before, before.nodes, now, all_.where("src = 1000007"), added).tree)
+
+
+@query("dyn_lineitem_local", _optimum("SELECT src, dst, CASE WHEN src = 2 AND dst = 9 THEN 1 ELSE w END AS w FROM edges WHERE NOT (src = 5 AND dst = 3) UNION ALL SELECT 11, 4, 1"), "edges")
+def _(spark, sf):
+    """A few changes, which open a small part of the forest."""
+    all_ = edges(spark, sf).select("src", "dst", "w")
+    before = dynamic.start(all_)
+    removed = all_.where("src = 5 AND dst = 3").unionByName(all_.where("src = 2 AND dst = 9"))
+    added = all_.where("src = 2 AND dst = 9").select("src", "dst", F.lit(1).cast("bigint").alias("w")).unionByName(spark.createDataFrame([(11, 4, 1)], "src bigint, dst bigint, w bigint"))
+    now = all_.where("NOT (src = 5 AND dst = 3) AND NOT (src = 2 AND dst = 9)").unionByName(added)
+    return _paid(dynamic.settled(before, before.nodes, now, removed, added).tree)
+
+
 @query("incremental_batches", "SELECT CAST(b AS INTEGER) AS batch, count(*) AS n_edges, min(w) AS least FROM (SELECT unnest(range(CAST(greatest(src, dst) // 100 AS BIGINT), (SELECT CAST(max(id) // 100 + 1 AS BIGINT) FROM profiles))) AS b, w FROM pairs) GROUP BY b", "pairs")
 def _(spark, sf):
     made = pairs.all_pairs(profiles(spark, sf)).withColumn("since", F.floor(F.greatest("src", "dst") / 100))
