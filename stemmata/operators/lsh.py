@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemmata.functions.distances import HAMMING, DistanceFunction
+from stemmata.runtime import cut
 
 SEED = 42
 #: Widths, tables and radius of the command line.
@@ -97,6 +98,20 @@ def approximate_edges(profiles: DataFrame, samples: list[list[int]], radius: flo
     return weighted(chosen.select(F.col("cand").alias("src"), F.col("q").alias("dst")), profiles, distance)
 
 
+def changed_edges(before: DataFrame, now: DataFrame, ids: DataFrame, samples: list[list[int]], radius: float, budget: int | None = None, distance: DistanceFunction = HAMMING) -> tuple[DataFrame, DataFrame]:
+    """(ids (id), edges): the profiles whose candidates may have changed when those of `ids` (id) came, went or changed, and their candidate edges now.
+
+    before and now are profiles (id, alleles). Only buckets that the changed ones are in, or were in, are looked at: whoever shares one has its candidates chosen anew.
+    """
+    own = ids.select(F.col("id").cast("bigint").alias("id")).distinct()
+    old, new = buckets(before, samples), buckets(now, samples)
+    touched = old.join(own, "id", "left_semi").select("tbl", "key").unionByName(new.join(own, "id", "left_semi").select("tbl", "key")).distinct()
+    asked = cut(new.join(touched, ["tbl", "key"], "left_semi").select("id").unionByName(own.join(now.select(F.col("id").cast("bigint").alias("id")), "id", "left_semi")).distinct())
+    found = candidates(new.join(asked, "id", "left_semi"), new, radius, distance)
+    chosen = found if budget is None else first_k(found, budget)
+    return asked, weighted(chosen.select(F.col("cand").alias("src"), F.col("q").alias("dst")), now, distance)
+
+
 def weighted(pairs: DataFrame, profiles: DataFrame, distance: DistanceFunction = HAMMING) -> DataFrame:
     """Adds w, the distance from src to dst."""
     a = profiles.select(F.col("id").cast("bigint").alias("src"), F.col("alleles").alias("u"))

@@ -97,11 +97,24 @@ def nearest(profiles: DataFrame, distance: DistanceFunction = HAMMING, block: in
     return rows.groupBy("dst").agg(F.min(F.struct("w", "src")).alias("x")).select("x.src", "dst", "x.w")
 
 
-def cross_pairs(left: DataFrame, right: DataFrame, distance: DistanceFunction = HAMMING) -> DataFrame:
-    """(src, dst, w) from every profile of left to every other one of right, by column expressions; the smaller side should be right."""
-    a = left.select(F.col("id").cast("bigint").alias("src"), F.col("alleles").alias("u"))
-    b = right.select(F.col("id").cast("bigint").alias("dst"), F.col("alleles").alias("v"))
-    return a.crossJoin(b).where("src <> dst").select("src", "dst", distance.column(F.col("u"), F.col("v")).alias("w"))
+def cross_pairs(left: DataFrame, right: DataFrame, distance: DistanceFunction = HAMMING, block: int = BLOCK) -> DataFrame:
+    """(src, dst, w) from every profile of left to every other one of right, block by block: a row for each pair of blocks, a vectorised kernel a row. Blocks of left are dealt by the
+    numbers of right's."""
+    one, two = blocks(left, block).toDF("i", "one"), blocks(right, block).toDF("j", "two")
+    n = max(1, -(-right.count() // block))
+    dealt = one.select("one", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")).join(two, "j").select("one", "two")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                (a, u), (b, v) = _arrays(x), _arrays(y)
+                if u.shape[1] != v.shape[1]:
+                    raise ValueError("Sequences must be of equal length")
+                src, dst = np.broadcast_arrays(a[:, None], b[None, :])
+                keep = src != dst
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (src, dst, distance.block(u, v))], schema=_EDGES)
+
+    return dealt.mapInArrow(each, "src bigint, dst bigint, w bigint")
 
 
 def incremental_pairs(new: DataFrame, existing: DataFrame, distance: DistanceFunction = HAMMING, mirrored: bool = False) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from stemmata.functions.alleles import padded
 from stemmata.functions.distances import DIRECTIONAL, HAMMING, DistanceFunction
 from stemmata.operators import dynamic, lsh
-from stemmata.operators.arborescence import KERNEL_EDGES, Forest, minimum_arborescence
+from stemmata.operators.arborescence import KERNEL_EDGES, ROOT, Forest, minimum_arborescence
+from stemmata.operators.arborescence import infer as inferred
 from stemmata.operators.graph import next_id
 from stemmata.operators.neighbour_joining import neighbour_joining
-from stemmata.operators.pairs import all_pairs, incremental_pairs
+from stemmata.operators.pairs import all_pairs, cross_pairs, incremental_pairs
 from stemmata.operators.trees import validate
 from stemmata.runtime import cut, ship
 from stemmata.sources.profiles import read_typing
@@ -38,20 +39,30 @@ class Options:
     kernel_edges: int = KERNEL_EDGES
 
 
-def approximate_tree(profiles: DataFrame, samples: list[list[int]], radius: float, budget: int | None, distance: DistanceFunction) -> DataFrame:
-    """The arborescence over candidate edges. Where those leave several trees, their roots get all their edges, and the tree is inferred
-    again; where they leave one, nothing more is computed."""
+def approximate_tree(profiles: DataFrame, samples: list[list[int]], radius: float, budget: int | None, distance: DistanceFunction, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """The arborescence over candidate edges, at most `budget` into each vertex. Where those leave several trees, more edges are made, by component: see spanned()."""
     nodes = profiles.select(F.col("id").cast("bigint").alias("id"))
     near = cut(lsh.approximate_edges(profiles, samples, radius, budget, distance))
-    tree = minimum_arborescence(near, nodes)
-    if tree.count() >= nodes.count() - 1:
-        return tree
-    # With every edge into the forest's roots, one of them reaches all others.
-    wide = profiles.join(cut(nodes.join(tree.select(F.col("dst").alias("id")), "id", "left_anti")), "id")
-    from_all = profiles.select(F.col("id").cast("bigint").alias("src"), F.col("alleles").alias("u"))
-    into = wide.select(F.col("id").cast("bigint").alias("dst"), F.col("alleles").alias("v"))
-    exact = from_all.crossJoin(into).where("src <> dst").select("src", "dst", distance.column(F.col("u"), F.col("v")).alias("w"))
-    return minimum_arborescence(near.unionByName(exact).dropDuplicates(["src", "dst"]), nodes)
+    return spanned(profiles, near, *inferred(near, nodes, kernel_edges), distance, kernel_edges)[0]
+
+
+def spanned(profiles: DataFrame, near: DataFrame, tree: DataFrame, forest: Forest, distance: DistanceFunction, kernel_edges: int = KERNEL_EDGES) -> tuple[DataFrame, int]:
+    """(tree, distances measured for it): a tree that spans the profiles, from the one over `near` and its forest.
+
+    Components that no candidate edge enters get all edges into their vertices, but for the one with the most vertices, which can be the root; only they and what their edges touch are
+    inferred again. Components that have candidate edges never ask for more.
+    """
+    stuck = forest.nodes.where(f"parent_fid IS NULL AND src = {ROOT}").select(F.col("fid").alias("c"))
+    held = cut(forest.labels().join(stuck, "c").select("v", "c"))
+    largest = held.groupBy("c").count().orderBy(F.desc("count"), "c").select("c").limit(1)
+    asked = cut(profiles.join(held.join(largest, "c", "left_anti").select(F.col("v").alias("id")), "id", "left_semi").select("id", "alleles"))
+    n = asked.count()
+    if not n:
+        return tree, 0
+    made = cut(cross_pairs(profiles, asked, distance).join(near.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "w"))
+    nodes = profiles.select(F.col("id").cast("bigint").alias("id"))
+    before = dynamic.State(nodes, near, tree, False, forest, kernel_edges)
+    return dynamic.settled(before, nodes, near.select("src", "dst", "w").unionByName(made), made.limit(0), made).tree, n * (profiles.count() - 1)
 
 
 def _samples(profiles: DataFrame, options: Options) -> list[list[int]]:
@@ -64,7 +75,7 @@ def infer(store: Store, options: Options) -> DataFrame:
     nodes, edges = store.load_graph()
     if options.k:
         profiles = store.load_nodes()
-        return approximate_tree(profiles, _samples(profiles, options), options.radius, options.k, options.distance)
+        return approximate_tree(profiles, _samples(profiles, options), options.radius, options.k, options.distance, options.kernel_edges)
     if options.algorithm == "neighborjoining":
         return _joined(edges if not options.on_demand else all_pairs(store.load_nodes(), options.distance))
     if options.on_demand:
@@ -76,32 +87,57 @@ def _joined(edges: DataFrame) -> DataFrame:
     return neighbour_joining(edges.where("src < dst").select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").cast("double").alias("d"))).select("src", "dst", "w")
 
 
-def _checked(options: Options) -> None:
-    """The dynamic algorithm goes on from stored edges; an error where there are none."""
-    if options.algorithm == "dynamic" and (options.k or options.on_demand):
-        raise ValueError("the dynamic algorithm needs the stored edges: not with k or on_demand")
+@dataclass(frozen=True)
+class Before:
+    """What the dynamic algorithm goes on from: the stored graph, tree and forest, and the profiles."""
+
+    state: dynamic.State
+    profiles: DataFrame
 
 
-def _before(store: Store, options: Options) -> dynamic.State | None:
-    """The stored graph, tree and forest, which a change goes on from; None for the other algorithms. A forest of another state of the graph isn't used."""
-    _checked(options)
+def _before(store: Store, options: Options) -> Before | None:
+    """None for the other algorithms. A forest of another state of the graph isn't used. With k, the stored edges are the candidates; on demand there are none, and a change is told from the forest."""
     if options.algorithm != "dynamic":
         return None
     nodes, edges = store.load_graph()
     seed = store.seed()
     seed = Forest(cut(seed.nodes), seed.serial) if seed is not None else None
-    return dynamic.State(cut(nodes.select("id")), cut(edges), cut(store.read("phylogeny")), False, seed, options.kernel_edges)
+    state = dynamic.State(cut(nodes.select("id")), edges if options.on_demand else cut(edges), cut(store.read("phylogeny")), False, seed, options.kernel_edges)
+    return Before(state, cut(store.load_nodes()))
 
 
-def _finish(store: Store, options: Options, new: int, began: float, before: dynamic.State | None = None, removed: DataFrame | None = None, added: DataFrame | None = None) -> DataFrame:
+def _settled(store: Store, options: Options, before: Before, removed: DataFrame | None, added: DataFrame | None, ids: DataFrame | None) -> DataFrame:
+    """The tree of the changed graph by the dynamic algorithm; the forest is saved. ids (id): profiles that came, went or changed."""
+    nodes, edges = store.load_graph()
+    now = store.load_nodes()
+    if options.on_demand:
+        edges = all_pairs(now, options.distance)
+        if before.state.seed is not None:
+            held, own = before.state.seed.nodes.select("src", "dst", "w"), ids.select(F.col("id").cast("bigint").alias("id"))
+            removed = cut(held.join(own.toDF("src"), "src", "left_semi").select("src", "dst", "w").unionByName(held.join(own.toDF("dst"), "dst", "left_semi").select("src", "dst", "w")).distinct())
+            changed = cut(now.join(own, "id", "left_semi").select("id", "alleles"))
+            added = cut(incremental_pairs(changed, now.join(own, "id", "left_anti").select("id", "alleles"), options.distance)) if not changed.isEmpty() else removed.limit(0)
+    elif options.k:
+        samples = store.load_lsh()[0]
+        asked, made = lsh.changed_edges(before.profiles, now, ids, samples, options.radius, options.k, options.distance)
+        made = cut(made)
+        gone = ids.select(F.col("id").cast("bigint").alias("id")).unionByName(asked).distinct()
+        removed = _at(before.state.edges, ids).unionByName(before.state.edges.join(asked.toDF("dst"), "dst", "left_semi").select("src", "dst", "w"))
+        added = made
+        store.remove_incoming(gone)
+        store.remove_outgoing(ids.select("id"))
+        # Others keep their candidates; those that asked anew have all of theirs here.
+        store.add_edges(made)
+        edges = store.read("edges")
+    after = dynamic.settled(before.state, cut(nodes.select("id")), edges if options.on_demand else cut(edges), removed, added, not options.on_demand)
+    store.save_forest(after.seed)
+    return spanned(now, after.edges, after.tree, after.seed, options.distance, options.kernel_edges)[0] if options.k else after.tree
+
+
+def _finish(store: Store, options: Options, new: int, began: float, before: Before | None = None, removed: DataFrame | None = None, added: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
     """Saves and logs the tree; returns its validation. before: what the dynamic algorithm goes on from; removed and added: the edges that the command took and made, if it knows them."""
+    tree = _settled(store, options, before, removed, added, ids) if before is not None else cut(infer(store, options))
     nodes, edges = store.load_graph()
-    if before is not None:
-        after = dynamic.settled(before, cut(nodes.select("id")), cut(edges), removed, added)
-        tree = after.tree
-        store.save_forest(after.seed)
-    else:
-        tree = cut(infer(store, options))
     store.save_phylogeny(tree)
     cost = tree.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     store.log_run(new, edges.count(), int((time.time() - began) * 1000), cost)
@@ -128,9 +164,9 @@ def add(store: Store, profiles: DataFrame, options: Options = Options()) -> Data
         store.add_nodes(new)
         if options.k:
             all_nodes = store.load_nodes()
-            samples = _samples(all_nodes, options)
+            samples = store.load_lsh()[0] if before is not None and store.exists("lsh_samples") else _samples(all_nodes, options)
             store.save_lsh(samples, lsh.buckets(all_nodes, samples))
-        return _finish(store, options, new.count(), began, before, pairs.limit(0) if pairs is not None else None, pairs)
+        return _finish(store, options, new.count(), began, before, pairs.limit(0) if pairs is not None else None, pairs, new.select("id"))
 
 
 def _at(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -144,9 +180,9 @@ def remove(store: Store, ids: DataFrame, options: Options = Options()) -> DataFr
     """Removes nodes (id) and their edges, then infers the tree."""
     began, before = time.time(), _before(store, options)
     with store.change():
-        lost = _at(before.edges, ids) if before is not None else None
+        lost = _at(before.state.edges, ids) if before is not None else None
         store.remove_nodes(ids)
-        return _finish(store, options, 0, began, before, lost, lost.limit(0) if lost is not None else None)
+        return _finish(store, options, 0, began, before, lost, lost.limit(0) if lost is not None else None, ids)
 
 
 def update(store: Store, profiles: DataFrame, options: Options = Options()) -> DataFrame:
@@ -155,14 +191,14 @@ def update(store: Store, profiles: DataFrame, options: Options = Options()) -> D
     changed = cut(profiles.select(F.col("id").cast("bigint").alias("id"), "alleles"))
     rest = cut(store.load_nodes().join(changed.select("id"), "id", "left_anti"))
     with store.change():
-        lost = _at(before.edges, changed) if before is not None else None
+        lost = _at(before.state.edges, changed) if before is not None else None
         store.remove_nodes(changed.select("id"))
         made = None
         if not options.on_demand and not options.k:
             made = cut(incremental_pairs(changed, rest, options.distance))
             store.add_edges(made)
         store.add_nodes(changed)
-        return _finish(store, options, changed.count(), began, before, lost, made)
+        return _finish(store, options, changed.count(), began, before, lost, made, changed.select("id"))
 
 
 def test(store: Store, profiles: DataFrame, options: Options = Options()) -> list[dict]:

@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 from stemmata.functions.distances import DIRECTIONAL, HAMMING
-from stemmata.operators import dynamic
+from stemmata.operators import dynamic, lsh
 from stemmata.operators.arborescence import arborescence_of
 from stemmata.plans import commands
 from stemmata.plans.commands import Options
@@ -158,11 +160,27 @@ def test_removed_edges_are_noted(spark, tmp_path, monkeypatch):
     assert len(store._numbers()) == module.KEPT
 
 
-def test_neighbour_joining_as_a_command(spark, tmp_path):
-    import pytest
+@pytest.mark.parametrize("options", [Options(algorithm="dynamic", distance=HAMMING, on_demand=True), Options(algorithm="dynamic", distance=HAMMING, k=2, width=3, tables=2, radius=9)])
+def test_dynamic_without_all_edges(spark, tmp_path, options):
+    """On demand no edges are stored; with k only candidates are, and those that change are as a rebuild has them."""
+    rows = table(16, 4)
+    store = Store(spark, str(tmp_path / "g"))
+    assert commands.add(store, frame(spark, rows[:10]), options).first()["valid"]
+    assert commands.add(store, frame(spark, rows[10:]), options).first()["valid"]
+    assert store.seed() is not None
+    assert commands.remove(store, spark.createDataFrame([(4,)], "id bigint"), options).first()["valid"]
+    left = rows[:4] + rows[5:]
+    cost = store.read("phylogeny").agg({"w": "sum"}).first()[0]
+    if options.on_demand:
+        assert store.read("edges").isEmpty() and cost == brute(left, HAMMING)
+        return
+    samples, profiles = store.load_lsh()[0], store.load_nodes()
+    near = lsh.approximate_edges(profiles, samples, options.radius, options.k, HAMMING)
+    assert sorted(map(tuple, store.read("edges").select("src", "dst", "w").collect())) == sorted(map(tuple, near.collect()))
+    assert cost == commands.approximate_tree(profiles, samples, options.radius, options.k, HAMMING).agg({"w": "sum"}).first()[0] >= brute(left, HAMMING)
+
 
+def test_neighbour_joining_as_a_command(spark, tmp_path):
     store = Store(spark, str(tmp_path / "g"))
     assert commands.add(store, frame(spark, table(6, 8)), Options(algorithm="neighborjoining", distance=HAMMING)).count() == 1
     assert store.read("phylogeny").count() >= 6
-    with pytest.raises(ValueError):
-        commands.add(store, frame(spark, table(2, 8)), Options(algorithm="dynamic", on_demand=True))
