@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from stemmata.functions import alleles as al
 from stemmata.functions.distances import DIRECTIONAL, HAMMING, directional_hamming, hamming
 from stemmata.operators import arborescence, dynamic, graph, lsh, neighbour_joining, pairs, statistics, trees
+from stemmata.runtime import work_path
 from stemmata.sources import profiles as readers
+from stemmata.streaming import graphs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -706,6 +708,33 @@ def _(spark, sf):
     return _paid(dynamic.settled(before, before.nodes, now, removed, added).tree)
 
 
+_CHOICES = ", ".join(f"c{v} AS (SELECT graph, -1 AS p, 0 AS w FROM given UNION ALL SELECT graph, src, w FROM alive WHERE dst = {v})" for v in range(4))
+_TRIED = " ".join(f"JOIN c{v} USING (graph)" for v in range(1, 4))
+
+
+@query(
+    "graph_stream",
+    "+rows AS (SELECT l_orderkey // 50 AS graph, l_suppkey % 4 AS src, l_partkey % 4 AS dst, CAST(l_quantity AS BIGINT) AS w, l_orderkey * 10 + l_linenumber AS seq, l_linenumber % 5 = 4 AS gone FROM lineitem), "
+    "given AS (SELECT graph, max(seq) AS seq FROM rows GROUP BY graph), "
+    "nodes AS (SELECT graph, count(DISTINCT v) AS n_nodes FROM (SELECT graph, src AS v FROM rows WHERE NOT gone UNION ALL SELECT graph, dst FROM rows WHERE NOT gone) GROUP BY graph), "
+    "alive AS (SELECT graph, src, dst, w FROM rows WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY graph, src, dst ORDER BY seq DESC) = 1 AND NOT gone), "
+    f"{_CHOICES}, tried AS (SELECT graph, [c0.p, c1.p, c2.p, c3.p] AS p, c0.w + c1.w + c2.w + c3.w AS w FROM c0 {_TRIED}), "
+    "steps AS (SELECT graph, w, p, [list_reduce([v, 0, 0, 0, 0], lambda x, y: coalesce(p[x + 1], -1)) FOR v IN [0, 1, 2, 3]] AS ends FROM tried), "
+    "best AS (SELECT graph, min({'roots': len(list_filter(p, lambda x: x = -1)), 'w': w}) AS x FROM steps WHERE list_max(ends) = -1 GROUP BY graph) "
+    "SELECT CAST(graph AS BIGINT) AS graph, CAST(seq AS BIGINT) AS seq, CAST(coalesce(n_nodes, 0) AS BIGINT) AS n_nodes, CAST(4 - x.roots AS BIGINT) AS n_edges, CAST(x.w AS BIGINT) AS cost FROM best JOIN given USING (graph) LEFT JOIN nodes USING (graph)",
+    "edges",
+)
+def _(spark, sf):
+    """Each 50 order keys a graph of four nodes, their items a stream of edges that come and go; SQL tries all choices of edges."""
+    path = f"{sf}/lineitem.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/{{lineitem}}.parquet")  # a stream takes a file for a folder but by a pattern
+    number, op = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.when(F.col("l_linenumber") % 5 == 4, "remove").otherwise("add")
+    log = rows.select(F.floor(F.col("l_orderkey") / 50).alias("graph"), number.alias("seq"), op.alias("op"), (F.col("l_suppkey") % 4).alias("src"), (F.col("l_partkey") % 4).alias("dst"), F.col("l_quantity").cast("bigint").alias("w"))
+    out = work_path(spark, "graphs")
+    graphs.maintain_graphs(log, f"{out}/trees", f"{out}/progress").awaitTermination()
+    return graphs.latest(spark, f"{out}/trees").select("graph", "seq", "n_nodes", "n_edges", "cost")
+
+
 @query("incremental_batches", "SELECT CAST(b AS INTEGER) AS batch, count(*) AS n_edges, min(w) AS least FROM (SELECT unnest(range(CAST(greatest(src, dst) // 100 AS BIGINT), (SELECT CAST(max(id) // 100 + 1 AS BIGINT) FROM profiles))) AS b, w FROM pairs) GROUP BY b", "pairs")
 def _(spark, sf):
     made = pairs.all_pairs(profiles(spark, sf)).withColumn("since", F.floor(F.greatest("src", "dst") / 100))
