@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemmata.functions.distances import HAMMING, DistanceFunction
-from stemmata.operators.pairs import distance_histogram
+from stemmata.operators.pairs import distance_histogram, numbered
+from stemmata.runtime import cut
 
 
 def distance_stats(profiles: DataFrame, distance: DistanceFunction = HAMMING) -> DataFrame:
@@ -52,18 +56,49 @@ def top_entropy(entropies: DataFrame, k: int) -> DataFrame:
     return sorted_entropy(entropies).limit(k)
 
 
-def moving_average(series: DataFrame, value: str, order: list[str], window: int, by: list[str] | None = None) -> DataFrame:
-    """Adds `smoothed`, the mean of up to window // 2 rows before and after and the row itself, cut off at the ends of each series (by)."""
-    frame = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(-(window // 2), window // 2)
-    return series.withColumn("smoothed", F.avg(value).over(frame))
+#: Rows of a block that windows over a series work in; longer series go in several blocks.
+SERIES_BLOCK = 65_536
+
+
+def placed(series: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Adds `__at`, the place of each row among all rows by `by` and `order`, and `__place`, that in its own series, both from 0. Ranges of rows are sorted apart, whatever series they are of,
+    so that one long series goes in as many ranges as others; a row a series tells where it begins. Nulls in `by` are a series too.
+    """
+    by = by or []
+    if not by:
+        return numbered(series, order, name="__at").withColumn("__place", F.col("__at"))
+    rows = cut(numbered(series, [*by, *order], name="__at"))
+    first = rows.groupBy(*[F.col(c).alias(f"__{k}") for k, c in enumerate(by)]).agg(F.min("__at").alias("__first"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in enumerate(by)])
+    return rows.join(first, same).withColumn("__place", F.col("__at") - F.col("__first")).select(*series.columns, "__at", "__place")
+
+
+def with_halo(rows: DataFrame, at: str, before: int, after: int, block: int) -> DataFrame:
+    """Adds `__block`, blocks of so many numbers in column `at`, and `__own`: rows within reach of a neighbouring block are copied to it (own false), so that a window over a block's rows finds all
+    that lie up to `before` back and `after` on. Blocks may be no smaller than either.
+    """
+    if max(before, after) > block:
+        raise ValueError("a window may not reach beyond the next block")
+    own, offset = F.floor(F.col(at) / block), F.col(at) % block
+    copies = F.filter(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.when(offset >= block - before, F.struct((own + 1).alias("b"), F.lit(False).alias("own"))), F.when(offset < after, F.struct((own - 1).alias("b"), F.lit(False).alias("own")))), lambda x: x.isNotNull())
+    return rows.withColumn("__copy", F.explode(copies)).withColumn("__block", F.col("__copy.b")).withColumn("__own", F.col("__copy.own")).drop("__copy")
+
+
+def moving_average(series: DataFrame, value: str, order: list[str], window: int, by: list[str] | None = None, block: int = SERIES_BLOCK) -> DataFrame:
+    """Adds `smoothed`, the mean of up to window // 2 rows before and after and the row itself, cut off at the ends of each series (by). Rows of one place in `order` come in any order.
+
+    Long series are smoothed in blocks of rows that also hold their neighbours' nearest ones.
+    """
+    half = window // 2
+    rows = with_halo(placed(series, order, by), "__at", half, half, max(block, half, 1))
+    frame = Window.partitionBy("__block", *(by or [])).orderBy("__at").rowsBetween(-half, half)
+    return rows.withColumn("smoothed", F.avg(value).over(frame)).where("__own").select(*series.columns, "smoothed")
 
 
 def downsample(series: DataFrame, columns: list[str], order: list[str], factor: int, by: list[str] | None = None) -> DataFrame:
     """(by..., point, means of columns) of every `factor` rows in order; the last point may have fewer."""
-    by = by or []
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    rows = series.withColumn("point", F.floor(place / factor).cast("int"))
-    return rows.groupBy(*by, "point").agg(*[F.avg(c).alias(c) for c in columns])
+    rows = placed(series, order, by).withColumn("point", F.floor(F.col("__place") / factor).cast("int"))
+    return rows.groupBy(*(by or []), "point").agg(*[F.avg(c).alias(c) for c in columns])
 
 
 def mebibytes(x: Column) -> Column:

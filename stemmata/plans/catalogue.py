@@ -717,7 +717,7 @@ _TRIED = " ".join(f"JOIN c{v} USING (graph)" for v in range(1, 4))
     "+rows AS (SELECT l_orderkey // 50 AS graph, l_suppkey % 4 AS src, l_partkey % 4 AS dst, CAST(l_quantity AS BIGINT) AS w, l_orderkey * 10 + l_linenumber AS seq, l_linenumber % 5 = 4 AS gone FROM lineitem), "
     "given AS (SELECT graph, max(seq) AS seq FROM rows GROUP BY graph), "
     "nodes AS (SELECT graph, count(DISTINCT v) AS n_nodes FROM (SELECT graph, src AS v FROM rows WHERE NOT gone UNION ALL SELECT graph, dst FROM rows WHERE NOT gone) GROUP BY graph), "
-    "alive AS (SELECT graph, src, dst, w FROM rows WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY graph, src, dst ORDER BY seq DESC) = 1 AND NOT gone), "
+    "alive AS (SELECT graph, src, dst, w FROM rows WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY graph, src, dst ORDER BY seq DESC, w DESC) = 1 AND NOT gone), "
     f"{_CHOICES}, tried AS (SELECT graph, [c0.p, c1.p, c2.p, c3.p] AS p, c0.w + c1.w + c2.w + c3.w AS w FROM c0 {_TRIED}), "
     "steps AS (SELECT graph, w, p, [list_reduce([v, 0, 0, 0, 0], lambda x, y: coalesce(p[x + 1], -1)) FOR v IN [0, 1, 2, 3]] AS ends FROM tried), "
     "best AS (SELECT graph, min({'roots': len(list_filter(p, lambda x: x = -1)), 'w': w}) AS x FROM steps WHERE list_max(ends) = -1 GROUP BY graph) "
@@ -757,6 +757,17 @@ def _(spark, sf):
     return out.select("user_id", "point", F.round("value", 6).alias("value"), F.round("event_id", 6).alias("event_id"))
 
 
+@query("moving_average_one_series", "SELECT event_id, round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING), 6) AS smoothed FROM events")
+def _(spark, sf):
+    return statistics.moving_average(_read(spark, sf, "events"), "value", ["ts", "event_id"], 101).select("event_id", F.round("smoothed", 6).alias("smoothed"))
+
+
+@query("downsample_one_series", "SELECT CAST(n // 50 AS INTEGER) AS point, round(avg(value), 6) AS value, round(avg(event_id), 6) AS event_id FROM (SELECT value, event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS n FROM events) GROUP BY ALL")
+def _(spark, sf):
+    out = statistics.downsample(_read(spark, sf, "events"), ["value", "event_id"], ["ts", "event_id"], 50)
+    return out.select("point", F.round("value", 6).alias("value"), F.round("event_id", 6).alias("event_id"))
+
+
 @query("axis_transform", "SELECT p_partkey, round(CASE WHEN p_size > 0 THEN p_size * log2(p_size) ELSE 0 END + p_size * p_size, 6) AS heap, CAST(p_size AS DOUBLE) * p_size * p_size AS plain, round(p_retailprice / 1048576, 12) AS mib, round(p_retailprice / 60000, 9) AS minutes FROM part")
 def _(spark, sf):
     n, price = F.col("p_size"), F.col("p_retailprice")

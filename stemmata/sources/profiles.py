@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from stemmata.functions.alleles import normalise_alleles
 
+#: Line numbers of a block of a log.
+LOG_BLOCK = 65_536
+
 
 def _lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """(file, ord, value): lines with their number in the file, from 0. Large files are read in blocks: a line's number is its place in its
@@ -82,10 +85,14 @@ def read_runtime_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_runtime_lines(lines: DataFrame) -> DataFrame:
-    """lines: (file, ord, value)."""
+    """lines: (file, ord, value); ord may have gaps. A log goes in blocks of line numbers, and the last line of each meets the first of the next block that has lines."""
     inference = r"Inference time \(ms\):\s*([+-]?\d+)"
-    following = F.lead("value").over(Window.partitionBy("file").orderBy("ord"))
-    rows = lines.select("file", "ord", "value", F.coalesce(following, F.lit("")).alias("next"))
+    blocks = lines.select("file", "ord", "value", F.floor(F.col("ord") / LOG_BLOCK).alias("block"))
+    heads = blocks.groupBy("file", "block").agg(F.min_by("value", "ord").alias("head"))
+    heads = heads.select("file", "block", F.lead("head").over(Window.partitionBy("file").orderBy("block")).alias("head"))
+    following = F.lead(F.struct("value")).over(Window.partitionBy("file", "block").orderBy("ord"))
+    rows = blocks.withColumn("following", following).join(heads, ["file", "block"])
+    rows = rows.select("value", F.coalesce(F.when(F.col("following").isNull(), F.col("head")).otherwise(F.col("following.value")), F.lit("")).alias("next"))
     rows = rows.where(F.col("value").rlike(r"Iteration \d+.*Pre-process time \(ms\):\s*[+-]?\d+"))
     number = lambda column, pattern: F.regexp_extract(column, pattern, 1)
     found = F.when(F.col("value").rlike(inference), number("value", inference)).otherwise(number("next", inference))
