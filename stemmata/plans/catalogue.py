@@ -16,6 +16,7 @@ from stemmata.functions.distances import DIRECTIONAL, HAMMING, directional_hammi
 from stemmata.operators import arborescence, dynamic, graph, lsh, neighbour_joining, pairs, statistics, trees
 from stemmata.runtime import work_path
 from stemmata.sources import profiles as readers
+from stemmata.sources.gone import without
 from stemmata.streaming import graphs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -687,6 +688,23 @@ def _(spark, sf):
     return _updated(spark, sf, arborescence.KERNEL_EDGES)
 
 
+@query("dyn_hidden", _optimum(f"SELECT src, dst, w FROM edges WHERE NOT ({_GONE}) AND src <> {_NODE} AND dst <> {_NODE}"), "edges")
+def _(spark, sf):
+    """As if edges and a node were gone; the graph stays as it is."""
+    all_ = edges(spark, sf).select("src", "dst", "w")
+    node = spark.createDataFrame([(_NODE,)], "id bigint")
+    return _paid(dynamic.without_for_now(dynamic.start(all_), all_.where(_GONE).select("src", "dst"), node).tree)
+
+
+@query("min_in_edge_hidden", "SELECT dst, min(src) AS src, w FROM (SELECT src, dst, w, min(w) OVER (PARTITION BY dst) AS least FROM edges WHERE (src + dst) % 3 <> 1 AND NOT (src % 7 = 2 AND w < 20)) WHERE w = least GROUP BY dst, w", "edges")
+def _(spark, sf):
+    """The lightest edge into each part under an overlay of hidden edges: some by ends, some by weight too."""
+    all_ = edges(spark, sf).select("src", "dst", "w")
+    hidden = all_.where("(src + dst) % 3 = 1 OR src % 7 = 2 AND w < 20").distinct()
+    notes = hidden.select(F.lit("edge").alias("kind"), "src", "dst", "w", F.lit(None).cast("bigint").alias("n"))
+    return graph.min_in_edges(without(all_, notes)).select("src", "dst", "w")
+
+
 @query("dyn_rounds", _optimum(f"SELECT src, dst, w FROM ({_LOOPS}) WHERE NOT (src = 1000007) UNION ALL SELECT 1000005, 3, 1"), "dag")
 def _(spark, sf):
     """A part's outgoing edges go and one edge comes, by rounds of joins alone."""

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from stemmata.operators import graph
 from stemmata.operators.arborescence import Forest
 from stemmata.runtime import cut, delete
+from stemmata.sources.gone import GONE, without
 
 #: Columns of each table; nodes may have profiles besides.
 SCHEMAS = {
@@ -32,8 +33,6 @@ SCHEMAS = {
     "iteration_metrics": "iteration int, pre_process_ms bigint, inference_ms bigint, cost bigint",
     "memory": "ts bigint, heap bigint, non_heap bigint, total bigint",
 }
-#: What goes from edges: n copies of an edge (all of them if n is null), or the edges into, from or at a vertex (src).
-GONE = "kind string, src bigint, dst bigint, w bigint, n bigint"
 #: Buckets that edges are clustered by; a vertex has no file of its own.
 EDGE_BUCKETS = 64
 #: Parts of deleted edges that a table has before it is written anew.
@@ -317,15 +316,3 @@ class Store:
 
     def write_json(self, df: DataFrame, name: str) -> None:
         df.coalesce(1).write.mode("overwrite").json(self.path(name))
-
-
-def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """edges without what `gone` (GONE) names. Only edges of named pairs are numbered, to take single copies away."""
-    of = lambda *kinds: gone.where(F.col("kind").isin(*kinds)).select("src")
-    left = edges.join(of("from", "at"), "src", "left_anti").join(of("into", "at").withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst", "w")
-    named = gone.where("kind = 'edge'").groupBy("src", "dst", "w").agg(F.sum("n").alias("n"), F.count(F.when(F.col("n").isNull(), 1)).alias("whole"))
-    keys = ["src", "dst", "w"]
-    others = left.join(named, keys, "left_anti")
-    copies = left.join(named, keys).groupBy(*keys).agg(F.count("*").alias("held"), F.first("n").alias("n"), F.first("whole").alias("whole"))
-    stay = copies.where("whole = 0 AND held > n").select(*keys, F.explode(F.sequence(F.lit(1), (F.col("held") - F.col("n")).cast("int"))).alias("copy")).drop("copy")
-    return others.unionByName(stay)

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from stemmata.operators import arborescence
+from stemmata.operators import arborescence, dynamic
 from stemmata.operators.arborescence import arborescence_of, infer, minimum_arborescence
 
 S = [(0, 1, 6), (1, 2, 10), (1, 3, 12), (2, 1, 10), (3, 0, 1), (3, 2, 8)]
@@ -205,3 +205,28 @@ def test_untouched_parts_stay_contracted(spark, kernel_edges):
     # what is above the edge is opened: the others' contractions are not made again
     kept = after.seed.nodes.join(state.seed.nodes.where("NOT is_simple").select("fid"), "fid", "left_semi").count()
     assert after.inferred and 0 < after.seed.opened and after.seed.components < whole / 2 and kept >= n - 1
+
+
+@pytest.mark.parametrize("kernel_edges", [0, 8_000_000])
+def test_hidden_edges_and_nodes(spark, kernel_edges):
+    """The tree is that of the graph really reduced, the old state goes on, and what is hidden comes back by going on from it."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(12), rng.randrange(12), rng.randrange(1, 20)) for _ in range(70)]
+    rows += rows[:5] + [(1, 2, 3), (1, 2, 9)]
+    state = dynamic.start(spark.createDataFrame(rows, "src bigint, dst bigint, w bigint"), None, kernel_edges)
+    best = lambda kept, nodes: sum(e[2] for e in arborescence_of(kept, nodes))
+    ids = sorted({v for e in rows for v in e[:2]})
+    gone = [(1, 2), (99, 98), *[e[:2] for e in rows[10:16]]]
+    kept = [e for e in rows if e[:2] not in gone and 7 not in e[:2]]
+    hidden = dynamic.without_for_now(state, spark.createDataFrame(gone, "src bigint, dst bigint"), spark.createDataFrame([(7,), (55,)], "id bigint"))
+    left = [v for v in ids if v != 7]
+    assert len(hidden.tree.collect()) == len(arborescence_of(kept, left)) and hidden.cost() == best(kept, left)
+    assert state.cost() == best(rows, ids) and state.edges.count() == len(rows)
+    if not kernel_edges:  # by rounds, which are many small jobs, once is enough
+        return
+    weighed = dynamic.without_for_now(state, spark.createDataFrame([(1, 2, 3)], "src bigint, dst bigint, w bigint"))
+    assert weighed.cost() == best([e for e in rows if e != (1, 2, 3)], ids)
+    again = dynamic.add_edge(hidden, 1, 2, 1)
+    assert again.cost() == best([*kept, (1, 2, 1)], left)
+    none = spark.createDataFrame([], "src bigint, dst bigint")
+    assert not dynamic.without_for_now(state, none).inferred

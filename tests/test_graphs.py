@@ -1,11 +1,12 @@
-"""Trees of many graphs under one stream."""
+"""Streams: trees of many graphs, and samples of memory."""
 
 import random
+import time
 
 import pytest
 
 from stemmata.operators.arborescence import arborescence_of
-from stemmata.streaming import graphs
+from stemmata.streaming import graphs, memory
 
 
 def entries(rng, n_graphs, n, first):
@@ -73,3 +74,17 @@ def test_odd_entries_and_bounds(spark, tmp_path):
     with pytest.raises(Exception, match="pairs of nodes"):
         (tmp_path / "b").mkdir()
         run(spark, log, tmp_path / "b", max_edges=1)
+
+
+def test_memory_is_sampled_at_an_interval(spark, tmp_path):
+    path = str(tmp_path / "memory")
+    query = memory.watch(spark, path, str(tmp_path / "mark"), 0.5)
+    end = time.time() + 60
+    while time.time() < end and (query.lastProgress or {"batchId": 0})["batchId"] < 4:
+        spark.range(100).count()
+        time.sleep(0.1)
+    query.stop()
+    rows = memory.samples(spark, path).collect()
+    steps = [b.ts - a.ts for a, b in zip(rows, rows[1:], strict=False)]
+    assert len(rows) >= 4 and all(0 <= s <= 20 for s in steps) and sum(steps) >= 1
+    assert all(r.heap > 0 and r.total == r.heap + r.non_heap and r.executors for r in rows)
