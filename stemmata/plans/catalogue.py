@@ -378,7 +378,7 @@ def _(spark, sf):
 @query("lsh_first_k", _FOUND + "SELECT q, cand, w, tbl, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tbl, cand) AS place FROM found) WHERE place <= 3", "profiles")
 def _(spark, sf):
     table = lsh.buckets(profiles(spark, sf), _SAMPLES)
-    return lsh.first_k(lsh.candidates(table, table, 40), 3)
+    return lsh.first_k(lsh.candidates(table, table, 40, k=3), 3)
 
 
 @query("knn_directed_graph", _FOUND + "SELECT cand AS src, q AS dst, w FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tbl, cand) AS place FROM found WHERE cand < q) WHERE place <= 3", "profiles")

@@ -2,7 +2,8 @@
 
 import random
 
-from stemmata.operators import arborescence
+from stemmata.functions.distances import DIRECTIONAL
+from stemmata.operators import arborescence, lsh
 
 KIND = "src bigint, dst bigint, w bigint"
 
@@ -20,3 +21,27 @@ def test_edges_into_vertices_that_none_leaves_need_no_rounds(spark):
     tree, forest = arborescence.infer(spark.createDataFrame(rows, KIND), None, 150)
     assert sorted(map(tuple, tree.collect())) == sorted(arborescence.arborescence_of(rows))
     assert forest.serial == 1
+
+
+def test_pairs_of_buckets_are_not_shuffled(spark):
+    """Large buckets in several parts: the pairs of brute force, each with its first table; no step but the last shuffles pairs."""
+    rng = random.Random(5)
+    rows = {n: [rng.choice((-1, 0, 1, 2, 300)) if j > 1 else rng.randrange(2) for j in range(8)] for n in range(90)}
+    samples, radius = [[0, 1], [0, 2], [1]], 5
+    profiles = spark.createDataFrame(list(rows.items()), "id bigint, alleles array<bigint>")
+    table = lsh.buckets(profiles, samples)
+    found = lsh.candidates(table, table, radius, DIRECTIONAL, part=7)
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("FlatMapCoGroups")
+    lost = (-1, 0)
+    cost = lambda u, v: sum(bool(y in lost) if (x in lost) != (y in lost) else x > y for x, y in zip(u, v, strict=True))
+    want = set()
+    for q, u in rows.items():
+        for c, v in rows.items():
+            tables = [t for t, s in enumerate(samples) if all(u[i] == v[i] for i in s)]
+            if q != c and tables and cost(u, v) <= radius:
+                want.add((q, c, cost(u, v), tables[0]))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    first = lsh.first_k(lsh.candidates(table, table, radius, DIRECTIONAL, k=3, part=7), 3).collect()
+    for q in rows:
+        assert [r["cand"] for r in sorted(first, key=lambda r: r["place"]) if r["q"] == q] == [c for _, c in sorted((t, c) for a, c, _, t in want if a == q)][:3]
