@@ -1,9 +1,10 @@
 """Cases in which a table is much longer than what the work needs of it."""
 
 import random
+from collections import Counter
 
 from stemmata.functions.distances import DIRECTIONAL
-from stemmata.operators import arborescence, lsh
+from stemmata.operators import arborescence, lsh, pairs
 
 KIND = "src bigint, dst bigint, w bigint"
 
@@ -45,3 +46,20 @@ def test_pairs_of_buckets_are_not_shuffled(spark):
     first = lsh.first_k(lsh.candidates(table, table, radius, DIRECTIONAL, k=3, part=7), 3).collect()
     for q in rows:
         assert [r["cand"] for r in sorted(first, key=lambda r: r["place"]) if r["q"] == q] == [c for _, c in sorted((t, c) for a, c, _, t in want if a == q)][:3]
+
+
+def test_pairs_are_reduced_in_their_blocks(spark):
+    """Negative ids, alleles of several widths, both distances: as brute force has it, and no shuffle of pairs."""
+    rng = random.Random(6)
+    rows = {n - 20: [rng.choice((-1, 0, 1, 2, 300, 1 << 40)) for _ in range(6)] for n in range(60)}
+    profiles = spark.createDataFrame(list(rows.items()), "id bigint, alleles array<bigint>")
+    lost = (-1, 0)
+    cost = lambda u, v: sum(bool(y in lost) if (x in lost) != (y in lost) else x > y for x, y in zip(u, v, strict=True))
+    way = {(s, d): cost(u, v) for s, u in rows.items() for d, v in rows.items() if s != d}
+    excess = pairs.asymmetry(profiles, DIRECTIONAL, block=16)
+    assert excess._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")
+    assert sorted(map(tuple, excess.collect())) == sorted((s, d, w - way[d, s]) for (s, d), w in way.items() if s < d)
+    assert {r["w"]: r["n"] for r in pairs.distance_histogram(profiles, DIRECTIONAL, 16).collect()} == Counter(w for (s, d), w in way.items() if s < d)
+    assert {r["dst"]: (r["w"], r["src"]) for r in pairs.nearest(profiles, DIRECTIONAL, 16).collect()} == {d: min((way[s, d], s) for s in rows if s != d) for d in rows}
+    groups = {(r["since"]): (r["n"], r["w"]) for r in pairs.pairs_by_largest(profiles, 10, DIRECTIONAL, 16).collect()}
+    assert groups == {g: (len(x), min(x)) for g in range(-2, 4) if (x := [w for (s, d), w in way.items() if max(s, d) // 10 == g])}
