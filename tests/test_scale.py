@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 from stemmata.functions.distances import DIRECTIONAL
-from stemmata.operators import arborescence, lsh, pairs
+from stemmata.operators import arborescence, graph, lsh, pairs
 
 KIND = "src bigint, dst bigint, w bigint"
 
@@ -63,3 +63,30 @@ def test_pairs_are_reduced_in_their_blocks(spark):
     assert {r["dst"]: (r["w"], r["src"]) for r in pairs.nearest(profiles, DIRECTIONAL, 16).collect()} == {d: min((way[s, d], s) for s in rows if s != d) for d in rows}
     groups = {(r["since"]): (r["n"], r["w"]) for r in pairs.pairs_by_largest(profiles, 10, DIRECTIONAL, 16).collect()}
     assert groups == {g: (len(x), min(x)) for g in range(-2, 4) if (x := [w for (s, d), w in way.items() if max(s, d) // 10 == g])}
+
+
+def test_minima_are_kept_in_hash_tables(spark):
+    """Ids and weights of both signs up to near the ends of their range, ties: as brute force has it, and no task sorts all its edges for a minimum."""
+    rng = random.Random(8)
+    ids = [-(1 << 63), -5, 0, 3, (1 << 63) - 1]
+    rows = [(rng.choice(ids), rng.choice(ids), rng.choice((-(10**18), -2, 0, 1, 10**18))) for _ in range(80)]
+    edges = spark.createDataFrame(rows, KIND)
+    found = graph.min_in_edges(edges)
+    assert "SortAggregate" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(map(tuple, found.select("dst", "w", "src").collect())) == sorted((d, *min((w, s) for s, e, w in rows if e == d)) for d in {d for _, d, _ in rows})
+    part, off = {v: k % 2 for k, v in enumerate(ids)}, {v: k % 3 for k, v in enumerate(ids)}
+    safe = graph.min_safe_edges(edges, spark.createDataFrame(list(part.items()), "v bigint, c bigint"), spark.createDataFrame(list(off.items()), "v bigint, off bigint"))
+    want = [(c, *min((w + off[d], s, d, w, part[s]) for s, d, w in rows if part[d] == c != part[s])) for c in (0, 1)]
+    assert sorted(map(tuple, safe.collect())) == want
+
+
+def test_the_last_task_gets_one_edge_between_two_components(spark, monkeypatch):
+    """Parallel edges, and edges into vertices that none leaves, stay with Spark also where they are few enough for the task that ends the work."""
+    rows = _sunk(4) * 3
+    met = []
+    finish = arborescence._finish
+    monkeypatch.setattr(arborescence, "CORE_EDGES", 150)
+    monkeypatch.setattr(arborescence, "_finish", lambda charged, serial: (met.append(charged.count()), finish(charged, serial))[1])
+    tree = arborescence.infer(spark.createDataFrame(rows, KIND))[0]
+    assert sum(r["w"] for r in tree.collect()) == sum(w for *_, w in arborescence.arborescence_of(rows))
+    assert len(met) == 1 and met[0] <= len({(s, d) for s, d, _ in rows if s < 18 and d < 18}) + 18
