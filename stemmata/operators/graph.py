@@ -133,7 +133,10 @@ def min_in_edges(edges: DataFrame, by: str = "dst", weight: str = "w") -> DataFr
 
 def min_safe_edges(edges: DataFrame, components: DataFrame, potential: DataFrame) -> DataFrame:
     """(cdst, adj, src, dst, w, csrc): each component's lightest incoming edge from another one, by adjusted weight."""
-    rows = adjusted(labelled(edges.select("src", "dst", F.col("w").cast("bigint").alias("w")), components), potential).where("csrc <> cdst")
+    # In all partitions: joined in few large ones, a task's memory would grow with the edges.
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from_ = edges.select("src", "dst", F.col("w").cast("bigint").alias("w")).repartition(n, "src").join(components.toDF("src", "csrc"), "src")
+    rows = adjusted(from_.repartition(n, "dst").join(components.toDF("dst", "cdst"), "dst"), potential).where("csrc <> cdst")
     # All edges into a vertex are charged alike, so its lightest is known before components are compared.
     ends = rows.groupBy("cdst", "dst").agg(F.min(_key("adj")).alias("key"), F.min("w").alias("w")).select("cdst", "dst", *_of_key("key", "adj"), "w")
     found = min_in_edges(ends.select("cdst", "adj", "src", "dst", "w"), "cdst", "adj")
