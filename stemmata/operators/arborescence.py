@@ -280,8 +280,8 @@ def infer(edges: DataFrame, nodes: DataFrame | None = None, kernel_edges: int =
         serial += 1
         # A cycle is named by the least vertex that its edges end in.
         edge_of = off_driver(best)
-        names = cyclic.join(edge_of, "c").groupBy("cycle").agg((F.min("dst") + (serial << BITS)).alias("name"))
-        named = cut(cyclic.join(names, "cycle").join(edge_of, "c").select("c", "src", "dst", "w", "adj", F.col("name").alias("cycle")))
+        names = cut(cyclic.join(edge_of, "c").groupBy("cycle").agg((F.min("dst") + (serial << BITS)).alias("name")))
+        named = cut(cyclic.join(off_driver(names), "cycle").join(edge_of, "c").select("c", "src", "dst", "w", "adj", F.col("name").alias("cycle")))
         made.append(named.select(F.col("c").alias("fid"), F.col("cycle").alias("parent_fid"), "src", "dst", "w", F.col("adj").alias("y"), _simple("c")))
         labels = cut(labels.join(off_driver(named.select("c", "adj", "cycle")), "c", "left").select("v", F.coalesce("cycle", "c").alias("c"), (F.col("off") - F.coalesce("adj", F.lit(0))).alias("off")))
         best = cut(best.join(off_driver(named.select("c")), "c", "left_anti"))
@@ -433,32 +433,37 @@ def _opened_root(rows):
 def _on_cycles(best: DataFrame) -> DataFrame:
     """(c, cycle) of components on cycles of their lightest edges, a cycle being named by the least component on it.
 
-    Few components are walked through by one task. Of many, pointers are doubled until every one leads into a cycle or to the root; where they lead to are the cycles, all round.
+    Few components are walked through by one task. Of many, pointers are doubled, and what none leads to is left out each time, until few are left or every one is led to: all these lie on
+    cycles. Least names then spread by doubling until none changes. Tables of many rows are joined by merging; none goes through the driver, however well its file is packed.
     """
-    if best.count() <= KERNEL_NODES:
-        return cut(best.select("c", "csrc").groupBy(F.lit(0).alias("all")).applyInArrow(_walked, "c bigint, cycle bigint"))
     step = best.select("c", F.col("csrc").alias("to"))
-    root = step.limit(1).select(F.lit(ROOT).cast("bigint").alias("c"), F.lit(ROOT).cast("bigint").alias("to"))
-    far = cut(step.unionByName(root))
-    n, hops = far.count(), 1
-    while hops < n:
-        far = cut(far.join(far.toDF("to", "next"), "to").select("c", F.col("next").alias("to")))
-        hops *= 2
-    ends = far.select(F.col("to").alias("c")).distinct().where(F.col("c") != ROOT)
-    low = cut(ends.join(step, "c").select("c", "to", F.least("c", "to").alias("least")))
-    m, hops = low.count(), 1
-    while hops < m:
-        ahead = low.toDF("to", "next", "further")
-        low = cut(low.join(ahead, "to").select("c", F.col("next").alias("to"), F.least("least", "further").alias("least")))
-        hops *= 2
-    return low.select("c", F.col("least").alias("cycle"))
+    far, n = step, best.count()
+    while n > KERNEL_NODES:
+        inside = cut(far.select(F.col("to").alias("c")).distinct().join(off_driver(far.select("c")), "c", "left_semi"))
+        if inside.count() == n:
+            break
+        kept = cut(far.join(off_driver(inside), "c", "left_semi"))
+        far = cut(kept.join(off_driver(kept.toDF("to", "next")), "to").select("c", F.col("next").alias("to")))
+        n = far.count()
+    if far is not step:
+        step = cut(step.join(off_driver(far.select("c")), "c", "left_semi"))
+    if n <= KERNEL_NODES:
+        return cut(step.groupBy(F.lit(0).alias("all")).applyInArrow(_walked, "c bigint, cycle bigint"))
+    low = cut(step.select("c", "to", F.least("c", "to").alias("least")))
+    while True:
+        ahead = off_driver(low.toDF("to", "next", "further"))
+        # Where no name changes, those of neighbouring stretches are equal, all round.
+        moved = cut(low.join(ahead, "to").select("c", F.col("next").alias("to"), F.least("least", "further").alias("least"), (F.col("further") < F.col("least")).alias("moved")))
+        low = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return low.select("c", F.col("least").alias("cycle"))
 
 
 def _walked(rows):
-    """(c, cycle) of the components on cycles, of rows (c, csrc)."""
+    """(c, cycle) of the components on cycles, of rows (c, to)."""
     import pyarrow as pa
 
-    step = dict(zip(rows.column("c").to_pylist(), rows.column("csrc").to_pylist(), strict=True))
+    step = dict(zip(rows.column("c").to_pylist(), rows.column("to").to_pylist(), strict=True))
     walk: dict[int, int] = {}
     out = []
     for start in step:

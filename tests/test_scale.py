@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+from stemmata import runtime
 from stemmata.functions.distances import DIRECTIONAL
 from stemmata.operators import arborescence, graph, lsh, pairs
 
@@ -90,3 +91,21 @@ def test_the_last_task_gets_one_edge_between_two_components(spark, monkeypatch):
     tree = arborescence.infer(spark.createDataFrame(rows, KIND))[0]
     assert sum(r["w"] for r in tree.collect()) == sum(w for *_, w in arborescence.arborescence_of(rows))
     assert len(met) == 1 and met[0] <= len({(s, d) for s, d, _ in rows if s < 18 and d < 18}) + 18
+
+
+def test_cycles_among_many_components_do_not_go_through_the_driver(spark, monkeypatch):
+    """Rings, trees that hang on them or on the root, and loops of two: as a walk finds them, also where no task may hold them all; what none leads to is left out at once."""
+    rng = random.Random(9)
+    step = {c: (c + 1 if c % 40 else c - 39) for c in range(1, 121)} | {c: rng.randrange(1, c) for c in range(121, 700)} | {700: 701, 701: 700}
+    step |= {c: arborescence.ROOT if c < 720 else rng.randrange(702, c) for c in range(702, 900)}
+    best = spark.createDataFrame(list(step.items()), "c bigint, csrc bigint")
+    want = {c: (c - 1) // 40 * 40 + 1 for c in range(1, 121)} | {700: 700, 701: 700}
+    plans, cut = [], arborescence.cut
+    monkeypatch.setattr(arborescence, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    monkeypatch.setattr(runtime, "SMALL", 0)
+    for most in (0, 50, 300):
+        plans.clear()
+        monkeypatch.setattr(arborescence, "KERNEL_NODES", most)
+        assert dict(map(tuple, arborescence._on_cycles(best).collect())) == want
+        assert not any("Broadcast" in p for p in plans)
+    assert 0 < len(plans) < 10
