@@ -5,7 +5,7 @@ from collections import Counter
 
 from stemmata import runtime
 from stemmata.functions.distances import DIRECTIONAL
-from stemmata.operators import arborescence, graph, lsh, pairs
+from stemmata.operators import arborescence, dynamic, graph, lsh, pairs, trees
 
 KIND = "src bigint, dst bigint, w bigint"
 
@@ -109,3 +109,22 @@ def test_cycles_among_many_components_do_not_go_through_the_driver(spark, monkey
         assert dict(map(tuple, arborescence._on_cycles(best).collect())) == want
         assert not any("Broadcast" in p for p in plans)
     assert 0 < len(plans) < 10
+
+
+def test_an_update_does_not_send_the_forest_through_the_driver(spark, monkeypatch):
+    """An edge to a new vertex comes: nodes and vertices are looked up by merged joins, and the tree is that of the changed graph."""
+    rows, come = _sunk(7), (3, 150, 2)
+    before = dynamic.start(spark.createDataFrame(rows, KIND))
+    plans = []
+    for held in (dynamic, trees):
+        monkeypatch.setattr(held, "cut", lambda df, cut=held.cut: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    monkeypatch.setattr(runtime, "SMALL", 0)
+    trees.lifted(before.seed.nodes)
+    assert plans and not any("Broadcast" in p for p in plans)
+    plans.clear()
+    now, new = spark.createDataFrame([*rows, come], KIND), spark.createDataFrame([come], KIND)
+    nodes = before.nodes.unionByName(spark.createDataFrame([(150,)], "id bigint"))
+    tree = dynamic.settled(before, nodes, now, new.limit(0), new).tree
+    assert sum(r["w"] for r in tree.collect()) == sum(w for *_, w in arborescence.arborescence_of([*rows, come]))
+    compared = [p for p in plans if "LeftAnti" in p and "src" not in p]  # vertices by their ids alone
+    assert len(compared) == 2 and not any("Broadcast" in p for p in compared)
