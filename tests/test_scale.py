@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 from stemmata import runtime
-from stemmata.functions.distances import DIRECTIONAL
+from stemmata.functions.distances import DIRECTIONAL, HAMMING
 from stemmata.operators import arborescence, dynamic, graph, lsh, pairs, trees
 
 KIND = "src bigint, dst bigint, w bigint"
@@ -128,3 +130,37 @@ def test_an_update_does_not_send_the_forest_through_the_driver(spark, monkeypatc
     assert sum(r["w"] for r in tree.collect()) == sum(w for *_, w in arborescence.arborescence_of([*rows, come]))
     compared = [p for p in plans if "LeftAnti" in p and "src" not in p]  # vertices by their ids alone
     assert len(compared) == 2 and not any("Broadcast" in p for p in compared)
+
+
+def test_new_profiles_are_measured_once_both_ways(spark):
+    """Both distances, ids of both signs: as brute force has it; one step measures the ways to and from existing profiles."""
+    rng = random.Random(10)
+    rows = {n - 30: [rng.choice((-3, -1, 0, 1, 2, 300)) for _ in range(6)] for n in range(70)}
+    profiles = spark.createDataFrame(list(rows.items()), "id bigint, alleles array<bigint>")
+    lost = (-1, 0)
+    cost = lambda u, v: sum(bool(y in lost) if (x in lost) != (y in lost) else x > y for x, y in zip(u, v, strict=True))
+    apart = lambda u, v: sum(x != y for x, y in zip(u, v, strict=True))
+    for distance, way in ((DIRECTIONAL, cost), (HAMMING, apart)):
+        found = pairs.incremental_pairs(profiles.where("id >= 20"), profiles.where("id < 20"), distance)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+        assert sorted(map(tuple, found.collect())) == sorted((s, d, way(u, v)) for s, u in rows.items() for d, v in rows.items() if s != d and max(s, d) >= 20)
+
+
+def test_a_task_gives_a_bounded_batch_of_edges(monkeypatch):
+    """Blocks against themselves and others, in any order of ids, alleles above and below the missing ones: no batch has over OUT edges, and together they are those of brute force."""
+    rng = random.Random(11)
+    lost = (-1, 0)
+    cost = lambda u, v: sum(bool(y in lost) if (x in lost) != (y in lost) else x > y for x, y in zip(u, v, strict=True))
+    monkeypatch.setattr(pairs, "OUT", 64)
+    for least in (-3, -1, 0):
+        rows = {n: [rng.randrange(least, 4) for _ in range(9)] for n in rng.sample(range(-99, 99), 40)}
+        blocks = [list(rows)[:25], list(rows)[25:]]
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("alleles", pa.list_(pa.int64()))]))
+        held = [[{"id": n, "alleles": rows[n]} for n in b] for b in blocks]
+        met = [(0, 0), (0, 1), (1, 1)]
+        table = pa.RecordBatch.from_arrays([pa.array([held[i] for i, _ in met], kind), pa.array([held[j] for _, j in met], kind), pa.array([i == j for i, j in met])], ["one", "two", "same"])
+        for ordered in (False, True):
+            out = list(pairs._kernel(DIRECTIONAL, ordered)([table]))
+            assert max(map(len, out)) <= 64
+            got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+            assert sorted(got) == sorted((s, d, cost(u, v)) for s, u in rows.items() for d, v in rows.items() if (s < d if ordered else s != d))
