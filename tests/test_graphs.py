@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 
 from stemmata.operators.arborescence import arborescence_of
@@ -88,3 +89,39 @@ def test_memory_is_sampled_at_an_interval(spark, tmp_path):
     steps = [b.ts - a.ts for a, b in zip(rows, rows[1:], strict=False)]
     assert len(rows) >= 4 and all(0 <= s <= 20 for s in steps) and sum(steps) >= 1
     assert all(r.heap > 0 and r.total == r.heap + r.non_heap and r.executors for r in rows)
+
+
+class _Held:
+    """A state variable, or a handle that makes such, which counts what is asked of it."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def make(self, *_):
+        return _Held(self.calls)
+
+    getValueState = getListState = getMapState = make
+
+    def __getattr__(self, name):
+        def asked(*args):
+            self.calls.append(name)
+            if name in ("put", "update"):
+                self.value = args[0]
+            elif name == "clear":
+                self.value = None
+            return self.value is not None if name == "exists" else iter(()) if name == "iterator" else self.value or []
+
+        return asked
+
+
+def test_a_graph_asks_its_state_a_few_times_however_many_edges_it_has():
+    """Each call is a way to the JVM and back: the number for a batch doesn't grow with the edges, and a second batch goes on from the lists."""
+    rng, calls = random.Random(4), []
+    graph = graphs.Trees()
+    graph.init(_Held(calls))
+    rows = [(0, *r[1:]) for r in entries(rng, 1, 400, 0)]
+    for part in (rows[:250], rows[250:]):
+        calls.clear()
+        out = next(iter(graph.handleInputRows((0,), iter([pd.DataFrame(part, columns=["graph", "seq", "op", "src", "dst", "w"])]), None)))
+        assert len(calls) <= 9
+    assert (out.n_nodes[0], out.n_edges[0], out.cost[0]) == replayed(rows)[0]
