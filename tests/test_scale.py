@@ -164,3 +164,41 @@ def test_a_task_gives_a_bounded_batch_of_edges(monkeypatch):
             assert max(map(len, out)) <= 64
             got = [tuple(r.values()) for b in out for r in b.to_pylist()]
             assert sorted(got) == sorted((s, d, cost(u, v)) for s, u in rows.items() for d, v in rows.items() if (s < d if ordered else s != d))
+
+
+_lost = (-1, 0)
+_COSTS = {HAMMING: lambda x, y: x != y, DIRECTIONAL: lambda x, y: bool(y in _lost) if (x in _lost) != (y in _lost) else x > y}
+
+
+def _profile_cases() -> list[dict[int, list[int]]]:
+    """Alleles below, at and above the missing ones, all alike, far from 0; one locus up to several words of loci; ids of both signs."""
+    rng = random.Random(12)
+    values = [((-1, 0, 1, 4), 64), ((-1, 0), 1), ((-7, -2, -1, 0, 1, 300), 65), ((1 << 40, (1 << 40) + 5), 130), ((3,), 63), ((-(1 << 63), 1 - (1 << 63)), 3), ((-1, 2, (1 << 31) - 3), 4)]
+    return [{n - 20: [rng.choice(v) for _ in range(width)] for n in range(45)} for v, width in values]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_pairs_are_joined_and_no_pair_is_shuffled(spark, monkeypatch):
+    """As brute force has it, for both distances; Spark joins the profiles itself, by a merge in cells that hold a bounded side, and nothing goes through the driver."""
+    monkeypatch.setattr(pairs, "SIDE", 9)
+    for rows in _profile_cases():
+        for distance, costs in _COSTS.items():
+            found = pairs.all_pairs(spark.createDataFrame(list(rows.items()), "id bigint, alleles array<bigint>"), distance)
+            got = sorted(map(tuple, found.collect()))
+            assert got == sorted((s, d, sum(map(costs, u, v))) for s, u in rows.items() for d, v in rows.items() if s != d)
+            assert "MapInArrow" not in _plan(found) and "SortMergeJoin" in _plan(found) and "Broadcast" not in _plan(found) and "Cartesian" not in _plan(found)
+
+
+def test_pairs_that_no_planes_hold_go_to_the_kernel(spark):
+    """Alleles too far apart for planes: blocks as before, with the same result. Null ids have no pairs, repeated ones none with each other; an empty table has none."""
+    kind = "id bigint, alleles array<bigint>"
+    rows = {n: [(-(1 << 63), 0, (1 << 63) - 1)[(n + k) % 3] for k in range(5)] for n in range(7)}
+    far = pairs.all_pairs(spark.createDataFrame(list(rows.items()), kind))
+    assert "MapInArrow" in _plan(far)
+    assert sorted(map(tuple, far.collect())) == sorted((s, d, sum(x != y for x, y in zip(u, v, strict=True))) for s, u in rows.items() for d, v in rows.items() if s != d)
+    odd = spark.createDataFrame([(1, [1, 2]), (None, [2, 2]), (1, [1, 1]), (2, [1, 1])], kind)
+    assert sorted(map(tuple, pairs.all_pairs(odd).collect())) == [(1, 2, 0), (1, 2, 1), (2, 1, 0), (2, 1, 1)]
+    assert pairs.all_pairs(odd.limit(0)).collect() == []
