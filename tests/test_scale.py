@@ -202,3 +202,18 @@ def test_pairs_that_no_planes_hold_go_to_the_kernel(spark):
     odd = spark.createDataFrame([(1, [1, 2]), (None, [2, 2]), (1, [1, 1]), (2, [1, 1])], kind)
     assert sorted(map(tuple, pairs.all_pairs(odd).collect())) == [(1, 2, 0), (1, 2, 1), (2, 1, 0), (2, 1, 1)]
     assert pairs.all_pairs(odd.limit(0)).collect() == []
+
+
+def test_upper_pairs_are_joined_and_no_pair_is_shuffled(spark, monkeypatch):
+    """Each pair once, from the smaller to the larger id in whichever parts they lie; the way of a directional distance is that one. Null and repeated ids have no pairs of their own."""
+    monkeypatch.setattr(pairs, "SIDE", 9)
+    kind = "id bigint, alleles array<bigint>"
+    for rows in _profile_cases():
+        for distance, costs in _COSTS.items():
+            found = pairs.upper_pairs(spark.createDataFrame(list(rows.items()), kind), distance)
+            got = sorted(map(tuple, found.collect()))
+            assert got == sorted((s, d, sum(map(costs, u, v))) for s, u in rows.items() for d, v in rows.items() if s < d)
+            assert "MapInArrow" not in _plan(found) and "SortMergeJoin" in _plan(found) and "Broadcast" not in _plan(found) and "Cartesian" not in _plan(found)
+    monkeypatch.setattr(pairs, "SIDE", 1)
+    odd = spark.createDataFrame([(1, [1, 2]), (None, [2, 2]), (1, [1, 1]), (2, [1, 1]), (3, [0, 1])], kind)
+    assert sorted(map(tuple, pairs.upper_pairs(odd).collect())) == [(1, 2, 0), (1, 2, 1), (1, 3, 1), (1, 3, 2), (2, 3, 1)]
