@@ -189,18 +189,28 @@ def _blocks(rows: DataFrame, key: Column, width: int, longest: int, tree: bool,
     return cut(rows.withColumn("block", key).groupBy("block").applyInArrow(pack, "block int, data binary"), "blocks")
 
 
-def _searched(anchors: DataFrame, blocks: DataFrame, n_blocks: int, longest: int, fn, schema: str) -> DataFrame:
+def _met(anchors: DataFrame, blocks: DataFrame, n_anchors: int, n_blocks: int) -> DataFrame:
+    """(data, asked): every block of rows with every block of anchors. Rows go in `across` groups, anchors in `down`; a group meets each of the other side in a merged cell. The number of cells
+    follows that of tasks, so that so many copies of a block are shuffled at most, however many there are, and none goes through the driver.
+    """
+    tasks = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    across = max(1, min(n_blocks, 2 * tasks))
+    down = max(1, min(n_anchors, -(-2 * tasks // across)))
+    side = lambda rows, own, n, other, m, name: rows.select(F.pmod("block", F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), F.col("data").alias(name)).repartition(tasks, "i", "j")
+    return side(blocks, "i", across, "j", down, "data").join(side(anchors, "j", down, "i", across, "asked").hint("merge"), ["i", "j"]).select("data", "asked")
+
+
+def _searched(anchors: DataFrame, blocks: DataFrame, n_anchors: int, n_blocks: int, longest: int, fn, schema: str) -> DataFrame:
     """fn(anchors, block, most, least) -> columns, for every pair of a block of anchors and a block of rows."""
-    dealt = anchors.select(F.col("data").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked, data in zip(batch.column(0), batch.column(1), strict=True):
+            for data, asked in zip(batch.column(0), batch.column(1), strict=True):
                 block, wanted = Block(_unpacked(data.as_py()), longest), _unpacked(asked.as_py())
                 yield fn(wanted, block, *block.bounds(wanted["x"]))
 
     with batches_of(anchors.sparkSession, PAIRS):
-        return cut(dealt.join(blocks, "block").select("asked", "data").mapInArrow(search, schema), "found")
+        return cut(_met(anchors, blocks, n_anchors, n_blocks).mapInArrow(search, schema), "found")
 
 
 def _positives(k: int):
@@ -282,15 +292,16 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = POSITIVE
     of = (pick(starts[:-1]) + F.pmod(F.xxhash64("nr"), pick([max(1, sizes.get(k, 1)) for k in range(router.leaves)]))).cast("int")
     blocks = _blocks(rows, of, width, longest, True)
     mine = rows.where("asks")
-    deal = F.pmod(F.xxhash64("nr"), F.lit(-(-asking // ANCHORS))).cast("int")
-    near = _searched(_blocks(mine, deal, width, longest, False), blocks, starts[-1], longest, _positives(positives), "nr bigint, positive_id bigint, positive_score bigint")
+    groups = -(-asking // ANCHORS)
+    deal = F.pmod(F.xxhash64("nr"), F.lit(groups)).cast("int")
+    near = _searched(_blocks(mine, deal, width, longest, False), blocks, groups, starts[-1], longest, _positives(positives), "nr bigint, positive_id bigint, positive_score bigint")
     place = F.row_number().over(Window.partitionBy("nr").orderBy(F.desc("positive_score"), "positive_id"))
     near = cut(near.withColumn("n", place).where(F.col("n") <= positives), "positives")
     # Lists have one length: a score below zero has no negatives, and stands for a positive that an anchor lacks.
     held = near.groupBy("nr").agg(F.map_from_entries(F.collect_list(F.struct("n", "positive_score"))).alias("known"))
     scores = F.transform(F.sequence(F.lit(1), F.lit(positives)), lambda k: F.coalesce(F.col("known")[k], F.lit(-1).cast("long")))
     asked = mine.join(held, "nr").withColumn("scores", scores)
-    far = _searched(_blocks(asked, deal, width, longest, False, ("scores",)), blocks, starts[-1], longest, _negatives(negatives, low, high), "nr bigint, n bigint, negative_id bigint, negative_score bigint")
+    far = _searched(_blocks(asked, deal, width, longest, False, ("scores",)), blocks, groups, starts[-1], longest, _negatives(negatives, low, high), "nr bigint, n bigint, negative_id bigint, negative_score bigint")
     rank = F.row_number().over(Window.partitionBy("nr", "n").orderBy(F.desc("negative_score"), "negative_id"))
     best = far.withColumn("n", F.col("n") + 1).withColumn("rank", rank).where(F.col("rank") <= negatives)
     out = best.join(near, ["nr", "n"]).join(mine.select("nr", F.col("id").alias("anchor_id")), "nr")

@@ -185,3 +185,17 @@ def test_search_leaves_out_what_lies_outside_the_annulus(monkeypatch):
         assert got == want
     met = ((most >= scores.max(1)[:, None] * 0.9)[:, block.nodes[:, 1] < 0]).mean()
     assert met < 0.5  # of the leaves
+
+
+def test_anchors_do_not_go_through_the_driver(spark, small, monkeypatch):
+    """Anchors are small but meet every block: they are dealt to cells and merged, and the result is that of brute force."""
+    plans, cut = [], hard_negatives.cut
+    monkeypatch.setattr(hard_negatives, "cut", lambda df, what: (plans.append((what, df._jdf.queryExecution().executedPlan().toString())), cut(df, what))[1])
+    monkeypatch.setattr(hard_negatives, "BLOCK", 60)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 3)
+    rows = llm.QUERIES["op12_hard_negatives"](spark, small)
+    met = [plan for what, plan in plans if what == "found"]
+    assert len(met) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in met)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{small}/embeddings.parquet'")
+        assert sorted(map(tuple, rows.collect())) == sorted(db.execute(llm.oracle_sql()["op12_hard_negatives"]).fetchall())
