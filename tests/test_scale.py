@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 
 from stemmata import runtime
-from stemmata.functions.distances import DIRECTIONAL, HAMMING
+from stemmata.functions.distances import DIRECTIONAL, HAMMING, coded
 from stemmata.operators import arborescence, dynamic, graph, lsh, pairs, trees
 
 KIND = "src bigint, dst bigint, w bigint"
@@ -217,3 +218,33 @@ def test_upper_pairs_are_joined_and_no_pair_is_shuffled(spark, monkeypatch):
     monkeypatch.setattr(pairs, "SIDE", 1)
     odd = spark.createDataFrame([(1, [1, 2]), (None, [2, 2]), (1, [1, 1]), (2, [1, 1]), (3, [0, 1])], kind)
     assert sorted(map(tuple, pairs.upper_pairs(odd).collect())) == [(1, 2, 0), (1, 2, 1), (1, 3, 1), (1, 3, 2), (2, 3, 1)]
+
+
+def test_pairs_to_be_reduced_meet_in_cells_that_follow_the_tasks(spark, monkeypatch):
+    """However many blocks there are, copies of a profile follow the number of tasks; none goes through the driver. Repeated ids have no pair together, in whichever parts they lie; as brute force has it."""
+    rng = random.Random(13)
+    rows = [(rng.choice([n - 40, 7, -3]), [rng.choice((-1, 0, 1, 2)) for _ in range(70)]) for n in range(90)]
+    profiles = spark.createDataFrame([*rows, (None, [0] * 70)], "id bigint, alleles array<bigint>")
+    met = pairs._paired(profiles, 2)
+    assert met.count() <= 45 and "SortMergeJoin" in _plan(met) and "Broadcast" not in _plan(met) and "Cartesian" not in _plan(met)
+    monkeypatch.setattr(pairs, "PART_BYTES", 8 * 70 * 5)
+    for block in (3, 512):
+        for distance, costs in _COSTS.items():
+            way = [(s, d, sum(map(costs, u, v))) for s, u in rows for d, v in rows if s != d]
+            assert {r["w"]: r["n"] for r in pairs.distance_histogram(profiles, distance, block).collect()} == Counter(w for s, d, w in way if s < d)
+            assert {r["dst"]: (r["w"], r["src"]) for r in pairs.nearest(profiles, distance, block).collect()} == {e: min((w, s) for s, d, w in way if d == e) for e in {d for _, d, _ in way}}
+            found = {r["since"]: (r["n"], r["w"]) for r in pairs.pairs_by_largest(profiles, 10, distance, block).collect()}
+            assert found == {g: (len(x), min(x)) for g in range(-4, 5) if (x := [w for s, d, w in way if max(s, d) // 10 == g])}
+            excess = [(s, d, sum(map(costs, u, v)) - sum(map(costs, v, u))) for s, u in rows for d, v in rows if s < d]
+            assert sorted(map(tuple, pairs.asymmetry(profiles, distance, block).collect())) == sorted(excess)
+
+
+def test_kernels_in_planes_are_those_of_brute_force():
+    """Loci of one word, several and a part of one; alleles in planes and beyond, below and above the missing ones; distances beyond a byte; more rows than a step holds."""
+    rng = random.Random(14)
+    for least, most, width in ((-1, 4, 64), (-3, 4, 70), (3, 3, 5), (-1, 200, 130), (-5, 400, 9), (1, 2, 300)):
+        u, v = ([[rng.randint(least, most) for _ in range(width)] for _ in range(n)] for n in (9, 7))
+        for distance, costs in _COSTS.items():
+            assert distance.block(np.array(u), np.array(v)).tolist() == [[sum(map(costs, x, y)) for y in v] for x in u]
+            held = coded(np.array(u), np.array(v))
+            assert (held is None) == (most == 400) and (held is None or distance.bits(*held).tolist() == distance.block(np.array(u), np.array(v)).tolist())
