@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stemmata.functions.alleles import padded
 from stemmata.functions.distances import DIRECTIONAL, HAMMING, DistanceFunction
-from stemmata.operators import dynamic, lsh
+from stemmata.operators import complete, dynamic, lsh
 from stemmata.operators.arborescence import KERNEL_EDGES, ROOT, Forest, minimum_arborescence
 from stemmata.operators.arborescence import infer as inferred
 from stemmata.operators.graph import next_id
@@ -50,7 +50,7 @@ def spanned(profiles: DataFrame, near: DataFrame, tree: DataFrame, forest: Fores
     """(tree, distances measured for it): a tree that spans the profiles, from the one over `near` and its forest.
 
     Components that no candidate edge enters get all edges into their vertices, but for the one with the most vertices, which can be the root; only they and what their edges touch are
-    inferred again. Components that have candidate edges never ask for more.
+    inferred again. Components that have candidate edges never ask for more. Where that would be over kernel_edges edges, none is stored: lists of the lightest are measured as they are needed.
     """
     stuck = forest.nodes.where(f"parent_fid IS NULL AND src = {ROOT}").select(F.col("fid").alias("c"))
     held = cut(forest.labels().join(stuck, "c").select("v", "c"))
@@ -59,6 +59,8 @@ def spanned(profiles: DataFrame, near: DataFrame, tree: DataFrame, forest: Fores
     n = asked.count()
     if not n:
         return tree, 0
+    if n * profiles.count() > kernel_edges and complete.hold(profiles):
+        return complete.minimum_complete(profiles, distance, kernel_edges, only=asked, given=near), n * (profiles.count() - 1)
     made = cut(cross_pairs(profiles, asked, distance).join(near.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "w"))
     nodes = profiles.select(F.col("id").cast("bigint").alias("id"))
     before = dynamic.State(nodes, near, tree, False, forest, kernel_edges)

@@ -183,3 +183,21 @@ def test_neighbour_joining_as_a_command(spark, tmp_path):
     store = Store(spark, str(tmp_path / "g"))
     assert commands.add(store, frame(spark, table(6, 8)), Options(algorithm="neighborjoining", distance=HAMMING)).count() == 1
     assert store.read("phylogeny").count() >= 6
+
+
+def test_components_that_none_enters_ask_for_lists_of_edges(spark, monkeypatch):
+    """A small radius leaves many components that no candidate edge enters. Where all edges into them are too many to be stored, lists are measured instead: a tree of the same cost, each edge that of its ends."""
+    rng = random.Random(31)
+    centres = [[rng.randrange(-1, 6) for _ in range(10)] for _ in range(6)]
+    rows = {3 * n: [rng.randrange(-1, 6) if rng.random() < 0.25 else x for x in rng.choice(centres)] for n in range(60)}
+    profiles = spark.createDataFrame(list(rows.items()), "id bigint, alleles array<bigint>")
+    lost = lambda x: x in (-1, 0)
+    costs = {HAMMING: lambda x, y: x != y, DIRECTIONAL: lambda x, y: lost(y) if lost(x) != lost(y) else x > y}
+    for distance, cost in costs.items():
+        with monkeypatch.context() as m:
+            whole = commands.approximate_tree(profiles, [[0, 1, 2], [3, 4, 5]], 3, 2, distance).agg({"w": "sum"}).first()[0]
+            m.setattr(commands, "cross_pairs", None)
+            found = [tuple(r) for r in commands.approximate_tree(profiles, [[0, 1, 2], [3, 4, 5]], 3, 2, distance, 300).collect()]
+        assert len(found) == len({d for _, d, _ in found}) == len(rows) - 1
+        assert all(w == sum(map(cost, rows[s], rows[d])) for s, d, w in found)
+        assert sum(w for *_, w in found) == whole
