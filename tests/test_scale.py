@@ -248,3 +248,22 @@ def test_kernels_in_planes_are_those_of_brute_force():
             assert distance.block(np.array(u), np.array(v)).tolist() == [[sum(map(costs, x, y)) for y in v] for x in u]
             held = coded(np.array(u), np.array(v))
             assert (held is None) == (most == 400) and (held is None or distance.bits(*held).tolist() == distance.block(np.array(u), np.array(v)).tolist())
+
+
+def test_sources_of_edges_into_single_vertices_are_not_looked_up(spark, monkeypatch):
+    """Only edges into contracted components are joined with what their sources are in; a stored table isn't written again. The tree of an updated graph is that of the graph itself."""
+    rows = _sunk(15)
+    met, written = [], []
+    between, cut = arborescence._between, arborescence.cut
+    monkeypatch.setattr(arborescence, "_between", lambda real, labels, asked, big, plain=False: (met.append(plain or asked.where("c = v").isEmpty()), between(real, labels, asked, big, plain))[1])
+    before = dynamic.start(spark.createDataFrame(rows, KIND), None, 150)
+    monkeypatch.setattr(arborescence, "cut", lambda df: (written.append(df.columns == ["src", "dst", "w"] and df.count() > 600), cut(df))[1])
+    log = spark.createDataFrame([(1, "remove", s, d, None) for s, d, _ in rows[:9]] + [(2, "add", 3, 2, 1), (3, "remove_node", 5, None, None)], dynamic.LOG)
+    after = dynamic.apply_updates(before, log)
+    gone = {(s, d) for s, d, _ in rows[:9]} | {(3, 2)}
+    left = [(s, d, w) for s, d, w in rows if (s, d) not in gone and 5 not in (s, d)] + [(3, 2, 1)]
+    assert len(left) > 600 and not any(written) and met and sum(not x for x in met) <= 2  # those of the task that ends the work
+    nodes = [r["id"] for r in after.nodes.collect()]
+    want = arborescence.arborescence_of(left, nodes)
+    found = after.tree.collect()
+    assert (len(found), sum(r["w"] for r in found)) == (len(want), sum(w for *_, w in want))
